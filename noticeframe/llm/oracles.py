@@ -1,3 +1,112 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, written from the contracts with plain patterns."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+import re
+
+from . import chat, pii, quality, warc
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
+
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+}
+
+
+def _pii() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, t, {r} AS r, '{k}' AS k, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d"
+        for r, (k, p) in enumerate(_PLAIN.items())
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+e AS (SELECT doc_id, t, r, k, ms[i] AS m,
+             list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS s
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0)),
+g AS (SELECT *, s + length(m) AS en, regexp_replace(m, '[^0-9]', '', 'g') AS dg, replace(m, ' ', '') AS c,
+             substring(t, CAST(greatest(1, s + 1 - 40) AS BIGINT), CAST(least(s, 40) AS BIGINT)) || ' ' || substring(t, CAST(s + length(m) + 1 AS BIGINT), 40) AS near FROM e),
+v AS (SELECT * FROM g WHERE CASE k
+        WHEN 'email' THEN true
+        WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255
+        WHEN 'card' THEN length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda i:
+             CASE WHEN (length(dg) - i) % 2 = 0 THEN CAST(dg[i] AS INT) ELSE CAST(dg[i] AS INT) * 2 - CASE WHEN CAST(dg[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+        WHEN 'phone' THEN length(dg) BETWEEN 10 AND 15
+        ELSE list_reduce(list_prepend(0, list_transform(string_split(substring(c, 5) || c[1:4], ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN ascii(x) - 48 ELSE ascii(x) - 55 END)),
+             lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1
+             AND NOT regexp_matches(near, '{pii.LOWERING}') END),
+a AS (SELECT doc_id, count(*) FILTER (k = 'email') AS n_email, count(*) FILTER (k = 'ip') AS n_ip, count(*) FILTER (k = 'card') AS n_card,
+             count(*) FILTER (k = 'phone') AS n_phone, count(*) FILTER (k = 'iban') AS n_iban,
+             string_agg(k || ':' || CAST(s AS BIGINT) || ':' || CAST(en AS BIGINT), ',' ORDER BY s, r) FILTER (k <> 'iban') AS base,
+             string_agg(k || ':' || CAST(s AS BIGINT) || ':' || CAST(en AS BIGINT), ',' ORDER BY s, r) AS spans
+      FROM v GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_iban, 0) AS n_iban
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+
+def _quality() -> str:
+    votes = [f"vote_{r}" for r in quality.RULES]
+    cast = ", ".join(f"{e} AS {v}" for v, e in zip(votes, quality.RULES.values()))
+    rounds = [f"m0 AS (SELECT {', '.join(f'{quality.START_ACCURACY}::DOUBLE AS a{k}' for k in range(len(votes)))}, {quality.START_GOOD}::DOUBLE AS good)"]
+    odds = "ln(good / (1 - good))" + "".join(f" + {v} * ln(a{k} / (1 - a{k}))" for k, v in enumerate(votes))
+    for n in range(1, quality.ROUNDS + 1):
+        rounds.append(f"e{n} AS MATERIALIZED (SELECT p.*, 1 / (1 + exp(-({odds}))) AS post FROM p, m{n - 1})")
+        accuracy = ", ".join(
+            f"coalesce(least({quality.MOST_ACCURACY}, greatest({quality.LEAST_ACCURACY}, sum(n * CASE WHEN {v} > 0 THEN post ELSE 1 - post END) FILTER ({v} <> 0) / sum(n) FILTER ({v} <> 0))), {quality.START_ACCURACY}) AS a{k}"
+            for k, v in enumerate(votes)
+        )
+        rounds.append(f"m{n} AS MATERIALIZED (SELECT {accuracy}, least({quality.MOST_GOOD}, greatest({quality.LEAST_GOOD}, sum(n * post) / sum(n))) AS good FROM e{n})")
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS ll FROM d),
+tri AS (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT row_id, count(DISTINCT i + o) AS n FROM tri, (VALUES (0), (1), (2)) AS x(o) WHERE c > 1 GROUP BY row_id),
+f AS (SELECT l.row_id, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ll) - len(list_distinct(ll)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ll) AS n_lines,
+             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs
+      FROM l LEFT JOIN rep ON l.row_id = rep.row_id),
+v AS (SELECT *, {cast}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+p AS MATERIALIZED (SELECT {', '.join(votes)}, count(*) AS n FROM v GROUP BY ALL),
+{', '.join(rounds)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 1 / (1 + exp(-({odds}))) >= {quality.KEEP_FROM} AS kept
+FROM v, m{quality.ROUNDS}"""
+
+
+def _chat() -> str:
+    control = "|".join(f"(?:{re.escape(c)})" for c in chat.CONTROL)
+    escaped = rf"regexp_replace(replace({{}}, '\', '\\'), '({control})', '#\1', 'g')"
+    marks = len(chat.START) + len(chat.STOP) + 2
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({marks} + length({escaped.format('r')}) + length({escaped.format('t')})) AS BIGINT) AS formatted_chars,
+       false AS rewrites_history
+FROM t GROUP BY conv_id"""
+
+
+def _warc() -> str:
+    tracking = ", ".join(f"'{k}'" for k in warc.TRACKING)
+    return rf"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '', 'i') AS u, md5(coalesce(html, '')) AS sum, sha256(coalesce(html, '')) AS payload FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS p,
+             list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND regexp_extract(x, '^([^=]*)', 1) NOT IN ({tracking}))) AS q FROM b),
+k AS (SELECT *, p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM c),
+r AS (SELECT *, 2 * page_id + 1 AS record_id, 2 * page_id + 1 + (page_id % 7) * 5000 AS at FROM k)
+SELECT r.record_id, r.url_key, CASE WHEN o.page_id IS NULL THEN 'missing' WHEN o.sum = r.sum THEN 'resolved' ELSE 'changed' END AS status,
+       2 * o.page_id AS original_id, CASE WHEN o.sum = r.sum THEN o.payload END AS payload_sha256,
+       CASE WHEN o.sum = r.sum THEN 'content-type: text/html' || chr(10) || 'date: ' || r.page_id || chr(10) || 'etag: W/"' || o.sum || '"' || chr(10) || 'vary: accept'
+            ELSE 'content-length: 0' || chr(10) || 'date: ' || r.page_id || chr(10) || 'vary: accept' END AS headers
+FROM r ASOF LEFT JOIN k AS o ON r.url_key = o.url_key AND r.at >= 2 * o.page_id"""
+
+
+ORACLES: dict[str, str] = {"op1_chat": _chat(), "op2_pii": _pii(), "op8_warc": _warc(), "op9_quality": _quality()}

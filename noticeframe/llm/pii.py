@@ -43,7 +43,7 @@ VALID = {
     "iban": MOD97.replace("substr(x.m", "substr(replace(x.m, ' ', '')") + " = 1",
 }
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7}
-NEAR, RAISE, LOWER, KEEP_FROM = 40, 0.2, 0.3, 0.6
+NEAR, RAISE, LOWER, KEEP_FROM = 40, 0.2, 0.4, 0.6
 RAISING = r"(?i)(mail|contact|phone|tel|call|card|visa|account|iban|bank|address|server|host)"
 LOWERING = r"(?i)(version|isbn|issn|serial|example|sample|build)"
 BLOCK = 256

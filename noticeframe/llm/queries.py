@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, sharding, simhash
+from . import chat, decontam, licenses, packing, pii, quality, sharding, simhash, substring, warc
 from .common import durable
 
 
@@ -21,6 +21,23 @@ def tokenizer_file(name: str = packing.VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    back = chat.read_back(chat.format_conversations(turns))
+    loss = "array_join(transform(filter(turns, t -> t.loss), t -> t.text), '')"
+    return back.select(
+        "conv_id",
+        F.expr("cast(size(turns) AS bigint)").alias("n_turns"),
+        F.expr("sha2(array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), ''), 256)").alias("turns_sha256"),
+        F.expr(f"cast(length({loss}) AS bigint)").alias("loss_chars"),
+        F.expr(f"sha2({loss}, 256)").alias("loss_sha256"),
+        F.expr("cast(length(formatted) AS bigint)").alias("formatted_chars"),
+        F.col("rewritten_at").isNotNull().alias("rewrites_history"),
+    )
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     count = lambda k: F.expr(f"cast(size(filter(pii, x -> x.k = '{k}')) AS bigint)").alias(f"n_{k}")
@@ -39,12 +56,53 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """A crawl of ``pages``: each page answered in full once and asked again, if modified, later."""
+    page = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("sum"))
+    tag = F.concat(F.lit('W/"'), F.col("sum"), F.lit('"'))
+    text = lambda c: F.col(c).cast("string")
+    full = page.select(
+        (2 * F.col("page_id")).alias("record_id"), "url", (2 * F.col("page_id")).alias("at"), F.lit("response").alias("kind"), tag.alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("date"), text("page_id")).alias("headers"),
+    )
+    again = page.select(
+        (2 * F.col("page_id") + 1).alias("record_id"), "url", (2 * F.col("page_id") + 1 + F.pmod("page_id", F.lit(7)) * 5000).alias("at"),
+        F.lit("revisit").alias("kind"), F.concat(F.lit('"'), F.col("sum"), F.lit('"')).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), text("page_id"), F.lit("vary"), F.lit("accept")).alias("headers"),
+    )
+    return full.unionByName(again)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit with its original; the original's payload checksum is joined by record id."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = warc.resolve_revisits(page_captures(pages))
+    payload = pages.select((2 * F.col("page_id")).alias("original_id"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("payload_sha256"))
+    headers = "array_join(transform(array_sort(map_entries(headers)), x -> concat(x.key, ': ', x.value)), '\\n')"
+    return found.join(payload, "original_id", "left").select(
+        "record_id", "url_key", "status", "original_id", F.when(F.col("status") == "resolved", F.col("payload_sha256")).alias("payload_sha256"), F.expr(headers).alias("headers")
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     features = durable(quality.quality_features(docs).drop("text"))
@@ -57,9 +115,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_substring": op4_substring,
+    "op5_decontamination": op5_decontamination,
+    "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }

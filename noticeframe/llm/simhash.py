@@ -104,3 +104,11 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     named = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
     ids = rooted.select("fp", "_root").join(named, "_root").select("fp", "component_id")
     return rows.join(ids, "fp", "left").select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group, each once; rows without an id stay."""
+    groups = near_duplicate_groups(docs.where(F.col(key).isNotNull()), key, text, **how)
+    first = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    named = docs.join(first, key, "left_semi").withColumn("_copy", F.xxhash64(F.col(text))).dropDuplicates([key, "_copy"]).drop("_copy")
+    return named.select(docs.columns).union(docs.where(F.col(key).isNull()))
