@@ -45,6 +45,7 @@ def dealt_order(df: DataFrame, keys: list[str], parts: int | None = None) -> Dat
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.withColumn("_row", F.monotonically_increasing_id())
+    # Durable at once: range partitioning reads its input twice, and row numbers must not change.
+    tagged = durable(df.withColumn("_row", F.monotonically_increasing_id()))
     dealt = tagged.repartitionByRange(parts, *[F.col(k).asc_nulls_first() for k in keys], F.col("_row"))
     return durable(dealt.withColumn("_part", F.spark_partition_id()))
