@@ -52,15 +52,14 @@ FROM d LEFT JOIN a ON d.doc_id = a.doc_id"""
 def _quality() -> str:
     votes = [f"vote_{r}" for r in quality.RULES]
     cast = ", ".join(f"{e} AS {v}" for v, e in zip(votes, quality.RULES.values()))
-    rounds = [f"m0 AS (SELECT {', '.join(f'{quality.START_ACCURACY}::DOUBLE AS a{k}' for k in range(len(votes)))}, {quality.START_GOOD}::DOUBLE AS good)"]
-    odds = "ln(good / (1 - good))" + "".join(f" + {v} * ln(a{k} / (1 - a{k}))" for k, v in enumerate(votes))
+    g0, b0 = quality.START
+    rounds = [f"m0 AS (SELECT {', '.join(f'{g0}::DOUBLE AS g{k}, {b0}::DOUBLE AS b{k}' for k in range(len(votes)))}, {quality.START_GOOD}::DOUBLE AS good)"]
+    odds = "ln(good / (1 - good))" + "".join(f" + CASE WHEN {v} > 0 THEN ln(g{k} / (1 - b{k})) WHEN {v} < 0 THEN ln((1 - g{k}) / b{k}) ELSE 0 END" for k, v in enumerate(votes))
     for n in range(1, quality.ROUNDS + 1):
         rounds.append(f"e{n} AS MATERIALIZED (SELECT p.*, 1 / (1 + exp(-({odds}))) AS post FROM p, m{n - 1})")
-        accuracy = ", ".join(
-            f"coalesce(least({quality.MOST_ACCURACY}, greatest({quality.LEAST_ACCURACY}, sum(n * CASE WHEN {v} > 0 THEN post ELSE 1 - post END) FILTER ({v} <> 0) / sum(n) FILTER ({v} <> 0))), {quality.START_ACCURACY}) AS a{k}"
-            for k, v in enumerate(votes)
-        )
-        rounds.append(f"m{n} AS MATERIALIZED (SELECT {accuracy}, least({quality.MOST_GOOD}, greatest({quality.LEAST_GOOD}, sum(n * post) / sum(n))) AS good FROM e{n})")
+        rate = lambda v, sign, w, c: f"coalesce(least({quality.MOST[c]}, greatest({quality.LEAST[c]}, sum(n * {w}) FILTER ({v} {sign} 0) / nullif(sum(n * {w}) FILTER ({v} <> 0), 0))), CASE WHEN sum(n * {w}) FILTER ({v} <> 0) > 0 THEN {quality.LEAST[c]} ELSE {quality.START[c]} END)"
+        rates = ", ".join(f"{rate(v, '>', 'post', 0)} AS g{k}, {rate(v, '<', '(1 - post)', 1)} AS b{k}" for k, v in enumerate(votes))
+        rounds.append(f"m{n} AS MATERIALIZED (SELECT {rates}, least({quality.MOST_GOOD}, greatest({quality.LEAST_GOOD}, sum(n * post) / sum(n))) AS good FROM e{n})")
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS ll FROM d),
@@ -68,8 +67,8 @@ tri AS (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, w[i], w[i + 1], w[
 rep AS (SELECT row_id, count(DISTINCT i + o) AS n FROM tri, (VALUES (0), (1), (2)) AS x(o) WHERE c > 1 GROUP BY row_id),
 f AS (SELECT l.row_id, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-             CAST(len(ll) - len(list_distinct(ll)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ll) AS n_lines,
-             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs
+             CAST(len(ll) - len(list_distinct(ll)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters,
+             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper
       FROM l LEFT JOIN rep ON l.row_id = rep.row_id),
 v AS (SELECT *, {cast}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 p AS MATERIALIZED (SELECT {', '.join(votes)}, count(*) AS n FROM v GROUP BY ALL),

@@ -3,7 +3,7 @@
 Every rule votes good (1), bad (-1) or abstains (0). Documents are counted by their pattern of
 votes: with ``len(RULES)`` rules there are at most ``3 ** len(RULES)`` patterns, however many
 documents there are, so the pattern counts are a bounded table. Expectation-maximisation over those
-counts estimates each rule's accuracy and the share of good documents. The posterior probability of
+counts estimates each rule's accuracy on good and on bad documents and the share of good ones. The posterior probability of
 a document is then an arithmetic expression of its votes, evaluated in the scan.
 
 Null texts count as empty (no words, every count 0, base rule failed). An empty table gives no rows
@@ -25,16 +25,16 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Votes as SQL over the features; the same text serves Spark and the DuckDB check.
 RULES = {
     "length": "CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END",
-    "word_length": "CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 9 * n_words THEN 1 ELSE 0 END",
+    "word_length": "CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 7 * n_words THEN 1 ELSE 0 END",
     "symbols": "CASE WHEN 10 * n_symbols > n_words THEN -1 WHEN 50 * n_symbols <= n_words THEN 1 ELSE 0 END",
-    "lines": "CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN -1 WHEN 20 * n_dup_lines <= n_lines AND n_lines > 1 THEN 1 ELSE 0 END",
+    "letters": "CASE WHEN 10 * n_letters < 8 * word_chars THEN -1 WHEN 10 * n_letters >= 9 * word_chars THEN 1 ELSE 0 END",
     "repeats": "CASE WHEN 4 * n_repeat_words > n_words THEN -1 WHEN 20 * n_repeat_words <= n_words THEN 1 ELSE 0 END",
     "case": "CASE WHEN 10 * n_upper > 3 * word_chars THEN -1 WHEN 20 * n_upper <= 3 * word_chars THEN 1 ELSE 0 END",
-    "shouting": "CASE WHEN 10 * n_bangs > n_words THEN -1 WHEN 50 * n_bangs <= n_words THEN 1 ELSE 0 END",
 }
-ROUNDS = 25
-START_ACCURACY, LEAST_ACCURACY, MOST_ACCURACY = 0.8, 0.55, 0.99
-START_GOOD, LEAST_GOOD, MOST_GOOD = 0.7, 0.05, 0.95
+ROUNDS = 15
+#: Starting accuracy of a rule on good and on bad documents it votes on, and their bounds.
+START, LEAST, MOST = (0.95, 0.4), (0.9, 0.1), (0.999, 0.99)
+START_GOOD, LEAST_GOOD, MOST_GOOD = 0.8, 0.05, 0.95
 KEEP_FROM = 0.5
 
 
@@ -67,9 +67,8 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": "cast(length(_t) - length(regexp_replace(_t, '[#*$%&|<>]', '')) AS bigint)",
         "n_dup_lines": "cast(size(_ll) - size(array_distinct(_ll)) AS bigint)",
         "n_repeat_words": covered,
-        "n_lines": "cast(size(_ll) AS bigint)",
+        "n_letters": "cast(length(regexp_replace(_t, '[^\\\\p{L}]', '')) AS bigint)",
         "n_upper": "cast(length(_t) - length(regexp_replace(_t, '[A-Z]', '')) AS bigint)",
-        "n_bangs": "cast(length(_t) - length(replace(_t, '!', '')) AS bigint)",
     }
     counted = twice.select(*[F.col(f"`{c}`") for c in names if c not in own], *[F.expr(e).alias(c) for c, e in own.items()])
     return counted.select("*", *[F.expr(e).alias(f"vote_{r}") for r, e in RULES.items()]).withColumn(
@@ -77,30 +76,38 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def fit_rules(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[float], float]:
-    """Accuracies and the share of good documents, by expectation-maximisation over pattern counts."""
+Model = tuple[list[tuple[float, float]], float]
+
+
+def fit_rules(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> Model:
+    """Accuracy of each rule on good and on bad documents, and the share of good ones, by EM over pattern counts."""
     rows = sorted(patterns)
-    accuracy, good = [START_ACCURACY] * len(RULES), START_GOOD
-    if not rows:
-        return accuracy, good
+    accuracy, good = [START] * len(RULES), START_GOOD
     total = sum(n for _, n in rows)
-    for _ in range(rounds):
-        right, cast, share = [0.0] * len(RULES), [0.0] * len(RULES), 0.0
+    for _ in range(rounds if rows else 0):
+        right, cast, share = [[0.0, 0.0] for _ in RULES], [[0.0, 0.0] for _ in RULES], 0.0
         for votes, n in rows:
-            p = posterior(votes, accuracy, good)
+            p = posterior(votes, (accuracy, good))
             share += n * p
             for k, v in enumerate(votes):
                 if v:
-                    right[k] += n * (p if v > 0 else 1 - p)
-                    cast[k] += n
-        accuracy = [min(MOST_ACCURACY, max(LEAST_ACCURACY, r / c if c else START_ACCURACY)) for r, c in zip(right, cast)]
+                    for c, weight in enumerate((n * p, n * (1 - p))):
+                        cast[k][c] += weight
+                        right[k][c] += weight * (v == (1, -1)[c])
+        accuracy = [tuple(min(MOST[c], max(LEAST[c], r[c] / n[c] if n[c] else START[c])) for c in (0, 1)) for r, n in zip(right, cast)]
         good = min(MOST_GOOD, max(LEAST_GOOD, share / total))
     return accuracy, good
 
 
-def posterior(votes: tuple[int, ...], accuracy: list[float], good: float) -> float:
-    odds = math.log(good / (1 - good)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy))
-    return 1 / (1 + math.exp(-odds))
+def weights(model: Model) -> tuple[float, list[tuple[float, float]]]:
+    """Log-odds for good: of the prior, and of each rule's good and bad vote."""
+    accuracy, good = model
+    return math.log(good / (1 - good)), [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in accuracy]
+
+
+def posterior(votes: tuple[int, ...], model: Model) -> float:
+    prior, each = weights(model)
+    return 1 / (1 + math.exp(-(prior + sum(w[v < 0] for v, w in zip(votes, each) if v))))
 
 
 def pattern_counts(features: DataFrame) -> list[tuple[tuple[int, ...], int]]:
@@ -109,10 +116,12 @@ def pattern_counts(features: DataFrame) -> list[tuple[tuple[int, ...], int]]:
     return [(tuple(row[:-1]), row[-1]) for row in features.groupBy(*votes).count().collect()]
 
 
-def with_posterior(features: DataFrame, accuracy: list[float], good: float) -> DataFrame:
-    odds = F.lit(math.log(good / (1 - good)))
-    for rule, a in zip(RULES, accuracy):
-        odds = odds + F.col(f"vote_{rule}") * F.lit(math.log(a / (1 - a)))
+def with_posterior(features: DataFrame, model: Model) -> DataFrame:
+    """``features`` with the posterior ``quality`` and the verdict ``kept``."""
+    prior, each = weights(model)
+    odds = F.lit(prior)
+    for rule, (plus, minus) in zip(RULES, each):
+        odds = odds + F.when(F.col(f"vote_{rule}") > 0, F.lit(plus)).when(F.col(f"vote_{rule}") < 0, F.lit(minus)).otherwise(F.lit(0.0))
     p = 1 / (1 + F.exp(-odds))
     # A verdict that depends on a row number stays where it is: a filter on it is not pushed down into
     # the features, which would repeat their expressions many times over.

@@ -106,7 +106,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     features = durable(quality.quality_features(docs).drop("text"))
-    scored = quality.with_posterior(features, *quality.fit_rules(quality.pattern_counts(features)))
+    scored = quality.with_posterior(features, quality.fit_rules(quality.pattern_counts(features)))
     return scored.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
