@@ -7,7 +7,7 @@ place inside, words that are an indexed block somewhere. The steps:
 
 1. Anchors: the hashes of all blocks and of every rolling stretch of ``BLOCK`` words are dealt into
    buckets by hash. A hash is an anchor when it is an indexed block and occurs at two places or more.
-2. Extension: windows that cover an anchor are hashed whole, in 128 bits, and dealt into buckets
+2. Extension: windows that cover an anchor are hashed whole, in 96 bits below their bucket, and dealt into buckets
    again; for each the earliest place (document, start) is found. Runs of windows that are not the
    earliest of their kind are the maximal exact repeats that go.
 3. Each document's words covered by such a run are removed.
@@ -37,6 +37,7 @@ from .hashing import BASE, OTHER_BASE, WordHashes, mixed, rolled
 
 WINDOW, BLOCK = 20, 10
 CHUNK, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 6_000_000, 48
+PACKING_LEVEL = 5
 NULL_ID = -(2**63)
 
 
@@ -88,7 +89,7 @@ class Chunk:
         return at, inverse, distinct, indexed, counts > 1
 
     def windows(self, anchored):
-        """Places of the windows that cover an anchor, and their 128-bit hashes."""
+        """Places of the windows that cover an anchor, and their hash pairs."""
         import numpy as np
 
         at = self.places(WINDOW)
@@ -184,10 +185,11 @@ def _with_answers(docs: DataFrame, answers: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        codec = pa.Codec("zstd", compression_level=PACKING_LEVEL)
         for name, ids, texts in _chunks(batches):
             body = b"".join(texts)
             head = struct.pack("<q", len(ids)) + b"".join(struct.pack("<qq", i, len(t)) for i, t in zip(ids, texts))
-            packed = pa.compress(head + body, codec="zstd", asbytes=True)
+            packed = codec.compress(head + body, asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([struct.pack("<q", len(head) + len(body)) + packed], pa.binary())], names=["chunk", "docs"])
 
     chunks = docs.mapInArrow(run, "chunk string, docs binary")
@@ -252,7 +254,9 @@ def _window_entries(buckets: int):
             rows = []
             for b, e in _groups(_bucket(pair[:, 0], buckets), buckets):
                 doc = chunk.doc[at[e]]
-                rows.append((name, b, b"".join((pair[e, 0].tobytes(), pair[e, 1].tobytes(), ids[doc].tobytes(), rank[doc].astype("<i4").tobytes(), chunk.start[at[e]].astype("<i4").tobytes()))))
+                where = ids[doc].tobytes() + rank[doc].astype("<i4").tobytes() + chunk.start[at[e]].astype("<i4").tobytes()
+                hashes = pair[e, 0].tobytes() + (pair[e, 1] >> np.uint64(32)).astype("<u4").tobytes()
+                rows.append((name, b, struct.pack("<i", len(e)) + hashes + pa.compress(where, codec="zstd", asbytes=True)))
             if rows:
                 yield _row(pa, ENTRIES, rows)
 
@@ -265,9 +269,11 @@ def _window_answers(table):
     import pyarrow as pa
 
     names, data = table.column("chunk").to_pylist(), table.column("data").to_pylist()
-    sizes = [len(d) // 32 for d in data]
-    read = lambda kind, at: np.concatenate([np.frombuffer(d, kind, n, at * n) for d, n in zip(data, sizes)])
-    a, b, doc, rank, start = read("<u8", 0), read("<u8", 8), read("<i8", 16), read("<i4", 24), read("<i4", 28)
+    sizes = [struct.unpack_from("<i", d)[0] for d in data]
+    where = [pa.decompress(d[4 + 12 * n :], 16 * n, codec="zstd", asbytes=True) for d, n in zip(data, sizes)]
+    read = lambda parts, kind, at, head=0: np.concatenate([np.frombuffer(d, kind, n, head + at * n) for d, n in zip(parts, sizes)])
+    a, b = read(data, "<u8", 0, 4), read(data, "<u4", 8, 4)
+    doc, rank, start = read(where, "<i8", 0), read(where, "<i4", 8), read(where, "<i4", 12)
     place = {c: i for i, c in enumerate(sorted(set(names), key=lambda c: tuple(map(int, c.split(":")))))}
     chunk = np.repeat([place[c] for c in names], sizes)
     order = np.lexsort((start, rank, chunk, doc, b, a))
