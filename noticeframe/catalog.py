@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import facts, text, timeutil
@@ -20,8 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TODAY = "1998-06-01"
-NOW = F.lit("1998-06-01 04:00:00").cast("timestamp")
-EVENT_NOW = F.lit("2024-01-15 00:00:00").cast("timestamp")
+def at(text: str) -> Column:
+    return F.lit(text).cast("timestamp")
+
+
+NOW, EVENT_NOW = "1998-06-01 04:00:00", "2024-01-15 00:00:00"
 
 
 def query(sql: str | None = None) -> Callable:
@@ -166,7 +169,7 @@ FROM (SELECT *, greatest(0, date_diff('day', DATE '1998-06-01', CAST(due + INTER
 def countdown(spark, sf_dir):
     """Urgency of a deadline that lasts to its UTC+8 day's end."""
     d = F.col("deadline")
-    return notices(spark, sf_dir).select("seq", timeutil.countdown(d, NOW).alias("urgency"), timeutil.expired(d, NOW).alias("expired"))
+    return notices(spark, sf_dir).select("seq", timeutil.countdown(d, at(NOW)).alias("urgency"), timeutil.expired(d, at(NOW)).alias("expired"))
 
 
 @query(
@@ -177,7 +180,7 @@ SELECT seq, CASE WHEN listing_status = 'withdrawn' THEN 'expired' WHEN due < TIM
 def lifecycle_stage(spark, sf_dir):
     """First stage that holds."""
     kind = F.when(F.col("types")[0] == "1-URGENT", "extended").when(F.col("types")[0] == "2-HIGH", "supplemental").otherwise("")
-    stage = facts.lifecycle_stage(F.col("company"), F.col("deadline"), F.col("listing_status"), kind, F.col("sectors")[0] == "MACHINERY", NOW)
+    stage = facts.lifecycle_stage(F.col("company"), F.col("deadline"), F.col("listing_status"), kind, F.col("sectors")[0] == "MACHINERY", at(NOW))
     return notices(spark, sf_dir).select("seq", stage.alias("stage"))
 
 
@@ -420,7 +423,7 @@ def priority_queue(spark, sf_dir):
 )
 def freshness_audit(spark, sf_dir):
     """A22."""
-    return audit.freshness(table(spark, sf_dir, "events"), "event_type", "ts", EVENT_NOW)
+    return audit.freshness(table(spark, sf_dir, "events"), "event_type", "ts", at(EVENT_NOW))
 
 
 @query("SELECT n_nationkey, n_name, count(o_orderkey) AS active, count(*) FILTER (o_orderstatus = 'F') AS final, count(*) FILTER (o_orderstatus = 'P') AS pending FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
@@ -482,7 +485,7 @@ def first_published(spark, sf_dir):
 def agenda(spark, sf_dir):
     """Upcoming first, past in reverse."""
     e = table(spark, sf_dir, "events").where("event_type = 'click'")
-    return calendar.agenda(e, "ts", F.col("ts") + F.expr("INTERVAL 2 HOURS"), EVENT_NOW).select("event_id", "past", "agenda_order")
+    return calendar.agenda(e, "ts", F.col("ts") + F.expr("INTERVAL 2 HOURS"), at(EVENT_NOW)).select("event_id", "past", "agenda_order")
 
 
 @query(
@@ -492,7 +495,7 @@ UNION ALL SELECT o_orderkey, 'deadline', o_orderdate FROM orders WHERE o_orderke
 def reminders(spark, sf_dir):
     """O11."""
     o = table(spark, sf_dir, "orders").withColumn("next", F.col("o_orderdate"))
-    return calendar.reminders(o, "o_orderkey", NOW, "o_orderdate", "next", F.col("o_orderstatus") == "O", F.lit(False), F.col("o_orderkey") % 13 == 0)
+    return calendar.reminders(o, "o_orderkey", at(NOW), "o_orderdate", "next", F.col("o_orderstatus") == "O", F.lit(False), F.col("o_orderkey") % 13 == 0)
 
 
 @query("SELECT o_orderkey, 'ordered' AS milestone, o_orderdate AS at FROM orders UNION ALL SELECT o_orderkey, 'first_ship', min(l_shipdate) FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 UNION ALL SELECT o_orderkey, 'last_ship', max(l_shipdate) FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

@@ -93,7 +93,7 @@ def plain_html(html: Column) -> Column:
     bare = replaced(html, (r"(?is)<(script|style)[^>]*>.*?</\1>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|table|ul|ol|article|section)>", "\n"), (r"(?s)<[^>]*>", " "))
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(char))
-    return F.trim(replaced(bare, (r"[ \t\x0B\f\r]+", " "), (r" ?\n\s*", "\n")))
+    return replaced(bare, (r"[ \t\x0B\f\r]+", " "), (r" ?\n\s*", "\n"), (r"^\s+|\s+$", ""))
 
 
 def safe_url(url: Column) -> Column:

@@ -66,7 +66,7 @@ def deadlines(body: Column) -> Column:
     pattern = r"(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
     joined = F.array_join(lines, "\n")
     parts = [F.regexp_extract_all(joined, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
-    days = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "ymd")]), lambda x: F.concat_ws("-", x["0"], F.lpad(x["1"], 2, "0"), F.lpad(x["2"], 2, "0")))
+    days = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "ymd")]), lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")))
     return F.array_sort(F.array_distinct(F.filter(days, lambda d: F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNotNull())))
 
 
@@ -86,7 +86,7 @@ def prose_positions(body: Column, limit: int = 12) -> Column:
     """``name`` and ``count`` of phrases like 软件工程师 3 名."""
     pattern = r"([一-龥A-Za-z]{2,16}?(?:岗|师|员|经理|助理|专员|主管))[^\d一-龥]{0,3}(\d{1,3})\s*[名人]"
     names, counts = (F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(pattern), F.lit(g)) for g in (1, 2))
-    return F.slice(F.transform(F.arrays_zip(names.alias("n"), counts.alias("c")), lambda x: F.struct(x["0"].alias("name"), x["1"].cast("int").alias("count"))), 1, limit)
+    return F.slice(F.transform(F.arrays_zip(names.alias("n"), counts.alias("c")), lambda x: F.struct(x["n"].alias("name"), x["c"].cast("int").alias("count"))), 1, limit)
 
 
 def text_grid(text: str) -> list[list[str]]:
@@ -114,7 +114,7 @@ def _fields_of(header: Sequence[str]) -> dict[str, int]:
 def positions_of_grid(grid: Sequence[Sequence[str]]) -> list[dict[str, str]]:
     """Rows under the best header of one to three rows among the first five; key-value cards otherwise.
 
-    A header's score is ten per known field plus its depth. Header rows are joined by column; repeated
+    A header's score is ten per known field less its depth, so data rows do not join it. Header rows are joined by column; repeated
     headers inside the table are skipped; a row needs a name.
     """
     width = max((len(r) for r in grid), default=0)
@@ -125,7 +125,7 @@ def positions_of_grid(grid: Sequence[Sequence[str]]) -> list[dict[str, str]]:
             joined = ["".join(dict.fromkeys(full[start + d][i] for d in range(depth))) for i in range(width)]
             found = _fields_of(joined)
             if "name" in found and len(found) > 1:
-                score = 10 * len(found) + (depth if depth > 1 and len(found) > len(_fields_of(full[start])) else 0)
+                score = 10 * len(found) - depth
                 if score > best[0]:
                     best = (score, start + depth, found)
     score, first, fields = best
