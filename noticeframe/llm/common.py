@@ -31,6 +31,12 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under neutral column names, and the map to them: no column of a caller clashes with an inner one."""
+    names = {c: f"__{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; an empty array when it has none."""
     trimmed = F.btrim(text, F.lit(SPACES))

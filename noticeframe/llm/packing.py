@@ -2,9 +2,8 @@
 
 Texts are tokenised and cut into full pieces and one remainder. The counts of remainders by length
 form a histogram of at most ``limit`` rows, whatever the corpus. The packer works on counts, never on
-documents: lengths are placed longest first, each time into the pack with the least room that still
-fits (the shortest remaining gap) and otherwise into a new pack; what it returns is a list of packing
-patterns with multiplicities. Pieces then meet their pattern by rank within their length: ranks come
+documents: lengths are placed longest first, each time into the shortest pack so far if there is room
+in it, otherwise into a new pack; what it returns is a list of packing patterns with multiplicities. Pieces then meet their pattern by rank within their length: ranks come
 from per-partition counts and prefix sums, so a length that a third of all rows share is not
 gathered anywhere.
 
@@ -121,7 +120,7 @@ def pack_histogram(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            room = next((r for r in range(length, limit) if open_packs[r]), None)
+            room = next((r for r in range(limit - 1, length - 1, -1) if open_packs[r]), None)
             if room is None:
                 count, lengths, room = left, (), limit
             else:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import set_aside, whole_text
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -82,9 +82,11 @@ def _matches(kind: str) -> str:
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``: array of struct(s, r, e, k, score), by start, then kind as listed."""
-    names = [F.col(f"`{c}`") for c in docs.columns if c != "pii"]
-    found = docs.select(*names, whole_text(text).alias("_t")).select(*names, "_t", *[F.expr(_matches(k)).alias(f"_{k}") for k in KINDS])
-    return found.select(*names, F.array_sort(F.concat(*[f"_{k}" for k in KINDS])).alias("pii"))
+    plain, names = set_aside(docs)
+    found = plain.select("*", whole_text(names[text]).alias("_t"))
+    found = found.select(*names.values(), *[F.expr(_matches(k)).alias(f"_{k}") for k in KINDS])
+    spans = F.array_sort(F.concat(*[f"_{k}" for k in KINDS]))
+    return found.select(*[F.col(n).alias(c) for c, n in names.items() if c != "pii"], spans.alias("pii"))
 
 
 def span_text(spans: str) -> str:
@@ -98,12 +100,13 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Overlapping spans are replaced once, under the kind of the first. ``n_chars``, where there is
     such a column, is set to the new length.
     """
-    names = docs.columns
+    plain, names = set_aside(docs)
+    t = names[text]
     merged = "aggregate(pii, cast(array() AS array<struct<s:int,e:int,k:string>>), (a, x) -> CASE WHEN size(a) > 0 AND x.s < element_at(a, -1).e THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(x.e, element_at(a, -1).e), 'k', element_at(a, -1).k))) ELSE concat(a, array(named_struct('s', x.s, 'e', x.e, 'k', x.k))) END)"
-    cut = f"concat(array_join(transform(_x, (x, i) -> concat(substr(`{text}`, coalesce(get(_x, i - 1).e, 0) + 1, x.s - coalesce(get(_x, i - 1).e, 0)), '[', upper(x.k), ']')), ''), substr(`{text}`, element_at(_x, -1).e + 1))"
-    spans = find_spans(docs, text).select(*[F.col(f"`{c}`") for c in names], F.expr(merged).alias("_x"))
-    clean = F.expr(f"CASE WHEN size(_x) = 0 THEN `{text}` ELSE {cut} END")
-    out = spans.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    cut = f"concat(array_join(transform(_x, (x, i) -> concat(substr({t}, coalesce(get(_x, i - 1).e, 0) + 1, x.s - coalesce(get(_x, i - 1).e, 0)), '[', upper(x.k), ']')), ''), substr({t}, element_at(_x, -1).e + 1))"
+    spans = find_spans(plain, t).select(*names.values(), F.expr(merged).alias("_x"))
+    clean = spans.withColumn(t, F.expr(f"CASE WHEN size(_x) = 0 THEN {t} ELSE {cut} END"))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*names)
+        n = names["n_chars"]
+        clean = clean.withColumn(n, F.when(F.col(t).isNull(), F.col(n)).otherwise(F.char_length(t).cast(dict(docs.dtypes)["n_chars"])))
+    return clean.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -19,7 +19,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, whole_text, words_of
+from .common import SPACES, set_aside, whole_text, words_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Votes as SQL over the features; the same text serves Spark and the DuckDB check.
@@ -40,10 +40,10 @@ KEEP_FROM = 0.5
 
 def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts, three further counts and one vote column per rule."""
-    names = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(text).alias("_t"))
+    aside, names = set_aside(docs)
+    plain = aside.select("*", whole_text(names[text]).alias("_t"))
     split = plain.select("*", words_of(F.col("_t")).alias("_w"), F.split("_t", "\n", -1).alias("_l"))
-    lines = f"filter(_l, x -> btrim(x, '{SPACES.encode('unicode_escape').decode()}') <> '')"
+    lines = f"filter(_l, x -> btrim(x, '{SPACES}') <> '')"
     # A window's hash above its place, so that one primitive sort brings equal windows together.
     # Places take 20 bits, or 31 in texts of more than a million words; the words decide, not the hash.
     windows = "sort_array(CASE WHEN size(_w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(_w) - 3), i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _b) | cast(i AS bigint)) END)"
@@ -70,7 +70,7 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_letters": "cast(length(regexp_replace(_t, '[^\\\\p{L}]', '')) AS bigint)",
         "n_upper": "cast(length(_t) - length(regexp_replace(_t, '[A-Z]', '')) AS bigint)",
     }
-    counted = twice.select(*[F.col(f"`{c}`") for c in names if c not in own], *[F.expr(e).alias(c) for c, e in own.items()])
+    counted = twice.select(*[F.col(n).alias(c) for c, n in names.items() if c not in own], *[F.expr(e).alias(c) for c, e in own.items()])
     return counted.select("*", *[F.expr(e).alias(f"vote_{r}") for r, e in RULES.items()]).withColumn(
         "base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     )
@@ -125,5 +125,5 @@ def with_posterior(features: DataFrame, model: Model) -> DataFrame:
     p = 1 / (1 + F.exp(-odds))
     # A verdict that depends on a row number stays where it is: a filter on it is not pushed down into
     # the features, which would repeat their expressions many times over.
-    fixed = features.withColumn("_above", F.monotonically_increasing_id())
-    return fixed.withColumn("quality", p).withColumn("kept", ~F.col("base_failed") & (p >= KEEP_FROM) & (F.col("_above") >= 0)).drop("_above")
+    fixed = features.withColumn("__above", F.monotonically_increasing_id())
+    return fixed.withColumn("quality", p).withColumn("kept", ~F.col("base_failed") & (p >= KEEP_FROM) & (F.col("__above") >= 0)).drop("__above")

@@ -110,5 +110,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     """The rows of ``docs`` with the smallest id of their group, each once; rows without an id stay."""
     groups = near_duplicate_groups(docs.where(F.col(key).isNotNull()), key, text, **how)
     first = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.join(first, key, "left_semi").withColumn("_copy", F.xxhash64(F.col(text))).dropDuplicates([key, "_copy"]).drop("_copy")
+    named = docs.join(first, key, "left_semi").withColumn("__copy", F.xxhash64(F.col(text))).dropDuplicates([key, "__copy"]).drop("__copy")
     return named.select(docs.columns).union(docs.where(F.col(key).isNull()))
