@@ -104,7 +104,7 @@ def safe_url(url: Column) -> Column:
 
 def ics_escaped(text: Column) -> Column:
     """Calendar text escapes."""
-    return replaced(F.coalesce(text, F.lit("")), (r"\\", r"\\\\"), (";", r"\;"), (",", r"\\,"), (r"\r\n|\r|\n", r"\\n"))
+    return replaced(F.coalesce(text, F.lit("")), (r"\\", r"\\\\"), (";", r"\\;"), (",", r"\\,"), (r"\r\n|\r|\n", r"\\n"))
 
 
 def xml_escaped(text: Column) -> Column:
