@@ -1 +1,10 @@
-"""Spark-native analytics over semi-structured notices: facts, state, entities, queries, audits."""
+"""Spark-native analytics over semi-structured notices: facts, state, entities, queries, audits.
+
+Functions that run in Python workers are sent by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
