@@ -30,6 +30,8 @@ from .common import whole_text
 from .hashing import WordHashes, mixed, rolled
 
 SHINGLE_WORDS, CONTAINED, PERMUTATIONS, MISS, ITEM_BLOCK, LEAST = 5, 0.8, 64, 1e-4, 20_000, 8
+#: Bounds of what a task works on at once.
+ROWS_AT_ONCE, SHINGLES_AT_ONCE = 512, 500_000
 WORD = re.compile(rb"[^\x00-\x20!-/:-@\[-`{-~]+")
 
 
@@ -83,48 +85,71 @@ class ItemIndex:
                 m[k, (v * 0x9E3779B97F4A7C15 % 2**64) >> (64 - self.bits)] = True
         self.rare = np.array(sorted(self.exact), dtype=np.uint64)
 
-    def candidates(self, h) -> set[int]:
+    def candidates(self, hashes: list) -> list[set[int]]:
+        """Candidate items of each document, given its shingle hashes in order; all documents at once.
+
+        Blocks never cross documents. The blocks of a size are merged in pairs for the next size, and a
+        piece is a block with its successor in the same document.
+        """
         import numpy as np
 
-        found: set[int] = set()
+        found: list[set[int]] = [set() for _ in hashes]
+        sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+        h = np.concatenate(hashes)
+        doc = np.repeat(np.arange(len(hashes)), sizes)
         if len(self.rare):
-            for x in np.unique(h[np.isin(h, self.rare)]).tolist():
-                found.update(self.exact[x])
+            for at in np.flatnonzero(np.isin(h, self.rare)).tolist():
+                found[doc[at]].update(self.exact[int(h[at])])
         if not self.maps:
             return found
-        top, base = max(self.maps), min(self.maps)
-        starts = np.arange(0, len(h), base)
+        base, top = min(self.maps), max(self.maps)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first, levels, size = np.flatnonzero(place % base == 0), [], base
+        owner = doc[first]
+        while size <= top:
+            last = np.append(owner[1:] != owner[:-1], True)
+            number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            pairs = np.flatnonzero(number % 2 == 0)
+            levels.append((size, owner, last, pairs))
+            owner, size = owner[pairs], 2 * size
         shift, spread = np.uint64(64 - self.bits), np.uint64(0x9E3779B97F4A7C15)
         for k, f in enumerate(self.factors):
-            block, size = np.minimum.reduceat(h * f, starts), base
-            while size <= top:
-                piece = block if len(block) < 2 else np.minimum(block[:-1], block[1:])
+            block = np.minimum.reduceat(h * f, first)
+            for size, own, last, pairs in levels:
                 if size in self.maps:
-                    for v in piece[self.maps[size][k][(piece * spread) >> shift]].tolist():
-                        found.update(self.parts[size].get((k, v), ()))
-                if len(block) > 1:
-                    even = block[: len(block) // 2 * 2].reshape(-1, 2).min(axis=1)
-                    block = np.concatenate([even, block[-1:]]) if len(block) % 2 else even
-                size *= 2
+                    piece = np.append(np.minimum(block[:-1], block[1:]), block[-1:])
+                    piece[last] = block[last]
+                    for at in np.flatnonzero(self.maps[size][k][(piece * spread) >> shift]).tolist():
+                        found[own[at]].update(self.parts[size].get((k, int(piece[at])), ()))
+                if size < top:
+                    block = np.minimum.reduceat(block, pairs)
         return found
 
 
-def _contained(index: ItemIndex, known: WordHashes, text: str | None) -> Iterator[tuple[object, int, int]]:
-    """``(item, item shingles, shared)`` for every item contained in a text."""
+def _contained(index: ItemIndex, known: WordHashes, texts: list[str | None]) -> Iterator[tuple[int, object, int, int]]:
+    """``(text number, item, item shingles, shared)`` for every item contained in a text."""
     import numpy as np
 
-    parts = words(text or "")
-    if not parts or not index.items:
-        return
-    h, own = _hashes(parts, known), None
-    for i in sorted(index.candidates(h)):
-        name, wanted, distinct = index.items[i]
-        if np.isin(distinct, h).sum() < CONTAINED * len(distinct):
-            continue
-        own = shingles(parts) if own is None else own
-        shared = len(wanted & own)
-        if shared >= CONTAINED * len(wanted):
-            yield name, len(wanted), shared
+    split = [words(t or "") for t in texts]
+    numbers = [i for i, parts in enumerate(split) if parts]
+    first = 0
+    while index.items and first < len(numbers):
+        stop, held, hashes = first, 0, []
+        while stop < len(numbers) and held < SHINGLES_AT_ONCE:
+            hashes.append(_hashes(split[numbers[stop]], known))
+            held += len(hashes[-1])
+            stop += 1
+        for i, h, candidates in zip(numbers[first:stop], hashes, index.candidates(hashes)):
+            own = None
+            for c in sorted(candidates):
+                name, wanted, distinct = index.items[c]
+                if np.isin(distinct, h).sum() < CONTAINED * len(distinct):
+                    continue
+                own = shingles(split[i]) if own is None else own
+                shared = len(wanted & own)
+                if shared >= CONTAINED * len(wanted):
+                    yield i, name, len(wanted), shared
+        first = stop
 
 
 def _blocks(items: DataFrame, item: str, item_text: str) -> Iterator:
@@ -151,7 +176,10 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
             index, known = ItemIndex(sent.value), WordHashes()
             itype = {"int": pa.int32(), "string": pa.string()}.get(ikind, pa.int64())
             for batch in batches:
-                rows = [(k, name, n, shared, shared / n) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for name, n, shared in _contained(index, known, t)]
+                rows = []
+                for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                    keys = part.column(0).to_pylist()
+                    rows += [(keys[i], name, n, shared, shared / n) for i, name, n, shared in _contained(index, known, part.column(1).to_pylist())]
                 kinds = [batch.schema.field(0).type, itype, pa.int64(), pa.int64(), pa.float64()]
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(columns, kinds)], names=[key, item, "item_shingles", "shared", "containment"])
@@ -171,8 +199,9 @@ def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item: s
 
             index, known = ItemIndex(sent.value), WordHashes()
             for batch in batches:
-                clean = [not any(True for _ in _contained(index, known, t)) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                    bad = {i for i, _, _, _ in _contained(index, known, part.column(at).to_pylist())}
+                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
