@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, whole_text
 from .components import connected_components
+from .hashing import WordHashes, mixed, rolled
 
 SHINGLE_WORDS, RADIUS, SEGMENTS, SEED = 3, 3, 2, 42
 
@@ -95,20 +96,93 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -
     )
 
 
+def _grouped(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """``(key, fp, component_id)`` of rows, from links between distinct fingerprints (fp, _rep)."""
+    joined = connected_components(pairs)
+    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "_rep", F.coalesce("component", "fp").alias("_root"))
+    named = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
+    ids = rooted.select("fp", "_root").join(named, "_root").select("fp", "component_id")
+    return rows.select(key, "fp").join(ids, "fp", "left").select(key, "fp", "component_id")
+
+
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """``(key, fp, component_id)``: one row per input row; the component's smallest key."""
     rows = durable(fingerprints(docs, key, text, words))
     distinct = durable(rows.groupBy("fp").agg(F.min(key).alias("_rep")))
-    joined = connected_components(links(distinct, radius, segments))
-    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "_rep", F.coalesce("component", "fp").alias("_root"))
-    named = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
-    ids = rooted.select("fp", "_root").join(named, "_root").select("fp", "component_id")
-    return rows.join(ids, "fp", "left").select(key, "fp", "component_id")
+    return _grouped(rows, distinct, links(distinct, radius, segments), key)
+
 
+# Near copies beyond the radius: eight further segments, of a SimHash over word pairs, find candidates;
+# the complete distance and a bottom-k sketch of the five-word shingles confirm them.
+LANES, LANE_WORDS, SKETCH_WORDS, SKETCH, FAR, SIMILAR = 8, 2, 5, 128, 14, 0.8
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, fp, lanes, sketch)``: lanes are 32-bit segments, the sketch the least shingle hashes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        known = WordHashes()
+        salts = np.random.default_rng(11).integers(1, 2**63, LANES // 2, dtype=np.uint64)
+        for batch in batches:
+            fps, lanes, sketches = [], [], []
+            for t in batch.column(1).to_pylist():
+                fps.append(fingerprint(t))
+                words = t.encode("utf-8", "surrogatepass").lower().split()
+                h = known.of(words)
+                pairs = rolled(h, min(LANE_WORDS, len(h))) if len(h) else h
+                own = []
+                for salt in salts:
+                    ones, bits = np.zeros(64, dtype=np.int64), mixed(pairs ^ salt).astype(">u8")
+                    for i in range(0, len(bits), 65536):
+                        ones += np.unpackbits(bits[i : i + 65536].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+                    own += np.packbits(2 * ones > len(bits)).view(">u4").tolist()
+                lanes.append(own)
+                shingles = mixed(rolled(h, min(SKETCH_WORDS, len(h)))) >> np.uint64(33) if len(h) else h
+                sketches.append(np.unique(shingles)[:SKETCH].astype(np.int32).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(lanes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))],
+                names=[key, "fp", "lanes", "sketch"],
+            )
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), whole_text(text).alias(text)).mapInArrow(run, f"`{key}` {kind}, fp long, lanes array<bigint>, sketch array<int>")
+
+
+def far_links(distinct: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of fingerprints up to ``FAR`` bits apart with a shingle similarity of ``SIMILAR`` or more.
+
+    Each segment value of the table keeps its least and greatest fingerprint only, so a large family of
+    near copies yields links in proportion to its size; its members meet through those two. The
+    length of a segment follows the number of fingerprints, so unrelated ones rarely share a value.
+    """
+    bits = min(32, max(24, distinct.count().bit_length() + 6))
+    value = F.shiftrightunsigned("lane", 32 - bits)
+    lanes = distinct.select("fp", F.posexplode("lanes").alias("segment", "lane")).select("fp", "segment", value.alias("value"))
+    table = lanes.groupBy("segment", "value").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    around = F.lit(ball(bits, 1)).cast("array<bigint>")
+    probe = lanes.select("fp", "segment", F.explode(around).alias("mask"), "value").select("fp", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    met = probe.join(table, ["segment", "value"]).select("fp", F.explode(F.array("low", "high")).alias("other"))
+    near = met.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= FAR))
+    pairs = near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    side = lambda n: distinct.select(F.col("fp").alias(n), F.col("sketch").alias(f"_{n}"))
+    least = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, SKETCH)
+    shared = F.size(F.array_intersect(least, F.array_intersect("_a", "_b")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= SIMILAR * F.size(least)).select("a", "b")
+
+
+def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``near_duplicate_groups``, with the links of ``far_links`` besides."""
+    rows = durable(signatures(docs, key, text))
+    distinct = durable(rows.groupBy("fp").agg(F.min(key).alias("_rep"), F.min_by(F.struct("lanes", "sketch"), key).alias("s")).select("fp", "_rep", "s.*"))
+    return _grouped(rows, distinct.select("fp", "_rep"), links(distinct.select("fp")).unionByName(far_links(distinct)), key)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", grouping=near_copy_groups) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, each once; rows without an id stay."""
-    groups = near_duplicate_groups(docs.where(F.col(key).isNotNull()), key, text, **how)
+    groups = grouping(docs.where(F.col(key).isNotNull()), key, text)
     first = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
     named = docs.join(first, key, "left_semi").withColumn("__copy", F.xxhash64(F.col(text))).dropDuplicates([key, "__copy"]).drop("__copy")
     return named.select(docs.columns).union(docs.where(F.col(key).isNull()))
