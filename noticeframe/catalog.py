@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import facts, text, timeutil
-from .operators import audit, calendar, entity, relational, reputation, state
+from .operators import audit, calendar, collection, entity, relational, reputation, state
 from .plans import flat_query
 from .plans.params import Query
 
@@ -558,3 +558,56 @@ def opinion_signals(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     rules = [*OPINION_RULES, ("growth", 1, "the"), ("growth", -1, "leaux")]
     return signals(c, F.col("text"), rules).select("conv_id", "turn", "dimension", "polarity", "quote")
+
+
+@query(
+    """WITH one AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) = 1)
+SELECT row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC, o_custkey) AS seq, o_custkey, o_orderkey FROM one QUALIFY seq <= 60"""
+)
+def mart_first_screen(spark, sf_dir):
+    """Newest row of each key, then the first 60; the limit is the feature."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return collection.mart(o, "o_custkey", "day", "o_orderkey")[1].select(F.col("seq").cast("long").alias("seq"), "o_custkey", "o_orderkey")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS k, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type ELSE '' END AS stem FROM part WHERE p_partkey < 300)
+SELECT a.k AS child, arg_max(b.k, (length(b.stem), -b.k)) AS parent FROM s a JOIN s b ON a.k <> b.k AND length(a.stem) >= 7 AND length(b.stem) >= 7 AND contains(a.stem, b.stem) AND (a.stem <> b.stem OR b.k < a.k) GROUP BY 1"""
+)
+def sibling_links(spark, sf_dir):
+    """Containment without a cross join; the key bound is the feature's group."""
+    p = table(spark, sf_dir, "part").where("p_partkey < 300")
+    stem = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), "p_type")).otherwise(""))
+    return collection.sibling_links(p.select(F.col("p_partkey").alias("k"), stem.alias("stem")), "k", "stem")
+
+
+@query(
+    """WITH p AS (SELECT user_id % 10 AS entity, event_type AS dimension, user_id, avg(CASE WHEN value > 50 THEN 1 WHEN value < 25 THEN -1 ELSE 0 END) AS p FROM events GROUP BY ALL),
+d AS (SELECT entity, dimension, CASE WHEN count(*) >= 10 THEN round((sum((p + 1) * 2 + 1) + 15) / (count(*) + 5) + 1e-9, 1) END AS score FROM p GROUP BY ALL),
+w AS (SELECT *, CASE dimension WHEN 'click' THEN 0.3 WHEN 'view' THEN 0.3 WHEN 'error' THEN 0.25 ELSE 0.15 END AS w FROM d WHERE score IS NOT NULL)
+SELECT e.entity, count(w.w) AS scored, CASE WHEN count(w.w) >= 3 THEN round(sum(w.w * w.score) / sum(w.w) + 1e-9, 1) END AS score FROM (SELECT DISTINCT entity FROM d) e LEFT JOIN w ON w.entity = e.entity GROUP BY 1"""
+)
+def entity_scores(spark, sf_dir):
+    """A10: weighted mean of scored dimensions."""
+    polarity = F.when(F.col("value") > 50, 1).when(F.col("value") < 25, -1).otherwise(0)
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("entity"), F.col("event_type").alias("dimension"), F.col("user_id").alias("contributor"), polarity.alias("polarity"))
+    kinds = [r[0] for r in e.select("dimension").distinct().collect()]
+    weights = {k: {"click": 0.3, "view": 0.3, "error": 0.25}.get(k, 0.15) for k in kinds}
+    return reputation.overall_scores(reputation.dimension_scores(e), weights)
+
+
+@query("SELECT a.user_id FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1) a JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) b ON a.user_id = b.user_id WHERE a.v IS DISTINCT FROM b.v")
+def merge_conflicts(spark, sf_dir):
+    """Keys whose two newest versions differ."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    mine, theirs = (state.newest(e.where(F.col("event_id") % 2 == n), ["user_id"], "ts", tie="event_id") for n in (0, 1))
+    return state.conflicts(mine, theirs, "user_id", ["event_type"])
+
+
+@query("SELECT CAST(floor(epoch_us(ts) / 300000000) AS BIGINT) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    """Tumbling five-minute counts; the same operator runs on streams with a watermark."""
+    from .streaming.telemetry import windowed_counts as counts
+
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return counts(e).select(F.floor(F.unix_timestamp("window.start") / 300).alias("bucket"), "event_type", "n")
