@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from os.path import commonprefix
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ _CONTROL = re.compile("|".join(re.escape(c[0]) + "(?=" + re.escape(c[1:]) + ")"
 _ESCAPED = re.compile(r"\\(.?)", re.DOTALL)
 
 
+@lru_cache(maxsize=4096)
 def escape(text: str) -> str:
     """Double every backslash, then break each control string by one after its first character."""
     return _CONTROL.sub(lambda m: m[0] + "\\", text.replace("\\", "\\\\"))
@@ -44,19 +45,30 @@ def marked_turns(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{START}{escape(r)}\n{escape(t)}{STOP}\n" for r, t in turns)
 
 
+def _common(a: str, b: str, least: int = 0) -> int:
+    """Length of the common beginning, by bisection over slices; ``least`` is known to be common."""
+    low, high = least, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def locate(template: Template, turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
     """Output, per turn ``(start, stop, text_start, text_stop)`` in it, and the first rewriting turn."""
     before, spans, rewritten = template([]), [], None
     for k in range(1, len(turns) + 1):
         after = template(turns[:k])
-        if not after.startswith(before):
+        same = len(before) if after.startswith(before) else _common(before, after)
+        if same < len(before):
             rewritten = k if rewritten is None else rewritten
-        role = turns[k - 1][0]
-        probes = [template([*turns[: k - 1], (role, p)]) for p in ("0", "1")]
-        head = len(commonprefix(probes))
-        tail = len(commonprefix([p[::-1] for p in probes]))
-        start = len(commonprefix([before, after]))
-        spans.append((start, len(after), min(head, len(after)), max(head, len(after) - tail)))
+        zero, one = (template([*turns[: k - 1], (turns[k - 1][0], p)]) for p in ("0", "1"))
+        head = _common(zero, one, same if zero.startswith(after[:same]) and one.startswith(after[:same]) else 0)
+        tail = _common(zero[head:][::-1], one[head:][::-1])
+        spans.append((same, len(after), min(head, len(after)), max(head, len(after) - tail)))
         before = after
     return before, spans, rewritten
 
