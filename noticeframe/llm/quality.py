@@ -67,7 +67,7 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": "cast(length(_t) - length(regexp_replace(_t, '[#*$%&|<>]', '')) AS bigint)",
         "n_dup_lines": "cast(size(_ll) - size(array_distinct(_ll)) AS bigint)",
         "n_repeat_words": covered,
-        "n_letters": "cast(length(regexp_replace(_t, '[^\\\\p{L}]', '')) AS bigint)",
+        "n_letters": "cast(length(regexp_replace(array_join(_w, ''), '[^\\\\p{L}]+', '')) AS bigint)",
         "n_upper": "cast(length(_t) - length(regexp_replace(_t, '[A-Z]', '')) AS bigint)",
     }
     counted = twice.select(*[F.col(n).alias(c) for c, n in names.items() if c not in own], *[F.expr(e).alias(c) for c, e in own.items()])
