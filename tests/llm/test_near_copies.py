@@ -35,3 +35,35 @@ def test_families(spark):
     close = [(a, b) for a in family for b in family if a < b and family[a] == family[b] and similarity(texts[a], texts[b]) >= 0.85]
     assert sum(got[a] == got[b] for a, b in close) >= 0.9 * len(close) > 0
     assert all(family[a] == family[got[a]] for a in family)
+
+
+def test_large_families(spark):
+    """Independently edited copies are similar to their base, seldom to one another: all meet in it."""
+    r = random.Random(4)
+    rows, family = [], {}
+    for f in range(2):
+        base = prose(7000 + f, 320, 5000).split()
+        for k in range(301):
+            words = list(base)
+            for at in r.sample(range(0, len(words), 10), 6 if k else 0):
+                words[at] = f"edit{r.randrange(10**6)}"
+            rows.append((1000 * f + (k - 150) % 301, " ".join(words)))
+            family[rows[-1][0]] = f
+    texts = dict(rows)
+    assert all(similarity(texts[1000 * family[i] + 151], texts[i]) >= 0.82 for i in family)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_copy_groups(df).collect()}
+    sizes = {}
+    for i, c in got.items():
+        sizes[c] = sizes.get(c, 0) + 1
+    assert all(family[i] == family[c] for i, c in got.items())
+    assert sum(sorted(sizes.values())[-2:]) >= 0.95 * len(got), sorted(sizes.values())
+
+
+def test_no_pair_of_a_cell_goes_uncompared(spark):
+    """Sixty fingerprints in the same cells, of which only two are similar, at whatever turn they are hubs."""
+    for one, two in ((0, 59), (17, 42), (58, 59)):
+        rows = [(1 << k, [5] * simhash.LANES, list(range(1000 * k, 1000 * k + 50))) for k in range(60)]
+        rows[two] = (rows[two][0], rows[two][1], rows[one][2])
+        df = spark.createDataFrame(rows, "fp long, lanes array<bigint>, sketch array<int>")
+        assert [tuple(x) for x in simhash.far_links(df).collect()] == [(1 << one, 1 << two)]
