@@ -115,7 +115,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
 # Near copies beyond the radius: eight further segments, of a SimHash over word pairs, find candidates;
 # the complete distance and a bottom-k sketch of the five-word shingles confirm them.
 LANES, LANE_WORDS, SKETCH_WORDS, SKETCH, FAR, SIMILAR = 8, 2, 5, 128, 14, 0.8
-HUBS, GROWTH = 2, 4
+BITS, HUBS, GROWTH = 24, 2, 4
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,11 +176,11 @@ def far_links(distinct: DataFrame, known: DataFrame | None = None) -> DataFrame:
     as many in each, and in every later turn so is the member with the most links so far. Between
     turns the links are contracted, and only what different components hold is compared again: a family
     of near copies gives links in proportion to its size, and no two that stay apart go uncompared.
+    Segments have ``BITS`` bits at every size, so what is found does not depend on how much else there is.
     """
-    bits = min(32, max(24, distinct.count().bit_length() + 6))
     cell = lambda v: F.shiftleft(F.col("segment").cast("long"), 32).bitwiseOR(v).alias("cell")
-    lanes = distinct.select("fp", F.posexplode("lanes").alias("segment", "lane")).select("fp", "segment", F.shiftrightunsigned("lane", 32 - bits).alias("value"))
-    around = F.lit(ball(bits, 1)).cast("array<bigint>")
+    lanes = distinct.select("fp", F.posexplode("lanes").alias("segment", "lane")).select("fp", "segment", F.shiftrightunsigned("lane", 32 - BITS).alias("value"))
+    around = F.lit(ball(BITS, 1)).cast("array<bigint>")
     probe = lanes.select("fp", "segment", F.explode(around).alias("mask"), "value").select("fp", cell(F.col("value").bitwiseXOR(F.col("mask"))))
     large = durable(lanes.groupBy(cell(F.col("value"))).agg(F.count("*").alias("n")).where(F.col("n") > HUBS))
     place = (F.xxhash64("other") / F.lit(2.0**64) + 0.5) * F.col("n")

@@ -67,3 +67,12 @@ def test_no_pair_of_a_cell_goes_uncompared(spark):
         rows[two] = (rows[two][0], rows[two][1], rows[one][2])
         df = spark.createDataFrame(rows, "fp long, lanes array<bigint>, sketch array<int>")
         assert [tuple(x) for x in simhash.far_links(df).collect()] == [(1 << one, 1 << two)]
+
+
+def test_a_link_does_not_depend_on_the_number_of_others(spark):
+    """Two segments apart in their highest and their twenty-fifth bit meet among few and among very many."""
+    sketch = list(range(50))
+    pair = spark.createDataFrame([(1, [0] * simhash.LANES, sketch), (2, [2**31 + 2**7] * simhash.LANES, sketch)], "fp long, lanes array<bigint>, sketch array<int>")
+    others = spark.range(10, 2**18 + 10).selectExpr("id fp", "CAST(array() AS array<bigint>) lanes", "CAST(array() AS array<int>) sketch")
+    for df in (pair, pair.unionByName(others)):
+        assert [tuple(x) for x in simhash.far_links(df).collect()] == [(1, 2)]
