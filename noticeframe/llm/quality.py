@@ -8,7 +8,8 @@ a document is then an arithmetic expression of its votes, evaluated in the scan.
 
 Null texts count as empty (no words, every count 0, base rule failed). An empty table gives no rows
 and the starting accuracies. Repeated rows count as often as they occur. Other columns pass through
-``quality_features`` untouched; its own columns are set last.
+``quality_features`` and ``with_posterior`` untouched, except that a column with the name of one of theirs gives way to
+it; ``good_documents`` returns every column as it came.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ ROUNDS = 15
 START, LEAST, MOST = (0.95, 0.4), (0.9, 0.1), (0.999, 0.99)
 START_GOOD, LEAST_GOOD, MOST_GOOD = 0.8, 0.05, 0.95
 KEEP_FROM = 0.5
+#: Bits of a window's sort key that hold its place; the hash has the others.
+PLACE_BITS = "length(bin(size(_w)))"
 
 
 def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -44,22 +47,23 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
     plain = aside.select("*", whole_text(names[text]).alias("_t"))
     split = plain.select("*", words_of(F.col("_t")).alias("_w"), F.split("_t", "\n", -1).alias("_l"))
     lines = f"filter(_l, x -> btrim(x, '{SPACES}') <> '')"
-    # A window's hash above its place, so that one primitive sort brings equal windows together.
-    # Places take 20 bits, or 31 in texts of more than a million words; the words decide, not the hash.
+    # A window's hash above its place, so that one primitive sort brings windows of equal hash together; the place
+    # takes the bits it needs. Windows next to each other with the same hash are then held against each other, word by
+    # word. Where two of them differ, that text's windows are sorted by their words instead: the words decide always.
     windows = "sort_array(CASE WHEN size(_w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(_w) - 3), i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _b) | cast(i AS bigint)) END)"
-    sized = split.select("*", F.expr("CASE WHEN size(_w) < 1048576 THEN 20 ELSE 31 END").alias("_b"), F.expr(lines).alias("_ll"))
+    sized = split.select("*", F.expr(PLACE_BITS).alias("_b"), F.expr(lines).alias("_ll"))
     sorted_ = sized.select("*", F.expr(windows).alias("_s"))
+    alike = "coalesce(shiftright(x, _b) = shiftright(get(_s, i + 1), _b), false) OR coalesce(shiftright(x, _b) = shiftright(get(_s, i - 1), _b), false)"
+    met = sorted_.select("*", F.expr(f"filter(_s, (x, i) -> {alike})").alias("_c")).drop("_s")
     place = "cast({} & (shiftleft(1L, _b) - 1) AS int)"
-    same = (
-        "(shiftright({0}, _b) = shiftright({1}, _b) AND get(_w, " + place + ") = get(_w, " + place.replace("{}", "{1}") + ")"
-        " AND get(_w, 1 + " + place + ") = get(_w, 1 + " + place.replace("{}", "{1}") + ")"
-        " AND get(_w, 2 + " + place + ") = get(_w, 2 + " + place.replace("{}", "{1}") + "))"
-    ).replace("{}", "{0}")
-    after, before = same.format("x", "get(_s, i + 1)"), same.format("x", "get(_s, i - 1)")
-    twice = sorted_.select(
-        "*",
-        F.expr(f"filter(_s, (x, i) -> coalesce({after}, false) OR coalesce({before}, false))").alias("_r0"),
-    ).select("*", F.expr("sort_array(transform(_r0, x -> cast(x & (shiftleft(1L, _b) - 1) AS int)))").alias("_r"))
+    x, y = place.format("get(_c, j)"), place.format("get(_c, j - 1)")
+    differ = " OR ".join(f"get(_w, {k} + {x}) <> get(_w, {k} + {y})" for k in range(3))
+    mixed = f"size(_c) > 1 AND exists(sequence(1, greatest(1, size(_c) - 1)), j -> shiftright(get(_c, j), _b) = shiftright(get(_c, j - 1), _b) AND ({differ}))"
+    in_words = "sort_array(transform(sequence(0, size(_w) - 3), i -> named_struct('a', get(_w, i), 'b', get(_w, i + 1), 'c', get(_w, i + 2), 'i', i)))"
+    equal = lambda o: f"coalesce(e.a = {o}.a AND e.b = {o}.b AND e.c = {o}.c, false)"
+    by_words = f"transform(filter(_e, (e, j) -> {equal('get(_e, j - 1)')} OR {equal('get(_e, j + 1)')}), e -> e.i)"
+    judged = met.select("*", F.expr(f"CASE WHEN {mixed} THEN {in_words} END").alias("_e"))
+    twice = judged.select("*", F.expr(f"sort_array(CASE WHEN _e IS NULL THEN transform(_c, x -> {place.format('x')}) ELSE {by_words} END)").alias("_r"))
     covered = "cast(aggregate(_r, named_struct('n', 0, 'end', 0), (a, x) -> named_struct('n', a.n + x + 3 - greatest(a.end, x), 'end', x + 3), a -> a.n) AS bigint)"
     own = {
         "n_words": "cast(size(_w) AS bigint)",
@@ -127,3 +131,14 @@ def with_posterior(features: DataFrame, model: Model) -> DataFrame:
     # the features, which would repeat their expressions many times over.
     fixed = features.withColumn("__above", F.monotonically_increasing_id())
     return fixed.withColumn("quality", p).withColumn("kept", ~F.col("base_failed") & (p >= KEEP_FROM) & (F.col("__above") >= 0)).drop("__above")
+
+
+def good_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model keeps, every column as it came, whatever its name.
+
+    The counts of vote patterns come from all documents; then each is judged in a second scan.
+    """
+    aside, names = set_aside(docs)
+    features = quality_features(aside, names[text])
+    model = fit_rules(pattern_counts(features))
+    return with_posterior(features, model).where("kept").select(*names.values()).toDF(*docs.columns)

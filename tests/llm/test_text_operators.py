@@ -1,6 +1,7 @@
 """Chat, personal data, licenses, decontamination and quality rules against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -146,6 +147,40 @@ def test_features(spark, edge_rows):
         assert got[i] == features(t), repr((t or "")[:60])
 
 
+def test_repeats_when_hashes_meet(spark, edge_rows, monkeypatch):
+    """Six and two bits of hash: different windows meet in every text, and the words still decide."""
+    texts = [t for _, t in edge_rows if len(t or "") < 50_000] + ["a b a b a b a", "a b c x a b c y a b c", "q " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bits in ("58", "62"):
+        monkeypatch.setattr(quality, "PLACE_BITS", bits)
+        got = {r.doc_id: r.n_repeat_words for r in quality.quality_features(df).collect()}
+        assert got == {i: features(t)[4] for i, t in enumerate(texts)}
+
+
+def test_repeats_in_millions_of_words(spark):
+    """Isolated repeats, each window twice, scattered over a text of 2.4 million words."""
+    r = random.Random(3)
+    once = [f"u{i}" for i in range(1_200_000)]
+    parts = [" ".join(once[i : i + 3]) for i in range(0, 1_200_000, 3)]
+    again = parts[:200_000]
+    r.shuffle(again)
+    text = " ".join(parts) + " " + " ".join(f"{p} z{i}" for i, p in enumerate(again)) + " " + " ".join(f"y{i}" for i in range(400_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = quality.quality_features(df).first()
+    assert row.n_words == 2_400_000 and row.n_repeat_words == features(text)[4] == 1_200_000
+
+
+def test_good_documents_return_their_columns(spark, no_docs):
+    """A column may have any name, even one of the features'."""
+    good = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} other{'uvwxyzabcd'[i // 7 % 10]}" for i in range(60))
+    rows = [(1, good, "q", 7, "k"), (2, "# " * 40, "q", 7, "k"), (3, None, "q", 7, "k"), (None, good, "q", 7, "k"), (1, good, "q", 7, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality string, n_words int, kept string").selectExpr("*", "'v' AS vote_length", "'a' AS __above", "'b' AS base_failed")
+    got = quality.good_documents(df)
+    assert got.schema == df.schema
+    assert sorted(((r.doc_id or 0), r.quality, r.n_words, r.kept, r.vote_length) for r in got.collect()) == [(0, "q", 7, "k", "v"), (1, "q", 7, "k", "v"), (1, "q", 7, "k", "v")]
+    assert quality.good_documents(no_docs).count() == 0
+
+
 def test_model(spark, no_docs):
     assert quality.fit_rules([]) == ([quality.START] * len(quality.RULES), quality.START_GOOD)
     n = len(quality.RULES)
