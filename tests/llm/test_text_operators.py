@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from noticeframe.llm import chat, decontam, licenses, pii, quality
 
+from .conftest import prose
+
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -211,6 +213,79 @@ def test_license_spans(spark):
     assert not {3, 4, 6} & set(got)
 
 
+
+def best_alignment(template, words):
+    """Local alignment over the whole matrix, one cell at a time: score, matched words, first and last place."""
+    before, best = [(0, 0, j) for j in range(len(words) + 1)], (0, 0, 0, 0)
+    for w in template:
+        now = [(0, 0, 0)]
+        for j, x in enumerate(words):
+            s, m, f = before[j]
+            cell = (s + 2, m + 1, f if s else j) if w == x else (s - 1, m, f)
+            for s, m, f in (before[j + 1], now[j]):
+                if s - 1 > cell[0]:
+                    cell = (s - 1, m, f)
+            if cell[0] <= 0:
+                cell = (0, 0, j + 1)
+            now.append(cell)
+            if cell[0] > best[0]:
+                best = (*cell, j + 1)
+        before = now
+    return best
+
+
+def brute_licenses(text, names):
+    words, places = licenses.tokens(text)
+    spans = []
+    for n in names:
+        template = licenses.tokens(licenses.TEMPLATES[n])[0]
+        _, matched, first, stop = best_alignment(template, words)
+        runs = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        if matched >= 0.8 * len(template) and runs(template) & runs(words[first:stop]) and licenses.same_license(template, words, first, stop):
+            spans.append((-matched, -matched / len(template), n, first, stop))
+    kept = []
+    for m, _, n, a, b in sorted(spans):
+        if all(b <= x or a >= y for _, _, x, y in kept):
+            kept.append((n, -m, a, b))
+    return sorted((n, m, places[a][0], places[b - 1][1]) for n, m, a, b in kept)
+
+
+def test_licenses_against_all_alignments():
+    """Edited templates inside prose: the same spans as a full alignment with every template."""
+    names = ["MIT", "MIT-notice", "Apache-2.0-header", "Apache-2.0-notice", "GPL-3.0-notice", "LGPL-3.0-notice", "GPL-2.0-notice", "GPL-3.0-header", "CC-BY-4.0-notice", "CC-BY-NC-4.0-notice", "ISC"]
+    index, r, found = licenses.LicenseIndex({n: licenses.TEMPLATES[n] for n in names}), random.Random(12), 0
+    for k in range(44):
+        words = licenses.TEMPLATES[names[k % len(names)]].split()
+        for e in range(r.randrange(0, max(1, len(words) // 9) + 1)):
+            at = r.randrange(1, len(words))
+            words[at : at + r.randrange(2)] = [f"edit{e}"] * r.randrange(2)
+        text = f"{prose(k, 40)} {' '.join(words)} {prose(k + 100, 60)}"
+        want = brute_licenses(text, names)
+        assert sorted((n, m, a, b) for n, _, m, a, b in index.scan(text)) == want, text
+        found += len(want)
+    assert found > 25
+
+
+def test_license_rules(spark, no_docs):
+    """Words and numbers that make another license; insertions; a text full of one phrase."""
+    scan = licenses.LicenseIndex(licenses.TEMPLATES).scan
+    names = lambda t: [x[0] for x in scan(t)]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0-notice"]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0-notice"]
+    assert names("This work is licensed under the GNU General Public License, version 3.0, for now") == ["GPL-3.0-notice"]
+    assert names("It is licensed under the GNU GPL, version 2") == []
+    assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0-notice"] and names("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0-notice"]
+    assert names("This work is licensed under a Creative Commons Attribution 3.0 License.") == ["CC-BY-3.0-statement"]
+    assert names("This work is not under the MIT License at all") == names("This is not released under the MIT License.") == []
+    words = licenses.TEMPLATES["MIT"].split()
+    for n in (1, 9, 50):
+        assert [(x[0], x[1]) for x in scan(" ".join([*words[:80], *["header"] * n, *words[80:]]))] == [("MIT", 1.0)]
+    assert names(" ".join([*words, "between", *words])) == ["MIT", "MIT"]
+    assert names(licenses.TEMPLATES["BSD-3-Clause"]) == ["BSD-3-Clause"] and names(licenses.TEMPLATES["BSD-2-Clause"]) == ["BSD-2-Clause"]
+    assert names("copies of the Software and then some words " * 5000 + "Released under the MIT License.") == ["MIT-notice"]
+    assert licenses.scan_licenses(no_docs).count() == 0
+
+
 # ---- decontamination
 
 
