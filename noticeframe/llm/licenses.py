@@ -71,10 +71,10 @@ TEMPLATES = public_licenses()
 WORD = re.compile(r"[^\W_]+")
 
 
-def tokens(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """Lower-case words and their places in code points."""
-    found = [(m[0].lower().encode("utf-8", "surrogatepass"), m.span()) for m in WORD.finditer(text)]
-    return [w for w, _ in found], [s for _, s in found]
+def words_of(text: str) -> list[bytes]:
+    """Lower-case words."""
+    found = WORD.findall(text)
+    return "\n".join(found).lower().encode("utf-8", "surrogatepass").split(b"\n") if found else []
 
 
 def winnow(grams, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -157,7 +157,7 @@ class LicenseIndex:
         self.known, self.numbers = WordHashes(), {}
         self.names, self.words, self.coded, self.index = list(templates), [], [], {}
         for t, name in enumerate(self.names):
-            parts, _ = tokens(templates[name])
+            parts = words_of(templates[name])
             self.words.append(parts)
             self.coded.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in parts]))
             for h, place in winnow(mixed(rolled(self.known.of(parts), min(GRAM, len(parts)))), 1 if len(parts) < NOTICE else WINDOW):
@@ -191,7 +191,7 @@ class LicenseIndex:
         """``(name, coverage, matched, start, stop)`` by start; offsets in code points."""
         import numpy as np
 
-        parts, places = tokens(text)
+        parts = words_of(text)
         if len(parts) < GRAM:
             return []
         grams = mixed(rolled(self.known.of(parts), GRAM))
@@ -207,10 +207,13 @@ class LicenseIndex:
             for low, high in self.chains(t, own):
                 coded = np.array([self.numbers.get(w, -1) for w in parts]) if coded is None else coded
                 spans += self.spans(t, coded, parts, low - BAND, high + BAND)
+        if not spans:
+            return []
         kept: list[tuple] = []
         for span in sorted(set(spans), key=lambda s: (-s[0], -s[1], self.names[s[4]], s[2])):
             if all(span[3] <= a or span[2] >= b for _, _, a, b, _ in kept):
                 kept.append(span)
+        places = [m.span() for m in WORD.finditer(text)]
         return [(self.names[t], coverage, matched, places[a][0], places[b - 1][1]) for matched, coverage, a, b, t in sorted(kept, key=lambda s: s[2])]
 
     def spans(self, t: int, coded, parts: list[bytes], low: int, high: int) -> Iterator[tuple[int, float, int, int, int]]:

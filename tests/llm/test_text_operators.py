@@ -235,10 +235,10 @@ def best_alignment(template, words):
 
 
 def brute_licenses(text, names):
-    words, places = licenses.tokens(text)
+    words, places = licenses.words_of(text), [m.span() for m in licenses.WORD.finditer(text)]
     spans = []
     for n in names:
-        template = licenses.tokens(licenses.TEMPLATES[n])[0]
+        template = licenses.words_of(licenses.TEMPLATES[n])
         _, matched, first, stop = best_alignment(template, words)
         runs = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
         if matched >= 0.8 * len(template) and runs(template) & runs(words[first:stop]) and licenses.same_license(template, words, first, stop):
