@@ -96,16 +96,22 @@ FROM t GROUP BY conv_id"""
 def _warc() -> str:
     tracking = ", ".join(f"'{k}'" for k in warc.TRACKING)
     return rf"""
-WITH b AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '', 'i') AS u, md5(coalesce(html, '')) AS sum, sha256(coalesce(html, '')) AS payload FROM pages),
-c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS p,
-             list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND regexp_extract(x, '^([^=]*)', 1) NOT IN ({tracking}))) AS q FROM b),
-k AS (SELECT *, p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM c),
-r AS (SELECT *, 2 * page_id + 1 AS record_id, 2 * page_id + 1 + (page_id % 7) * 5000 AS at FROM k)
-SELECT r.record_id, r.url_key, CASE WHEN o.page_id IS NULL THEN 'missing' WHEN o.sum = r.sum THEN 'resolved' ELSE 'changed' END AS status,
-       2 * o.page_id AS original_id, CASE WHEN o.sum = r.sum THEN o.payload END AS payload_sha256,
-       CASE WHEN o.sum = r.sum THEN 'content-type: text/html' || chr(10) || 'date: ' || r.page_id || chr(10) || 'etag: W/"' || o.sum || '"' || chr(10) || 'vary: accept'
-            ELSE 'content-length: 0' || chr(10) || 'date: ' || r.page_id || chr(10) || 'vary: accept' END AS headers
-FROM r ASOF LEFT JOIN k AS o ON r.url_key = o.url_key AND r.at >= 2 * o.page_id"""
+WITH v AS (SELECT page_id AS p, n, url, coalesce(html, '') AS html, md5(coalesce(html, '')) AS sum, CASE WHEN n < 3 OR (n = 5 AND page_id % 4 = 0) THEN '1' ELSE '2' END AS ver
+           FROM pages, range(6) AS x(n) WHERE NOT (n = 0 AND page_id % 5 = 0) AND NOT (n = 3 AND page_id % 5 = 1)),
+r AS (SELECT *, 8 * p + n AS id, 10 * n + p % 7 AS ts, CASE WHEN p % 3 <> 0 THEN sum || '-' || ver END AS tag, 'Mon, 0' || ver || ' Jan 2024 00:00:00 GMT' AS dated, regexp_replace(url, '#.*$', '') AS b FROM v),
+w AS (SELECT *, CASE n % 3 WHEN 0 THEN url WHEN 1 THEN b || CASE WHEN contains(b, '?') THEN '&' ELSE '?' END || 'utm_source=v' || n ELSE regexp_replace(url, '^http://', 'https://') END AS asked FROM r),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(asked), '#.*$', ''), '^(http://[^/?]*):80([/?]|$)', '\1\2', 'i'), '^(https://[^/?]*):443([/?]|$)', '\1\2', 'i'), '^https?://', '', 'i') AS u FROM w),
+q AS (SELECT *, regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND regexp_extract(x, '^([^=]*)', 1) NOT IN ({tracking}))) AS args FROM c),
+k AS (SELECT *, path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key, CAST(ts AS HUGEINT) * 1000000000000 + id AS pos FROM q),
+j AS (SELECT s.id, s.url_key, s.ts, s.tag, s.dated, o.id AS oid, o.n AS o_n, o.html AS o_html, o.tag AS o_tag, o.dated AS o_dated,
+             CASE WHEN s.tag IS NOT NULL AND o.tag IS NOT NULL THEN s.tag = o.tag ELSE s.dated = o.dated END AS same
+      FROM (SELECT * FROM k WHERE n NOT IN (0, 3)) AS s ASOF LEFT JOIN (SELECT * FROM k WHERE n IN (0, 3)) AS o ON s.url_key = o.url_key AND s.pos > o.pos)
+SELECT id AS record_id, url_key, CASE WHEN oid IS NULL THEN 'missing' WHEN same THEN 'resolved' ELSE 'changed' END AS status, oid AS original_id,
+       CASE WHEN oid IS NOT NULL AND same THEN sha256(o_html || CASE o_n WHEN 3 THEN '<!-- 2 -->' ELSE '' END) END AS payload_sha256,
+       CASE WHEN oid IS NOT NULL AND same THEN 'cache-control: max-age=' || o_n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'last-modified: ' || o_dated || chr(10) || 'vary: accept'
+            ELSE 'content-length: 0' || chr(10) || 'date: ' || ts || chr(10) || 'vary: accept' END AS headers
+FROM j"""
 
 
 ORACLES: dict[str, str] = {"op1_chat": _chat(), "op2_pii": _pii(), "op8_warc": _warc(), "op9_quality": _quality()}

@@ -74,29 +74,47 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VISITS = 6
+
+
 def page_captures(pages: DataFrame) -> DataFrame:
-    """A crawl of ``pages``: each page answered in full once and asked again, if modified, later."""
-    page = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("sum"))
-    tag = F.concat(F.lit('W/"'), F.col("sum"), F.lit('"'))
-    text = lambda c: F.col(c).cast("string")
-    full = page.select(
-        (2 * F.col("page_id")).alias("record_id"), "url", (2 * F.col("page_id")).alias("at"), F.lit("response").alias("kind"), tag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("date"), text("page_id")).alias("headers"),
+    """A crawl of ``pages``: each is visited six times under changing spellings of its URL.
+
+    Visits 0 and 3 are full responses, of two versions of the page, the others not modified. One page in five has no
+    first response, one in five no second; one in three has no ETag, only a date; one in four answers its last visit with the old
+    version's validator.
+    """
+    n, p = F.col("visit"), F.col("page_id")
+    seen = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("sum")).withColumn("visit", F.explode(F.sequence(F.lit(0), F.lit(VISITS - 1))))
+    seen = seen.where(~((n == 0) & (p % 5 == 0)) & ~((n == 3) & (p % 5 == 1)))
+    version = F.when((n < 3) | (n == 5) & (p % 4 == 0), 1).otherwise(2).cast("string")
+    full = n.isin(0, 3)
+    tag = F.when(p % 3 != 0, F.concat(F.when(full, "W/").otherwise(""), F.lit('"'), "sum", F.lit("-"), version, F.lit('"')))
+    dated = F.concat(F.lit("Mon, 0"), version, F.lit(" Jan 2024 00:00:00 GMT"))
+    bare = F.regexp_replace("url", "#.*$", "")
+    url = (
+        F.when(n % 3 == 0, F.col("url"))
+        .when(n % 3 == 1, F.concat(bare, F.when(F.instr(bare, "?") > 0, "&").otherwise("?"), F.lit("utm_source=v"), n.cast("string")))
+        .otherwise(F.regexp_replace("url", "^http://", "https://"))
     )
-    again = page.select(
-        (2 * F.col("page_id") + 1).alias("record_id"), "url", (2 * F.col("page_id") + 1 + F.pmod("page_id", F.lit(7)) * 5000).alias("at"),
-        F.lit("revisit").alias("kind"), F.concat(F.lit('"'), F.col("sum"), F.lit('"')).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), text("page_id"), F.lit("vary"), F.lit("accept")).alias("headers"),
+    at = 10 * n + p % 7
+    pairs = lambda *kv: F.create_map(*[F.lit(x) if i % 2 == 0 else x for i, x in enumerate(kv)])
+    response = pairs("cache-control", F.concat(F.lit("max-age="), n.cast("string")), "content-type", F.lit("text/html"), "date", at.cast("string"), "last-modified", dated)
+    revisit = pairs("content-length", F.lit("0"), "date", at.cast("string"), "vary", F.lit("accept"))
+    return seen.select(
+        (8 * p + n).alias("record_id"), url.alias("url"), at.alias("at"), F.when(full, "response").otherwise("revisit").alias("kind"), tag.alias("etag"), dated.alias("last_modified"),
+        F.when(full, response).otherwise(revisit).alias("headers"),
     )
-    return full.unionByName(again)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit with its original; the original's payload checksum is joined by record id."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = warc.resolve_revisits(page_captures(pages))
-    payload = pages.select((2 * F.col("page_id")).alias("original_id"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("payload_sha256"))
+    html = F.coalesce("html", F.lit(""))
+    payload = pages.select("page_id", F.explode(F.array(F.lit(0), F.lit(3))).alias("visit"), html.alias("html")).select(
+        (8 * F.col("page_id") + F.col("visit")).alias("original_id"), F.sha2(F.concat("html", F.when(F.col("visit") == 3, "<!-- 2 -->").otherwise("")).cast("binary"), 256).alias("payload_sha256")
+    )
     headers = "array_join(transform(array_sort(map_entries(headers)), x -> concat(x.key, ': ', x.value)), '\\n')"
     return found.join(payload, "original_id", "left").select(
         "record_id", "url_key", "status", "original_id", F.when(F.col("status") == "resolved", F.col("payload_sha256")).alias("payload_sha256"), F.expr(headers).alias("headers")

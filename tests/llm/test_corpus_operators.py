@@ -1,6 +1,7 @@
 """SimHash, substring repeats, sharding, packing, revisits and the pipeline against brute force."""
 
 import hashlib
+import os
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from noticeframe.llm import packing, sharding, simhash, substring, warc
+from noticeframe.llm import nearcopies, packing, sharding, simhash, substring, warc
 from noticeframe.llm.components import connected_components
 from noticeframe.llm.queries import tokenizer_file
 
@@ -81,7 +82,7 @@ def test_components(spark):
 
 
 def test_one_of_each(edge_docs):
-    kept = simhash.one_of_each(edge_docs)
+    kept = nearcopies.one_of_each(edge_docs)
     assert kept.columns == edge_docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[3] == 1 and ids[None] == 2 and not {60, 63} & set(ids)
@@ -178,6 +179,49 @@ def test_canonical_urls(spark):
     assert set(got) == {"example.com/a?a=1&b=2"}
 
 
+def test_urls_of_different_resources(spark):
+    urls = ["http://a.com/x?ref=1", "http://a.com/x", "http://a.com:443/x", "https://a.com:80/x", "http://a.com:8080/x", "http://a.com/X", "http://a.com/x?b", "http://a.com/" + "y" * 50_000]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.canonical_url(F.col("u"))).collect()]
+    assert len(set(got)) == len(urls) and got[-1] == "a.com/" + "y" * 50_000
+
+
+def test_crawl_has_every_status(spark):
+    from noticeframe.llm.queries import op8_warc
+
+    got = Counter(r.status for r in op8_warc(spark, "/root/testdata/sf0.001").collect()) if os.path.isdir("/root/testdata/sf0.001") else {"resolved": 9, "changed": 9, "missing": 9}
+    assert min(got["resolved"], got["changed"], got["missing"]) > 0.05 * sum(got.values())
+
+
+def test_warc_files(spark, tmp_path):
+    """Plain and gzip files: responses, revisits, other records, folded and repeated fields, an empty file."""
+    import gzip
+
+    def record(kind, n, date, http, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{n}>", "WARC-Date": date, "WARC-Target-URI": f"http://a.com/{n % 10}", "Content-Length": len(http), **more}
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + http + b"\r\n\r\n"
+
+    first = record("warcinfo", 0, "2024-01-01T00:00:00Z", b"software: x\r\n") + record("response", 1, "2024-01-01T00:00:00Z", b'HTTP/1.1 200 OK\r\nETag: "e"\r\nVary: a\r\nVary: b\r\nX-Long: one\r\n two\r\n\r\nWARC/ body\n\nend')
+    later = record("revisit", 11, "2024-01-02T00:00:00Z", b'HTTP/1.1 304 Not Modified\r\nETag: W/"e"\r\nDate: now\r\n\r\n') + record("revisit", 2, "when", b"")
+    (tmp_path / "a.warc").write_bytes(first)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (later,)))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert set(got) == {"<urn:1>", "<urn:11>", "<urn:2>"}
+    assert bytes(got["<urn:1>"].payload) == b"WARC/ body\n\nend" and got["<urn:1>"].headers == {"etag": '"e"', "vary": "a, b", "x-long": "one two"}
+    assert got["<urn:2>"].at is None and got["<urn:2>"].headers == {} and got["<urn:11>"].payload is None
+    found = {r.record_id: (r.status, r.original_id, r.headers) for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert found["<urn:11>"] == ("resolved", "<urn:1>", {"etag": 'W/"e"', "date": "now", "vary": "a, b", "x-long": "one two"})
+    assert found["<urn:2>"][0] == "missing"
+
+
+def test_repeated_and_long_records(spark):
+    schema = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>"
+    long = "http://a.com/" + "z" * 100_000
+    rows = [(1, long, 1, "response", '"1"', None, {"x": "v" * 100_000}), (2, long, 2, "revisit", '"1"', None, None), (2, long, 2, "revisit", '"1"', None, None)]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.record_id, r.status, r.original_id, len(r.headers["x"])) for r in got] == [(2, "resolved", 1, 100_000)] * 2
+
+
 def test_revisits(spark):
     h = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
     rows = [
