@@ -294,6 +294,13 @@ def contained(doc, item):
     return len(d & i) / len(i) if i else 0
 
 
+def test_item_index_is_bounded():
+    """What a block of items takes in a worker, at the most items a block may have: far under the 100 MB that are promised."""
+    r = random.Random(6)
+    index = decontam.ItemIndex([(i, " ".join(f"w{r.randrange(5000)}" for _ in range(r.choice((8, 30, 90))))) for i in range(decontam.ITEM_BLOCK // 10)])
+    assert index.size_in_bytes() < 10_000_000
+
+
 def test_containment(spark, edge_docs, edge_rows):
     long = dict(edge_rows)[70].split()
     items = [(1, " ".join(long[30_000:30_040])), (2, edge_rows[3][1]), (3, "one"), (4, None), (5, ""), (6, "never seen words here at all, truly"), (7, "w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1"), (8, " ".join(long[:9])), (8, " ".join(long[100:400]))]
