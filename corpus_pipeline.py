@@ -12,21 +12,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeframe.llm import decontam, packing, pii, quality, simhash
+from noticeframe.llm import decontam, nearcopies, packing, pii, quality
 from noticeframe.llm.common import shared_folder
 from noticeframe.llm.queries import tokenizer_file
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9. The counts of vote patterns come from all documents; then each is judged in the scan."""
-    features = quality.quality_features(docs)
-    model = quality.fit_rules(quality.pattern_counts(features))
-    return quality.with_posterior(features, model).where("kept").select(docs.columns)
+    """Operator 9. Documents with a posterior of good quality under 0.5, or that fail the base rule, go."""
+    return quality.good_documents(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3. The document with the smallest id of each group stays."""
-    return simhash.one_of_each(docs)
+    """Operator 3, with its wider search for five-word shingles. The document with the smallest id of each group stays."""
+    return nearcopies.one_of_each(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key counts as hot when it holds more than one row in ``HOT_SHARE``: there are at most so many hot keys.
+HOT_SHARE, HOT_LEAST = 5_000, 1_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``left`` with the columns of ``right``, one row per key, whose column ``count`` says how many rows of ``left`` a key has.
+
+    Rows of hot keys are joined where they are, with a broadcast of at most ``HOT_SHARE`` rows; the rest
+    is shuffled. ``left`` is read twice if there are hot keys, and should be durable.
+    """
+    right = durable(right)
+    total, most = right.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    bar = max(HOT_LEAST, total // HOT_SHARE)
+    if most <= bar:
+        return left.join(right.drop(count), on, "left")
+    hot = F.broadcast(right.where(F.col(count) > bar).drop(count))
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(count) <= bar).drop(count), on, "left")
+    return left.join(hot, on).unionByName(rest)
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

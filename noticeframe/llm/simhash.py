@@ -17,12 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import durable, join_counted, whole_text
 from .components import connected_components
-from .hashing import WordHashes, mixed, rolled
 
 SHINGLE_WORDS, RADIUS, SEGMENTS, SEED = 3, 3, 2, 42
 
@@ -96,141 +95,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -
     )
 
 
-def _grouped(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """``(key, fp, component_id)`` of rows, from links between distinct fingerprints (fp, _rep)."""
-    joined = connected_components(pairs)
-    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "_rep", F.coalesce("component", "fp").alias("_root"))
-    named = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
-    ids = rooted.select("fp", "_root").join(named, "_root").select("fp", "component_id")
-    return rows.select(key, "fp").join(ids, "fp", "left").select(key, "fp", "component_id")
-
-
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """``(key, fp, component_id)``: one row per input row; the component's smallest key."""
     rows = durable(fingerprints(docs, key, text, words))
-    distinct = durable(rows.groupBy("fp").agg(F.min(key).alias("_rep")))
-    return _grouped(rows, distinct, links(distinct, radius, segments), key)
-
-
-# Near copies beyond the radius: eight further segments, of a SimHash over word pairs, find candidates;
-# the complete distance and a bottom-k sketch of the five-word shingles confirm them.
-LANES, LANE_WORDS, SKETCH_WORDS, SKETCH, FAR, SIMILAR = 8, 2, 5, 128, 14, 0.8
-BITS, HUBS, GROWTH = 24, 2, 4
-
-
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, fp, lanes, sketch)``: lanes are 32-bit segments, the sketch the least shingle hashes."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        known = WordHashes()
-        salts = np.random.default_rng(11).integers(1, 2**63, LANES // 2, dtype=np.uint64)
-        for batch in batches:
-            fps, lanes, sketches = [], [], []
-            for t in batch.column(1).to_pylist():
-                fps.append(fingerprint(t))
-                words = t.encode("utf-8", "surrogatepass").lower().split()
-                h = known.of(words)
-                pairs = rolled(h, min(LANE_WORDS, len(h))) if len(h) else h
-                own = []
-                for salt in salts:
-                    ones, bits = np.zeros(64, dtype=np.int64), mixed(pairs ^ salt).astype(">u8")
-                    for i in range(0, len(bits), 65536):
-                        ones += np.unpackbits(bits[i : i + 65536].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-                    own += np.packbits(2 * ones > len(bits)).view(">u4").tolist()
-                lanes.append(own)
-                shingles = mixed(rolled(h, min(SKETCH_WORDS, len(h)))) >> np.uint64(33) if len(h) else h
-                sketches.append(np.unique(shingles)[:SKETCH].astype(np.int32).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(lanes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))],
-                names=[key, "fp", "lanes", "sketch"],
-            )
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), whole_text(text).alias(text)).mapInArrow(run, f"`{key}` {kind}, fp long, lanes array<bigint>, sketch array<int>")
-
-
-def cell_side(other: Column) -> Column:
-    """A cell with a side, as one key."""
-    return F.col("cell").bitwiseOR(F.shiftleft(other.cast("long"), 40)).alias("cell")
-
-
-def _similar(met: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` among candidates ``(fp, other)``."""
-    near = met.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= FAR))
-    pairs = near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    side = lambda n: distinct.select(F.col("fp").alias(n), F.col("sketch").alias(f"_{n}"))
-    least = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, SKETCH)
-    shared = F.size(F.array_intersect(least, F.array_intersect("_a", "_b")))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= SIMILAR * F.size(least)).select("a", "b")
-
-
-def far_links(distinct: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Pairs ``(a, b)`` up to ``FAR`` bits apart with a shingle similarity of ``SIMILAR`` or more, enough of them
-    to join, with the links ``known``, all fingerprints that such pairs among the candidates join.
-
-    Who comes into a cell (a segment value) is held against its hubs. A cell of up to ``HUBS`` members has
-    them all as hubs at once. In a larger one each member is a hub in one of several turns, ``GROWTH`` times
-    as many in each, and in every later turn so is the member with the most links so far. Between
-    turns the links are contracted, and only what different components hold is compared again: a family
-    of near copies gives links in proportion to its size, and no two that stay apart go uncompared.
-    Segments have ``BITS`` bits at every size, so what is found does not depend on how much else there is.
-    """
-    cell = lambda v: F.shiftleft(F.col("segment").cast("long"), 32).bitwiseOR(v).alias("cell")
-    lanes = distinct.select("fp", F.posexplode("lanes").alias("segment", "lane")).select("fp", "segment", F.shiftrightunsigned("lane", 32 - BITS).alias("value"))
-    around = F.lit(ball(BITS, 1)).cast("array<bigint>")
-    probe = lanes.select("fp", "segment", F.explode(around).alias("mask"), "value").select("fp", cell(F.col("value").bitwiseXOR(F.col("mask"))))
-    large = durable(lanes.groupBy(cell(F.col("value"))).agg(F.count("*").alias("n")).where(F.col("n") > HUBS))
-    place = (F.xxhash64("other") / F.lit(2.0**64) + 0.5) * F.col("n")
-    turn = F.when(place >= HUBS, F.greatest(F.lit(1), F.ceil(F.log(place / HUBS) / F.log(F.lit(float(GROWTH)))))).otherwise(0)
-    table = lanes.select(F.col("fp").alias("other"), cell(F.col("value"))).join(large, "cell", "left").select("other", "cell", "n", turn.cast("int").alias("turn"))
-    # A cell's complement as the key makes this a shuffle of its own, whose hot cells can be split.
-    met = lambda left, right: left.withColumn("at", F.bitwise_not("cell")).drop("cell").join(right.withColumn("at", F.bitwise_not("cell")).drop("cell"), "at")
-    found = durable(_similar(met(probe, table.where("turn = 0").select("other", "cell")), distinct))
-    last = table.where("n IS NOT NULL").agg(F.max("turn")).first()[0] or 0
-    if last == 0:
-        return found
-    members = durable(table.where("n IS NOT NULL").select("other", "cell", "turn"))
-    callers = durable(probe.join(large, "cell", "left_semi"))
-    forest = found if known is None else found.unionByName(known)
-    for now in range(1, last + 1):
-        joined = connected_components(forest)
-        label = lambda df, name, c: df.join(joined.withColumnRenamed("node", name), name, "left").withColumn(c, F.coalesce("component", name)).drop("component")
-        degree = found.select(F.explode(F.array("a", "b")).alias("other")).groupBy("other").agg(F.count("*").alias("links"))
-        held = durable(label(members, "other", "hub_c").join(degree, "other", "left"))
-        heads = held.groupBy("cell").agg(F.max_by(F.struct("other", "hub_c"), F.struct(F.coalesce("links", F.lit(0)), "other")).alias("head"))
-        heads = durable(heads.select("cell", "head.other", F.col("head.hub_c").alias("main")))
-        calls = durable(label(callers, "fp", "c").join(heads.select("cell", "main"), "cell"))
-        # A cell whose callers, its members among them, are all in one component is settled for good.
-        mixed = durable(calls.where("c <> main").select("cell").distinct())
-        if mixed.isEmpty():
-            break
-        calls, held, heads = (df.join(mixed, "cell", "left_semi") for df in (calls, held, heads))
-        # Side 0 holds what belongs to the head's component, side 1 the rest; the head's own need not meet side 0.
-        hubs = held.where(F.col("turn") == now).select("cell", "other", "hub_c").unionByName(heads.select("cell", "other", F.col("main").alias("hub_c"))).distinct()
-        sided = hubs.join(heads.select("cell", "main"), "cell").select(cell_side(F.col("hub_c") != F.col("main")), "other", "hub_c")
-        asked = calls.select("cell", "fp", "c", F.explode(F.when(F.col("c") == F.col("main"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("side"))
-        across = met(asked.select(cell_side(F.col("side")), "fp", "c"), sided).where("c <> hub_c")
-        more = durable(_similar(across, distinct))
-        found = found.unionByName(more)
-        forest = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        members, callers = held.select("other", "cell", "turn"), calls.select("fp", "cell")
-    return found
-
-
-def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``near_duplicate_groups``, with the links of ``far_links`` besides."""
-    rows = durable(signatures(docs, key, text))
-    distinct = durable(rows.groupBy("fp").agg(F.min(key).alias("_rep"), F.min_by(F.struct("lanes", "sketch"), key).alias("s")).select("fp", "_rep", "s.*"))
-    near = durable(links(distinct.select("fp")))
-    return _grouped(rows, distinct.select("fp", "_rep"), near.unionByName(far_links(distinct, near)), key)
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", grouping=near_copy_groups) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, each once; rows without an id stay."""
-    groups = grouping(docs.where(F.col(key).isNotNull()), key, text)
-    first = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.join(first, key, "left_semi").withColumn("__copy", F.xxhash64(F.col(text))).dropDuplicates([key, "__copy"]).drop("__copy")
-    return named.select(docs.columns).union(docs.where(F.col(key).isNull()))
+    distinct = durable(rows.groupBy("fp").agg(F.min(key).alias("_rep"), F.count("*").alias("_n")))
+    joined = connected_components(links(distinct.select("fp"), radius, segments))
+    rooted = durable(distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "_rep", "_n", F.coalesce("component", "fp").alias("_root")))
+    named = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"), F.count("*").alias("_n"))
+    ids = join_counted(rooted.select("fp", F.col("_n").alias("_rows"), "_root"), named, ["_root"], "_n")
+    ids = ids.select("fp", "component_id", F.col("_rows").alias("_n"))
+    return join_counted(rows.select(key, "fp"), ids, ["fp"], "_n").select(key, "fp", "component_id")
