@@ -18,6 +18,11 @@ EMAIL = r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 MOBILE = r"(?<!\d)1[3-9]\d{9}(?!\d)"
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def replaced(text: Column, *rules: tuple[str, str]) -> Column:
     """Apply regular-expression replacements in order."""
     return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, text)

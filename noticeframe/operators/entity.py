@@ -89,6 +89,25 @@ def top_change(c: str, o: str) -> Column:
     return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(rank.alias("p"), (-F.col(o)).alias("o"))))
 
 
+def official_fields(columns: Sequence[str], official: str, keep_if_empty: Sequence[str] = ()):
+    """A4g: a rule for a struct of fields: the first row's, unless it is a third party's and an official row follows.
+
+    Fields in ``keep_if_empty`` (a body) are only replaced by text. Use as ``official_fields(...)(None, order)``.
+    """
+
+    def rule(_: str | None, o: str) -> Column:
+        best = F.struct((~F.coalesce(F.col(official), F.lit(False))).alias("third"), F.col(o).alias("o"))
+        filled = [F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", best)).alias(c) for c in keep_if_empty]
+        return F.struct(*[F.min_by(c, best).alias(c) for c in columns if c not in keep_if_empty], *filled)
+
+    return rule
+
+
+def newest_check(status: str, checked_at: str):
+    """A4j: a rule for a listing status: that of the newest check, the first of equals."""
+    return lambda _, o: F.max_by(status, F.struct(F.coalesce(checked_at, F.lit("")).alias("at"), (-F.col(o)).alias("o")))
+
+
 def merge_groups(df: DataFrame, key: str, order: str, rules: Mapping[str, object], primary: Sequence[str] = ()) -> DataFrame:
     """A4: one record per key; ``rules`` name a function above per field, ``primary`` fields come from the first row.
 

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import noticeframe.literal_cases  # noqa: F401  (registers its queries)
 from noticeframe.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
