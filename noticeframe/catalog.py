@@ -114,15 +114,16 @@ def semi_membership(spark, sf_dir):
     return relational.semi(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), keys, ["o_orderkey"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_missing(spark, sf_dir):
     """X2, X5."""
-    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    keys = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return relational.missing(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), keys, ["c_custkey"])
 
 
-def _nested(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_shipdate", "l_extendedprice").alias("p"))
+def _nested(spark, sf_dir, needed):
+    """Line items nested under their order; a condition that a nested row must meet anyway is applied in the scan."""
+    items = table(spark, sf_dir, "lineitem").where(needed).select("l_orderkey", F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_shipdate", "l_extendedprice").alias("p"))
     return items.groupBy("l_orderkey").agg(F.collect_list("p").alias("positions"))
 
 
@@ -130,22 +131,28 @@ def _nested(spark, sf_dir):
 def same_row_exists(spark, sf_dir):
     """the conditions hold for one and the same nested row."""
     test = lambda p: (p["l_returnflag"] == "R") & (p["l_quantity"] >= 40) & (F.year(p["l_shipdate"]) == 1998)
-    return _nested(spark, sf_dir).where(relational.same_row_exists(F.col("positions"), test)).select("l_orderkey")
+    return _nested(spark, sf_dir, "l_returnflag = 'R' AND l_quantity >= 40").where(relational.same_row_exists(F.col("positions"), test)).select("l_orderkey")
 
 
 @query("SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' AND l_returnflag = 'A' AND l_quantity < 5")
 def nested_explode_positions(spark, sf_dir):
     """Child rows attached, flattened and filtered."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
-    rows = o.join(_nested(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.inline("positions"))
+    rows = o.join(_nested(spark, sf_dir, "l_returnflag = 'A' AND l_quantity < 5"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.inline("positions"))
     return rows.where("l_returnflag = 'A' AND l_quantity < 5").select("o_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 60), '[\\s\\x{85}\\x{A0}\\x{2028}\\x{2029}\\x{3000}]+', '', 'g'), '(校园招聘(简章|公告|启事)?|招聘(简章|公告|启事|信息)?|简章|公告|启事|专场)$', '') AS core FROM (SELECT doc_id, replace(replace(coalesce(text, ''), '（', '('), '）', ')') AS text FROM documents WHERE NOT regexp_matches(substr(coalesce(text, ''), 1, 60), '[\\[【(]|20[0-9]{2}年'))")
+@query(
+    """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', '', 'g'), '^[【\\[(][^】\\])]{1,20}[】\\])]', ''),
+  '(校园招聘(简章|公告|启事)?|招聘(简章|公告|启事|信息)?|简章|公告|启事|专场)$', ''), '(20[0-9]{2})年$', '\\1')) AS core
+FROM (SELECT doc_id, replace(replace(CASE doc_id % 5 WHEN 0 THEN '【急】' WHEN 1 THEN '[2026] ' ELSE '' END || coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' 2026年 招聘公告' WHEN 1 THEN '2026年' ELSE '' END, '（', '('), '）', ')') AS text FROM documents)"""
+)
 def title_norm(spark, sf_dir):
-    """Core form of a heading."""
-    d = table(spark, sf_dir, "documents").where(r"NOT substr(coalesce(text, ''), 1, 60) rlike r'[\[【(]|20[0-9]{2}年'")
-    return d.select("doc_id", text.title_core(F.substring("text", 1, 60)).alias("core"))
+    """Core form of a heading, over every whole text with tags, years and notice words around some."""
+    n = F.col("doc_id")
+    head, tail = F.when(n % 5 == 0, "【急】").when(n % 5 == 1, "[2026] ").otherwise(""), F.when(n % 4 == 0, " 2026年 招聘公告").when(n % 4 == 1, "2026年").otherwise("")
+    title = F.concat(head, F.coalesce("text", F.lit("")), tail)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.title_core(title).cast("binary")).alias("core"))
 
 
 @query("SELECT c_custkey, regexp_replace(c_name, '\\s+', '', 'g') AS company FROM customer")
@@ -203,7 +210,7 @@ def set_algebra(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     a = o.where("o_totalprice > 300000").select("o_orderkey")
     b = table(spark, sf_dir, "lineitem").where("l_discount > 0.09").select(F.col("l_orderkey").alias("o_orderkey"))
-    return a.unionByName(b).distinct().exceptAll(o.where("o_orderstatus = 'F'").select("o_orderkey").distinct().join(a.unionByName(b).distinct(), "o_orderkey", "left_semi"))
+    return relational.missing(a.unionByName(b), o.where("o_orderstatus = 'F'").select("o_orderkey"), ["o_orderkey"]).distinct()
 
 
 @query(
@@ -243,11 +250,11 @@ def dedup_merge(spark, sf_dir):
 
 
 @query(
-    """SELECT lower(substr(trim(text), 1, 24)) AS k, min(doc_id) AS doc_id, count(*) AS members, count(DISTINCT source) AS sources FROM documents WHERE text IS NOT NULL GROUP BY 1"""
+    """SELECT md5(lower(trim(coalesce(text, '')))) AS k, min(doc_id) AS doc_id, count(*) AS members, count(DISTINCT source) AS sources FROM documents GROUP BY 1"""
 )
 def dedup_documents(spark, sf_dir):
-    """A4: groups by a normal form of the opening."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.lower(F.substring(F.trim("text"), 1, 24)).alias("k"), "doc_id", "source")
+    """A4: groups by a normal form of the whole text."""
+    d = table(spark, sf_dir, "documents").select(F.md5(F.lower(F.trim(F.coalesce("text", F.lit("")))).cast("binary")).alias("k"), "doc_id", "source")
     return d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), F.count_distinct("source").alias("sources"))
 
 
@@ -278,12 +285,12 @@ def kpi_counts(spark, sf_dir):
 def _user_state(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id").agg(
-        F.bool_or(F.col("event_type") == "purchase").alias("applied"), F.bool_or(F.col("event_type") == "click").alias("saved"), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 90)).alias("hidden"), F.max("ts").alias("read_at"),
+        F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 100)).alias("applied"), F.bool_or((F.col("event_type") == "click") & (F.col("value") > 30)).alias("saved"), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 150)).alias("hidden"), F.max("ts").alias("read_at"),
         F.max_by("event_type", F.struct("ts", "event_id")).alias("note"), F.max("ts").alias("updated_at"),
     )
 
 
-USER_STATE_SQL = "u AS (SELECT user_id, bool_or(event_type = 'purchase') AS applied, bool_or(event_type = 'click') AS saved, bool_or(event_type = 'error' AND value > 90) AS hidden, max(ts) AS read_at, arg_max(event_type, (ts, event_id)) AS note FROM events GROUP BY 1)"
+USER_STATE_SQL = "u AS (SELECT user_id, bool_or(event_type = 'purchase' AND value > 100) AS applied, bool_or(event_type = 'click' AND value > 30) AS saved, bool_or(event_type = 'error' AND value > 150) AS hidden, max(ts) AS read_at, arg_max(event_type, (ts, event_id)) AS note FROM events GROUP BY 1)"
 
 
 @query(f"WITH {USER_STATE_SQL} SELECT o_orderkey, saved, applied, hidden, read_at, note FROM orders LEFT JOIN u ON o_custkey = user_id WHERE NOT coalesce(hidden, false) AND coalesce(saved, false) AND NOT coalesce(applied, false)")
@@ -446,10 +453,17 @@ def fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("lang"), F.col("source"), digits=20).alias("fingerprint"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT source, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+r AS (SELECT source, doc_id, bytes, n, 0 AS chunk, bytes AS held, 8192 AS lim FROM d WHERE n = 1
+  UNION ALL SELECT d.source, d.doc_id, d.bytes, d.n, CASE WHEN r.held > 0 AND r.held + d.bytes > r.lim THEN r.chunk + 1 ELSE r.chunk END,
+    CASE WHEN r.held > 0 AND r.held + d.bytes > r.lim THEN d.bytes ELSE r.held + d.bytes END, CASE WHEN r.held > 0 AND r.held + d.bytes > r.lim THEN 65536 ELSE r.lim END
+  FROM r JOIN d ON r.source = d.source AND d.n = r.n + 1)
+SELECT source, doc_id, bytes, chunk FROM r"""
+)
 def chunk_rows(spark, sf_dir):
-    """K2: greedy byte budget per source; sequential by nature, so rows only."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    """Greedy byte budget per source; sequential by nature, over narrow rows."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
     return relational.chunked(d, "source", "doc_id", "bytes", 65536, 8192)
 
 
@@ -465,11 +479,13 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.plain_html(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') IS NOT NULL AND regexp_matches(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS has_email, contains(coalesce(text, ''), '@') AS has_at FROM documents")
+@query(
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'),
+  '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[phone]\2', 'g'), '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1[phone]\2', 'g')) AS redacted FROM documents"""
+)
 def redact_pii(spark, sf_dir):
-    """Which texts the redaction changes for an address."""
-    t = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.contains(text.redacted(t), F.lit("[email]")).alias("has_email"), F.contains(t, F.lit("@")).alias("has_at"))
+    """Every whole text with addresses and mobile numbers redacted."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redacted(F.coalesce("text", F.lit(""))).cast("binary")).alias("redacted"))
 
 
 @query("SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'published' ELSE 'source_repost' END AS kind FROM events")
@@ -480,11 +496,11 @@ def first_published(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, ts + INTERVAL 2 HOUR < TIMESTAMP '2024-01-15' AS past, CASE WHEN ts + INTERVAL 2 HOUR < TIMESTAMP '2024-01-15' THEN 2305843009213693952 - (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) ELSE epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15') END AS agenda_order FROM events WHERE event_type = 'click'"""
+    """SELECT event_id, ts + INTERVAL 2 HOUR < TIMESTAMP '2024-01-15' AS past, CASE WHEN ts + INTERVAL 2 HOUR < TIMESTAMP '2024-01-15' THEN 2305843009213693952 - (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) ELSE epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15') END AS agenda_order FROM events"""
 )
 def agenda(spark, sf_dir):
     """Upcoming first, past in reverse."""
-    e = table(spark, sf_dir, "events").where("event_type = 'click'")
+    e = table(spark, sf_dir, "events")
     return calendar.agenda(e, "ts", F.col("ts") + F.expr("INTERVAL 2 HOURS"), at(EVENT_NOW)).select("event_id", "past", "agenda_order")
 
 
@@ -534,19 +550,19 @@ def rum_sample(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT event_id, event_type = 'error' AS first, row_number() OVER (PARTITION BY event_type = 'error' ORDER BY ts, event_id) - 1 AS n FROM events WHERE user_id < 20)
+    """WITH n AS (SELECT event_id, event_type = 'error' AS first, row_number() OVER (PARTITION BY event_type = 'error' ORDER BY ts, event_id) - 1 AS n FROM events)
 SELECT event_id, CAST(CASE WHEN first THEN (n // 4) * 5 + n % 4 ELSE n * 5 + 4 END AS BIGINT) AS slot FROM n"""
 )
 def interleave(spark, sf_dir):
     """Four of one class, one of the other."""
-    e = table(spark, sf_dir, "events").where("user_id < 20")
+    e = table(spark, sf_dir, "events")
     return relational.interleaved(e, F.col("event_type") == "error", [F.col("ts"), F.col("event_id")]).select("event_id", "slot")
 
 
 @query()
 def evidence_dedup(spark, sf_dir):
     """Greedy over three keys; sequential, held against brute force in tests."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("fp"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("url"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("fp"), F.md5(F.lower(F.coalesce("text", F.lit(""))).cast("binary")).alias("url"))
     return relational.greedy_unique(d, "source", ["url", "fp", "doc_id"], ["doc_id"])
 
 
@@ -571,12 +587,12 @@ def mart_first_screen(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT p_partkey AS k, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type ELSE '' END AS stem FROM part WHERE p_partkey < 300)
+    """WITH s AS (SELECT p_partkey AS k, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type ELSE '' END AS stem FROM part)
 SELECT a.k AS child, arg_max(b.k, (length(b.stem), -b.k)) AS parent FROM s a JOIN s b ON a.k <> b.k AND length(a.stem) >= 7 AND length(b.stem) >= 7 AND contains(a.stem, b.stem) AND (a.stem <> b.stem OR b.k < a.k) GROUP BY 1"""
 )
 def sibling_links(spark, sf_dir):
-    """Containment without a cross join; the key bound is the feature's group."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 300")
+    """Containment without a cross join."""
+    p = table(spark, sf_dir, "part")
     stem = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), "p_type")).otherwise(""))
     return collection.sibling_links(p.select(F.col("p_partkey").alias("k"), stem.alias("stem")), "k", "stem")
 
@@ -591,8 +607,7 @@ def entity_scores(spark, sf_dir):
     """A10: weighted mean of scored dimensions."""
     polarity = F.when(F.col("value") > 50, 1).when(F.col("value") < 25, -1).otherwise(0)
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("entity"), F.col("event_type").alias("dimension"), F.col("user_id").alias("contributor"), polarity.alias("polarity"))
-    kinds = [r[0] for r in e.select("dimension").distinct().collect()]
-    weights = {k: {"click": 0.3, "view": 0.3, "error": 0.25}.get(k, 0.15) for k in kinds}
+    weights = {"click": 0.3, "view": 0.3, "error": 0.25, "purchase": 0.15, "signup": 0.15}
     return reputation.overall_scores(reputation.dimension_scores(e), weights)
 
 

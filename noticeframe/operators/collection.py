@@ -31,17 +31,21 @@ def normal_salary(low: Column, raw: Column) -> Column:
 
 
 def sibling_links(rows: DataFrame, key: str, stem: str, least: int = 7) -> DataFrame:
-    """``(key, parent)``: rows whose stem equals or contains another's of ``least`` characters or more.
+    """``(child, parent)``: rows whose stem equals or contains another's of ``least`` characters or more.
 
-    Containment has no equi-key, but a shared run of ``least`` characters does: stems are exploded
-    into such runs, joined on them, and verified; so no cross join is made.
+    The parent has the longest such stem, then the smallest key. Equal stems are one row first, so many
+    copies of a stem cost one. Containment has no equi-key, but a shared run of ``least`` characters does: distinct stems are
+    exploded into such runs, joined with the stems that begin with them, and verified; so no cross join is made.
     """
-    runs = F.transform(F.sequence(F.lit(1), F.char_length(stem) - least + 1), lambda i: F.substr(F.col(stem), i, F.lit(least)))
-    known = rows.where(F.char_length(stem) >= least)
-    probe = known.select(F.col(key).alias("child"), F.col(stem).alias("cs"), F.explode(F.array_distinct(runs)).alias("run"))
-    head = known.select(F.col(key).alias("parent"), F.col(stem).alias("ps"), F.substring(stem, 1, least).alias("run"))
-    pairs = probe.join(head, "run").where((F.col("child") != F.col("parent")) & F.contains("cs", F.col("ps")) & ((F.col("cs") != F.col("ps")) | (F.col("parent") < F.col("child"))))
-    return pairs.groupBy("child").agg(F.max_by("parent", F.struct(F.char_length("ps"), -F.col("parent"))).alias("parent"))
+    known = rows.where(F.char_length(stem) >= least).select(F.col(key).alias("child"), F.col(stem).alias("cs"))
+    heads = known.groupBy("cs").agg(F.min("child").alias("first"))
+    runs = F.transform(F.sequence(F.lit(1), F.char_length("cs") - least + 1), lambda i: F.substr(F.col("cs"), i, F.lit(least)))
+    probe = heads.select("cs", F.explode(F.array_distinct(runs)).alias("run"))
+    start = heads.select(F.col("first").alias("parent"), F.col("cs").alias("ps"), F.substring("cs", 1, least).alias("run"))
+    inner = probe.join(start, "run").where(F.contains("cs", F.col("ps")) & (F.col("cs") != F.col("ps")))
+    best = inner.groupBy("cs").agg(F.max_by("parent", F.struct(F.char_length("ps"), -F.col("parent"))).alias("within"))
+    linked = known.join(heads.join(best, "cs", "left"), "cs")
+    return linked.select("child", F.when(F.col("child") != F.col("first"), F.col("first")).otherwise(F.col("within")).alias("parent")).where("parent IS NOT NULL")
 
 
 def source_report(sources: DataFrame, group: str, elapsed: str, failures: str, pending: str) -> DataFrame:

@@ -77,11 +77,14 @@ def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def unique_best(candidates: DataFrame, key: Sequence[str], score: Sequence[str]) -> DataFrame:
-    """The candidate with the highest score of each key, unless several share it."""
-    w = Window.partitionBy(*key)
-    best = F.max(F.struct(*score)).over(w)
-    top = candidates.withColumn("_top", F.struct(*score) == best)
-    return top.withColumn("_n", F.count_if("_top").over(w)).where("_top AND _n = 1").drop("_top", "_n")
+    """The candidate with the highest score of each key, unless several share it.
+
+    Two partial aggregations: equal scores of a key become one row with a count, then the best of these is taken.
+    """
+    rest = [c for c in candidates.columns if c not in key]
+    tied = candidates.groupBy(*key, F.struct(*score).alias("_score")).agg(F.count("*").alias("_n"), F.min(F.struct(*rest)).alias("_row"))
+    best = tied.groupBy(*key).agg(F.max_by(F.struct("_n", "_row"), "_score").alias("_b"))
+    return best.where("_b._n = 1").select(*key, "_b._row.*").select(*candidates.columns)
 
 
 def semi(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -111,15 +114,23 @@ def same_row_exists(rows: Column, test) -> Column:
 def range_link(children: DataFrame, parents: DataFrame, on: str, child_at: str, parent_at: str, days: int, score: Column, at_least: float, child_id: str, parent_id: str) -> DataFrame:
     """Best earlier parent with the same key within ``days``; ties go to the first parent.
 
-    The equi-key joins first, the range is a residual filter, and the best parent is an argmax with
-    partial aggregation.
+    The best parent is an argmax with partial aggregation.
     """
-    c, p = children.alias("c"), parents.alias("p")
+    # Days are cut into stretches of ``days``: a parent lies in its child's stretch or the one before, so a hot key's
+    # rows only meet within a window of time. Rows without a day meet every row of their key.
+    stretch = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / days)
+    c = children.withColumn("_at", stretch(child_at))
+    p = parents.withColumn("_at", F.explode(F.when(F.col(parent_at).isNotNull(), F.array(stretch(parent_at), stretch(parent_at) + 1)).otherwise(F.array(F.lit(None).cast("long")))))
+
+    def met(left: DataFrame, right: DataFrame, same: Column, test: Column) -> DataFrame:
+        pairs = left.alias("c").join(right.alias("p"), same & (F.col(f"c.{on}") == F.col(f"p.{on}")) & (F.col(f"c.{child_id}") != F.col(f"p.{parent_id}")) & test)
+        return pairs.select(F.col(f"c.{child_id}").alias("child"), F.col(f"p.{parent_id}").alias("parent"), score.alias("score")).where(F.col("score") >= at_least)
+
     gap = F.datediff(F.col(f"c.{child_at}"), F.col(f"p.{parent_at}"))
-    pairs = c.join(p, (F.col(f"c.{on}") == F.col(f"p.{on}")) & (F.col(f"c.{child_id}") != F.col(f"p.{parent_id}")) & (gap.between(0, days) | gap.isNull()))
-    scored = pairs.select(F.col(f"c.{child_id}").alias("child"), F.col(f"p.{parent_id}").alias("parent"), score.alias("score")).where(F.col("score") >= at_least)
+    dated = met(c.where("_at IS NOT NULL"), p.where("_at IS NOT NULL"), F.col("c._at") == F.col("p._at"), gap.between(0, days))
+    undated = met(c.where("_at IS NULL"), parents, F.lit(True), F.lit(True)).unionByName(met(c.where("_at IS NOT NULL"), p.where("_at IS NULL"), F.lit(True), F.lit(True)))
     best = F.max_by(F.struct("parent", "score"), F.struct(F.col("score"), -F.col("parent")))
-    return scored.groupBy("child").agg(best.alias("b")).select("child", "b.parent", "b.score")
+    return dated.unionByName(undated).groupBy("child").agg(best.alias("b")).select("child", "b.parent", "b.score")
 
 
 def unique_alias(names: DataFrame, alias: str, entity: str) -> DataFrame:
@@ -130,11 +141,14 @@ def unique_alias(names: DataFrame, alias: str, entity: str) -> DataFrame:
 def interleaved(df: DataFrame, is_first: Column, order: Sequence[Column], ratio: int = 4) -> DataFrame:
     """``ratio`` rows of the first class, then one of the other, each in its own order.
 
-    A row's slot follows from its rank in its class; when one class runs out the other goes on.
+    A row's slot follows from its rank in its class; when one class runs out the other goes on. The classes are
+    ranked as one order, by range, so neither of them meets in one task.
     """
-    w = Window.partitionBy("_first").orderBy(*order)
-    numbered = df.withColumn("_first", is_first).withColumn("_n", F.row_number().over(w) - 1)
-    slot = F.when(F.col("_first"), F.floor(F.col("_n") / ratio) * (ratio + 1) + F.col("_n") % ratio).otherwise(F.col("_n") * (ratio + 1) + ratio)
+    classed = df.withColumn("_first", F.coalesce(is_first, F.lit(False)))
+    size = classed.agg(F.count_if("_first")).first()[0]
+    numbered = ranked(classed, [~F.col("_first"), *order], "_n")
+    n = F.when(F.col("_first"), F.col("_n") - 1).otherwise(F.col("_n") - 1 - size)
+    slot = F.when(F.col("_first"), F.floor(n / ratio) * (ratio + 1) + n % ratio).otherwise(n * (ratio + 1) + ratio)
     return numbered.withColumn("slot", slot.cast("long")).drop("_first", "_n")
 
 

@@ -18,7 +18,7 @@ class TableState:
 
     A batch that is run again after a failure writes the same version again, so the result is the
     same whether a batch ran once or twice. ``version`` of batch n is n; the newest complete version
-    (one with a success mark) is the state.
+    (one with a success mark) is the state. Versions before the last two are removed.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, fingerprint: str, at: str, tie: str, kind: str = "long"):
@@ -34,6 +34,9 @@ class TableState:
         """For ``foreachBatch``."""
         merged = upsert(self.read(number - 1).drop("outcome"), batch, self.key, self.fingerprint, self.at, self.tie)
         merged.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+        # A batch that is run again reads the version before its own; nothing reads older ones.
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{number - 2}")
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
