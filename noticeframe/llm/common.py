@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durability import durable, shared_folder  # noqa: F401  (used from here by the operators and the pipeline)
+
 #: White space that separates words everywhere in this subpackage: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every machine sees; set here only when the cluster names none (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="noticeframe-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 #: A key counts as hot when it holds more than one row in ``HOT_SHARE``: there are at most so many hot keys.
 HOT_SHARE, HOT_LEAST = 5_000, 1_000
 
