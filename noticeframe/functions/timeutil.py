@@ -41,7 +41,8 @@ def expired(text: Column, now: Column) -> Column:
 
 def days_left(text: Column, now: Column) -> Column:
     """Difference of UTC+8 days, never negative; null when unknown."""
-    return F.greatest(F.lit(0), F.datediff(day_of(deadline_instant(text)), day_of(now)))
+    left = F.datediff(day_of(deadline_instant(text)), day_of(now))
+    return F.when(left.isNotNull(), F.greatest(F.lit(0), left))
 
 
 def countdown(text: Column, now: Column) -> Column:

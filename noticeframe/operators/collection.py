@@ -67,7 +67,7 @@ def capped_scores(scores: DataFrame, collected_at: str, now: Column, score: str
 def merged_history(old: DataFrame, new: DataFrame, key: Sequence[str], at: str) -> DataFrame:
     """Newest of both by time; the new side wins ties."""
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    return first_of(both, key, [-F.unix_micros(F.col(at)), -F.col("_side")]).drop("_side")
+    return first_of(both, key, [-F.unix_micros(F.col(at).cast("timestamp")), -F.col("_side")]).drop("_side")
 
 
 def changed_since(saved: DataFrame, current: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
