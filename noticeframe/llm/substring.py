@@ -12,7 +12,8 @@ place inside, words that are an indexed block somewhere. The steps:
    earliest of their kind are the maximal exact repeats that go.
 3. Each document's words covered by such a run are removed.
 
-Documents travel in chunks of about ``CHUNK`` bytes. A chunk names each distinct hash once per bucket,
+Documents travel in chunks of ``CHUNK`` bytes or more, growing with the text up to ``MOST_CHUNK``, so that the rows
+between chunks and buckets stay full (64 entries or more, up to about 1 TB of text). A chunk names each distinct hash once per bucket,
 however often it occurs there, so a passage that a third of all documents share costs one entry per
 chunk, not one per document; answers come back as bit masks over those entries. Bucket counts follow
 the size of the text, so each bucket stays within a task's memory. Nothing is capped or sampled.
@@ -36,12 +37,14 @@ from .common import durable, whole_text
 from .hashing import BASE, OTHER_BASE, WordHashes, mixed, rolled
 
 WINDOW, BLOCK = 20, 10
-CHUNK, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 6_000_000, 48
+CHUNK, MOST_CHUNK, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 32_000_000, 12_000_000, 48
+#: A chunk is at least so many of the text's bytes: with it a chunk's row for a bucket has 64 entries or more.
+CHUNK_SHARE = 64 * 6 / BUCKET_BYTES
 PACKING_LEVEL = 5
 NULL_ID = -(2**63)
 
 
-def _chunks(batches: Iterator) -> Iterator[tuple[str, list[int], list[bytes]]]:
+def _chunks(batches: Iterator, limit: int) -> Iterator[tuple[str, list[int], list[bytes]]]:
     """``(chunk id, document ids, texts)``: named by partition and place, so the same in every pass."""
     from pyspark import TaskContext
 
@@ -51,7 +54,7 @@ def _chunks(batches: Iterator) -> Iterator[tuple[str, list[int], list[bytes]]]:
             ids.append(NULL_ID if i is None else i)
             texts.append(t.encode("utf-8", "surrogatepass"))
             held += len(texts[-1])
-            if held >= CHUNK:
+            if held >= limit:
                 yield f"{part}:{n}", ids, texts
                 n, ids, texts, held = n + 1, [], [], 0
     if ids:
@@ -127,13 +130,13 @@ ENTRIES, ANSWERS = ["chunk", "bucket", "data"], ["chunk", "kind", "bucket", "dat
 ENTRY_SCHEMA, ANSWER_SCHEMA = "chunk string, bucket int, data binary", "chunk string, kind int, bucket int, data binary"
 
 
-def _anchor_entries(buckets: int):
+def _anchor_entries(buckets: int, limit: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         known = WordHashes()
-        for name, ids, texts in _chunks(batches):
+        for name, ids, texts in _chunks(batches, limit):
             _, _, distinct, indexed, twice = Chunk(ids, texts, known).anchors()
             # 38 bits of the hash below its bucket, and two flags: five bytes an entry
             low = (distinct & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -179,14 +182,14 @@ def _masked(chunk_groups: Iterator, answers: dict[int, bytes], size: int):
     return out
 
 
-def _with_answers(docs: DataFrame, answers: DataFrame) -> DataFrame:
+def _with_answers(docs: DataFrame, answers: DataFrame, limit: int) -> DataFrame:
     """Chunks (compressed documents) next to all their answers."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         codec = pa.Codec("zstd", compression_level=PACKING_LEVEL)
-        for name, ids, texts in _chunks(batches):
+        for name, ids, texts in _chunks(batches, limit):
             body = b"".join(texts)
             head = struct.pack("<q", len(ids)) + b"".join(struct.pack("<qq", i, len(t)) for i, t in zip(ids, texts))
             packed = codec.compress(head + body, asbytes=True)
@@ -331,9 +334,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     plain = docs.select(F.col(key).cast("long").alias(key), whole_text(text).alias(text))
     size = plain.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
-    anchors = durable(_grouped(plain.mapInArrow(_anchor_entries(buckets), ENTRY_SCHEMA), _anchor_answers))
-    windows = _with_answers(plain, anchors).mapInArrow(_window_entries(buckets), ENTRY_SCHEMA)
+    limit = int(min(MOST_CHUNK, max(CHUNK, CHUNK_SHARE * size)))
+    anchors = durable(_grouped(plain.mapInArrow(_anchor_entries(buckets, limit), ENTRY_SCHEMA), _anchor_answers))
+    windows = _with_answers(plain, anchors, limit).mapInArrow(_window_entries(buckets), ENTRY_SCHEMA)
     later = durable(_grouped(windows, _window_answers))
-    return _with_answers(plain, anchors.unionByName(later)).mapInArrow(
+    return _with_answers(plain, anchors.unionByName(later), limit).mapInArrow(
         _removed(buckets, key), f"`{key}` long, n_words long, n_removed long, kept_sha256 string, kept binary"
     )

@@ -105,6 +105,7 @@ def brute_repeats(rows):
 @pytest.mark.parametrize("chunk", [2_000, substring.CHUNK])
 def test_repeats(edge_docs, edge_rows, no_docs, chunk, monkeypatch):
     monkeypatch.setattr(substring, "CHUNK", chunk)
+    monkeypatch.setattr(substring, "MOST_CHUNK", chunk)
     order = sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0))
     got = Counter(tuple(r)[:4] for r in substring.remove_repeats(edge_docs).collect())
     assert got == Counter(brute_repeats(order))
