@@ -40,9 +40,14 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    """A role ends at the first line break that no backslash precedes."""
+    return escape(role).replace("\n", "\\\n")
+
+
 def marked_turns(turns: list[tuple[str, str]]) -> str:
-    """The built-in template. A role's line breaks are dropped into the text line by an escape of their own."""
-    return "".join(f"{START}{escape(r)}\n{escape(t)}{STOP}\n" for r, t in turns)
+    """The built-in template: start mark and role on one line, then the text and the stop mark. Different turns give different outputs."""
+    return "".join(f"{START}{escape_role(r)}\n{escape(t)}{STOP}\n" for r, t in turns)
 
 
 def _common(a: str, b: str, least: int = 0) -> int:

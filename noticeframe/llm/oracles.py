@@ -13,7 +13,7 @@ _PLAIN = {
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": pii.PATTERNS["iban"],
 }
 
 
@@ -88,7 +88,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
        CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
-       CAST(sum({marks} + length({escaped.format('r')}) + length({escaped.format('t')})) AS BIGINT) AS formatted_chars,
+       CAST(sum({marks} + length({escaped.format('r')}) + length(r) - length(replace(r, chr(10), '')) + length({escaped.format('t')})) AS BIGINT) AS formatted_chars,
        false AS rewrites_history
 FROM t GROUP BY conv_id"""
 

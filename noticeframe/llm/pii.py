@@ -9,9 +9,12 @@ them down nor overflow a stack:
 * email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``: a leftmost match starts where its run
   of characters starts, or where the last match ended;
 * ip ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``; card ``[0-9]([ -]?[0-9])+``; phone
-  ``\\+[0-9][ ().0-9-]+[0-9]``; iban ``[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?``.
+  ``\\+[0-9][ ().0-9-]+[0-9]``;
+* iban: a country's letters, two digits and as many letters or digits, single blanks between them, as that country's
+  numbers have, at word boundaries; so a capital word behind a number is not taken for its end.
 
-Null and empty texts have no spans; other columns are untouched; repeated rows are scanned each.
+Null and empty texts have no spans; repeated rows are scanned each. ``find_spans`` adds the column ``pii``, which takes
+the place of a column of that name; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -21,12 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import set_aside, whole_text
 
+#: Characters of an international bank account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": r"\b(?:" + "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")\b",
 }
 KINDS = tuple(PATTERNS)
 BASE_KINDS = KINDS[:4]

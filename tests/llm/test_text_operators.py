@@ -20,6 +20,16 @@ SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 # ---- chat
 
 
+@given(st.lists(st.tuples(st.text(alphabet="us\n\\<|", max_size=4), st.text(alphabet="x\n\\<|im_end>", max_size=6)), max_size=3), st.lists(st.tuples(st.text(alphabet="us\n\\<|", max_size=4), st.text(alphabet="x\n\\<|im_end>", max_size=6)), max_size=3))
+@settings(max_examples=300, deadline=None)
+def test_different_turns_differ(one, two):
+    assert (chat.marked_turns(one) == chat.marked_turns(two)) == (one == two)
+
+
+def test_line_breaks_in_roles():
+    assert chat.marked_turns([("user\nx", "y")]) != chat.marked_turns([("user", "x\ny")])
+
+
 @given(st.text(alphabet="\\<>|[]/sINTimendoftSY \nx", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_escapes_round_trip(text):
@@ -129,6 +139,14 @@ def test_redaction(spark):
     assert got == [(1, "[EMAIL] and [PHONE].", 20), (2, None, None), (3, "none", 4)]
 
 
+def test_account_numbers(spark):
+    """A number's end is its country's length, whatever follows it; context lowers a score."""
+    cases = ["BE68 5390 0754 7034 NEXT", "BE68539007547034 next", "BE68 5390 0754 7034", "BE68 5390 0754 7035", "XBE68539007547034", "BE685390075470341", "DE89 3704 0044 0532 0130 00 IBAN", "serial number BE68 5390 0754 7034", "ZZ68 5390 0754 7034"]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").selectExpr("*", "'x' AS pii")
+    got = {r.doc_id: [(x.s, x.e) for x in r.pii if x.k == "iban"] for r in pii.find_spans(df).collect()}
+    assert got == {0: [(0, 19)], 1: [(0, 16)], 2: [(0, 19)], 3: [], 4: [], 5: [], 6: [(0, 27)], 7: [], 8: []}
+
+
 # ---- quality
 
 
