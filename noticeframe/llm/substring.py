@@ -13,7 +13,7 @@ place inside, words that are an indexed block somewhere. The steps:
 3. Each document's words covered by such a run are removed.
 
 Documents travel in chunks of ``CHUNK`` bytes or more, growing with the text up to ``MOST_CHUNK``, so that the rows
-between chunks and buckets stay full (64 entries or more, up to about 1 TB of text). A chunk names each distinct hash once per bucket,
+between chunks and buckets stay full (64 entries or more, up to about 0.5 TB of text; beyond, rows get smaller). A chunk names each distinct hash once per bucket,
 however often it occurs there, so a passage that a third of all documents share costs one entry per
 chunk, not one per document; answers come back as bit masks over those entries. Bucket counts follow
 the size of the text, so each bucket stays within a task's memory. Nothing is capped or sampled.
@@ -37,7 +37,7 @@ from .common import durable, whole_text
 from .hashing import BASE, OTHER_BASE, WordHashes, mixed, rolled
 
 WINDOW, BLOCK = 20, 10
-CHUNK, MOST_CHUNK, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 32_000_000, 12_000_000, 48
+CHUNK, MOST_CHUNK, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 32_000_000, 6_000_000, 48
 #: A chunk is at least so many of the text's bytes: with it a chunk's row for a bucket has 64 entries or more.
 CHUNK_SHARE = 64 * 6 / BUCKET_BYTES
 PACKING_LEVEL = 5
