@@ -13,8 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .catalog import ORACLES, QUERIES, table
-from .functions import display, facts, majors, talks, text, timeutil, titles
-from .operators import collection, content, employers, examfilter, publish
+from .functions import display, exams, facts, majors, talks, text, timeutil, titles
+from .operators import collection, content, employers, examfilter, extract, places, publish
+from .streaming import telemetry, upsert
 
 NOW = "2026-09-10T04:00:00Z"
 
@@ -445,3 +446,114 @@ def exam_categories(c, labels):
 def track_ends(status):
     """H11."""
     return [examfilter.tracked_to_an_end(status)]
+
+
+@cases(
+    {"body": S}, ["days", "sole"],
+    [("报名时间：2026年3月5日至2026年3月10日", "2026-03-05|2026-03-10", None), ("投递截止 2026-4-1。发布于2026年1月1日", "2026-04-01", "2026-04-01"), ("网申时间：2026年2月30日", "", None), (None, "", None), ("截止2026/5/1；截止2026.05.01", "2026-05-01", "2026-05-01")],
+)
+def deadline_candidates(body):
+    """Days on lines that speak of an end, and the only one."""
+    return [joined(extract.deadlines(body)), extract.sole_deadline(body)]
+
+
+@cases({"t": S}, ["out"], [("1.数学、物理学；化学", "数学|物理学|化学"), ("不限", ""), ("会计学专业，法学等相关专业", "会计学|法学"), ("数学/数学", "数学"), (None, ""), ("A", "")])
+def majors_of_cell(t):
+    """Majors of a cell, without noise."""
+    return [joined(extract.split_majors(t))]
+
+
+@cases({"t": S}, ["out"], [("招聘软件工程师3名，会计专员 2 人", "软件工程师:3|会计专员:2"), ("无岗位", ""), (None, ""), ("行政助理（10名）", "行政助理:10")])
+def positions_of_prose(t):
+    """Names and headcounts in prose."""
+    return [joined(F.transform(extract.prose_positions(t), lambda p: F.concat_ws(":", F.regexp_replace(p["name"], "^招聘", ""), p["count"].cast("string"))))]
+
+
+@cases(
+    {"title": S, "body": S}, ["category", "kinds", "role"],
+    [
+        ("中央机关及其直属机构2026年度考试录用公务员公告", "", "公务员国考", "公务员（行政编）", "招考简章"), ("某省2026年选调生招录面试安排", None, "选调生招录", "选调生", "资格复审/面试"), ("某县教育系统公开招聘教师公告", "", "教师公开招聘", "教师编", "招考简章"),
+        ("某市医院招聘体检公示", "", "医疗卫生招聘", "事业编", "体检/递补/公示"), ("某单位招聘公告", "控制总量人员若干", "事业单位单招", "控制总量 / 备案制", "招考简章"), ("某大学公开招聘准考证打印", "", "高校 / 科研院所", "事业编", "准考证/笔试"), ("笔试成绩查询", "", "事业单位单招", "事业编", "成绩/进面"),
+    ],
+)
+def exam_classes(title, body):
+    """Category, kinds of permanent post and role of a notice."""
+    return [exams.category(title, body), joined(exams.bianzhi(title, body)), exams.notice_role(title)]
+
+
+@cases(
+    {"body": S, "published": S}, ["start_", "end_", "written", "mode"],
+    [
+        ("报名时间：2026年3月1日至3月5日。笔试时间：4月10日。", "2026-02-20", "2026-03-01", "2026-03-05", "2026-04-10", "window"), ("网上报名：3月1日-5日", "2026-02-20", "2026-03-01", "2026-03-05", None, "window"), ("常年招聘，招满为止", "2026-01-01", None, None, None, "rolling"),
+        ("报名期限 2026-03-09", "2026-02-20", None, "2026-03-09", None, "window"), (None, None, None, None, None, "window"),
+    ],
+)
+def exam_schedules(body, published):
+    """Milestone days of a notice."""
+    s = exams.schedule(body, published)
+    return [s["reg_start"], s["reg_end"], s["written_exam_date"], s["reg_mode"]]
+
+
+@cases(
+    {"start": S, "end": S, "pay": S, "written": S, "mode": S, "role": S, "published": S}, ["stage", "step", "left_"],
+    [
+        ("2026-09-20", "2026-09-25", None, None, "window", "招考简章", "2026-09-01", "upcoming", "reg_end", 15), ("2026-09-01", "2026-09-12", None, None, "window", "招考简章", "2026-09-01", "closing_soon", "reg_end", 2), ("2026-09-01", "2026-09-30", None, None, "window", "招考简章", "2026-09-01", "registering", "reg_end", 20),
+        ("2026-08-01", "2026-09-01", "2026-09-11", None, "window", "招考简章", "2026-08-01", "payment_confirm", "payment_end", 1), ("2026-08-01", "2026-09-01", None, "2026-10-01", "window", "招考简章", "2026-08-01", "admit_exam", "written_exam_date", 21), ("2026-08-01", "2026-09-01", None, None, "window", "招考简章", "2026-08-01", "ended", None, None),
+        (None, None, None, None, "rolling", "招考简章", "2026-08-01", "rolling", None, None), (None, None, None, None, "window", "体检/递补/公示", "2026-09-01", "publicity", None, None), (None, None, None, None, "window", "成绩/进面", "2026-07-01", "ended", None, None), (None, None, None, None, "window", "招考简章", "2026-09-01", "unknown", None, None),
+    ],
+)
+def exam_stages(start, end, pay, written, mode, role, published):
+    """Stage of an exam, and its next step."""
+    none = F.lit(None).cast("string")
+    s = F.struct(start.alias("reg_start"), end.alias("reg_end"), none.alias("audit_end"), pay.alias("payment_end"), none.alias("admit_card_start"), written.alias("written_exam_date"), none.alias("interview_date"), mode.alias("reg_mode"))
+    step = exams.next_step(s, "2026-09-10")
+    return [exams.stage(s, role, published, "2026-09-10"), step["step"], step["days_left"]]
+
+
+@cases({"stage": S}, ["label"], [("registering", "报名中"), ("ended", "已结束"), ("other", ""), (None, "")])
+def stage_badges(stage):
+    """Label of a stage."""
+    return [exams.badge(stage, {"registering": "报名中", "ended": "已结束"})]
+
+
+@cases(
+    {"education": S, "degree": S, "political_status": S, "fresh_grad_rule": S, "other_conditions": S, "hukou_rule": S, "major_raw": S, "majors": LIST, "age_limit": S}, ["status", "conflicts", "unknowns"],
+    [
+        ("本科及以上", "学士", "不限", "不限", "", "不限", "数学类", [], "35周岁以下", "eligible", "", ""), ("硕士研究生", "硕士", "中共党员", "当年应届", "", "济南市户籍", "法学", [], "25周岁以下", "ineligible", "education|political|graduate|major|age", ""),
+        ("详见公告", "", "", "", "", "", "", [], "", "unknown", "", "education|degree|political|graduate|hukou|major|age"), ("仅限专科", "无要求", "不限", "不限", "", "不限", "专业不限", [], "30周岁以下", "ineligible", "education", ""), ("本科", "学士", "不限", "不限", "2年及以上基层工作经历", "不限", "数学", [], "35周岁以下", "ineligible", "grassroots", ""),
+    ],
+)
+def exam_eligibility(education, degree, political_status, fresh_grad_rule, other_conditions, hukou_rule, major_raw, majors, age_limit):
+    """eight dimensions of a position for one applicant."""
+    p = exams.Profile(education="本科", has_degree=True, political="群众", graduate="在职/社会人员", hukou="济南", majors=("数学",), birth_year=1998, as_of_year=2026)
+    e = exams.eligibility(p)
+    return [e["status"], joined(e["conflicts"]), joined(e["unknowns"])]
+
+
+@cases({"t": S}, ["named", "or_county", "coded"], [("在济南和青岛工作", "济南|青岛", "济南|青岛", ""), ("千佛山", "", "", ""), ("历下区", "", "济南", ""), ("吉林省、吉林", "吉林", "吉林", ""), ("370102 历城", "", "", "济南"), ("1370102", "", "", ""), (None, "", "", "")])
+def places_in_text(t):
+    """Cities by name, by county and by code; homonyms are none."""
+    cities = {"济南": ["济南"], "青岛": ["青岛"], "佛山": ["佛山"], "吉林": ["吉林"], "两地": ["济南", "青岛"]}
+    return [joined(places.named_places(t, cities)), joined(places.places_or_counties(t, cities, {"历下": ["济南"]})), joined(places.coded_places(t, {"370102": "济南"}))]
+
+
+@cases(
+    {"failures": "int", "transport": "boolean", "gone": "boolean", "hours": "int"}, ["due"],
+    [(0, False, False, 0, False), (0, True, False, 1, True), (1, False, False, 2, True), (9, True, False, 4, True), (9, True, False, 3, False), (9, False, False, 72, True), (9, False, False, 71, False), (0, False, True, 23, False), (0, False, True, 24, True)],
+)
+def retries(failures, transport, gone, hours):
+    """T5: when a deferred detail may be tried again."""
+    return [collection.retry_due(F.timestamp_micros(F.unix_micros(now()) - hours * 3_600_000_000), failures, transport, gone, now())]
+
+
+@cases({"d": S}, ["turn"], [("2026-01-01", 1), ("2026-01-05", 0), ("2026-12-31", 0)])
+def source_turns(d):
+    """The group whose turn it is."""
+    return [upsert.rotating_group(d.cast("date"), 5)]
+
+
+@cases({"body": S, "content": S, "kind": S}, ["answer"], [("{}", "application/json", "click", 204), ("{}", "text/plain", "click", 415), ("x" * 5000, "application/json; charset=utf-8", "click", 413), ("{}", "application/json", "other", 400), ("{}", None, "click", 415)])
+def telemetry_answers(body, content, kind):
+    """What an endpoint answers."""
+    return [telemetry.verdict(body, content, kind)]
+
