@@ -557,3 +557,8 @@ def telemetry_answers(body, content, kind):
     """What an endpoint answers."""
     return [telemetry.verdict(body, content, kind)]
 
+
+@cases({"t": S}, ["out"], [("招聘岗位：软件工程师、会计（2名）、1.法务、不限", "软件工程师|会计|法务"), ("热招岗位: 客服/客服/算法", "客服"), ("岗位：会计", ""), (None, ""), ("a\n需求岗位：管培生 销售代表。财务", "管培生|销售代表")])
+def sample_posts(t):
+    """Posts that a line lists."""
+    return [joined(extract.sample_posts(t))]

@@ -89,6 +89,20 @@ def prose_positions(body: Column, limit: int = 12) -> Column:
     return F.slice(F.transform(F.arrays_zip(names.alias("n"), counts.alias("c")), lambda x: F.struct(x["n"].alias("name"), x["c"].cast("int").alias("count"))), 1, limit)
 
 
+# Lines that list posts, endings of posts, and words that no post has.
+SAMPLE_LINE = r"(?:^|\n)\s*(?:招聘岗位|需求岗位|热招岗位|招募岗位|校招岗位)\s*[:：]\s*([^\n。]{2,140})"
+POST_END = "(?:岗|员|师|生|经理|主管|助理|顾问|代表|专家|总监|主任|方向|类|出纳|会计|法务|财务|审计|税务|编辑|记者|翻译|客服|柜员|策划|运营|人事|行政|采购)$"
+NO_POST = "能力|经验|技能|要求|熟悉|优先|职责|薪资|福利|招聘|公司|集团|企业|单位|部门|人数|报名|投递|面试|笔试|条件|岗位|职位|不限"
+
+
+def sample_posts(body: Column, limit: int = 10) -> Column:
+    """Posts that a line lists, without numbers and brackets, first seen first."""
+    lists = F.regexp_extract_all(F.substring(F.coalesce(body, F.lit("")), 1, 6000), F.lit(SAMPLE_LINE), F.lit(1))
+    parts = F.flatten(F.transform(lists, lambda x: F.split(x, r"[\s,，、;/／；｜|]+")))
+    clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\(?[一二三四五六七八九十\d]+[、.．)）]", ""), r"（[^）]*）|\([^)]*\)", "")))
+    return F.slice(F.array_distinct(F.filter(clean, lambda x: F.char_length(x).between(2, 18) & ~x.rlike(NO_POST) & x.rlike(POST_END))), 1, limit)
+
+
 def text_grid(text: str) -> list[list[str]]:
     """Rows of tab, bar or wide-space separated text; lines without a separator are dropped."""
     rows = []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import query, table
 from .functions import facts
 from .functions.timeutil import deadline_instant, expired
-from .operators import audit, collection, content, entity, examfilter, planning, publish, relational
+from .operators import audit, collection, content, entity, examfilter, guards, planning, publish, relational, state
 from .operators.content import ContentFilters
 
 NOW = "1998-06-01 04:00:00"
@@ -388,3 +388,71 @@ def employer_catalog(spark, sf_dir):
 
     return catalog(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("who"), "o_orderkey"), "who", "o_orderkey")
 
+
+@query(
+    """WITH b AS (SELECT o_orderkey AS id, o_totalprice AS v, CAST(o_orderdate AS DATE) AS d, 1 AS pr FROM orders WHERE o_orderkey % 4 <> 3), s AS (SELECT o_orderkey AS id, -o_totalprice AS v, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 - 1 AS INT) AS d, 2 AS pr FROM orders WHERE o_orderkey % 2 = 1),
+m AS (SELECT * FROM b UNION ALL SELECT * FROM s) SELECT id, arg_max(v, (d, pr)) AS v, strftime(max(d), '%Y-%m-%d') AS last_verified_at FROM m GROUP BY 1"""
+)
+def shard_merge(spark, sf_dir):
+    """Shards over a baseline, guarded by generation and ownership; the newest wins, a shard at equal times."""
+    o = table(spark, sf_dir, "orders")
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias("last_verified_at")
+    base = o.where(k % 4 != 3).select(k.alias("id"), (k % 10).alias("source_id"), F.col("o_totalprice").alias("v"), text(day))
+    shards = o.where(k % 2 == 1).select(F.when(k % 10 < 5, "a").otherwise("b").alias("pack"), F.lit("g1").alias("base_generation"), k.alias("id"), (k % 10).alias("source_id"), (-F.col("o_totalprice")).alias("v"), text(F.date_add(day, (k % 3 - 1).cast("int"))))
+    owned = spark.range(10).select(F.when(F.col("id") < 5, "a").otherwise("b").alias("pack"), F.col("id").alias("source_id"))
+    merged = guards.shard_merge(base, shards, owned, "g1")
+    if not guards.lost_keys(base, merged, "id").isEmpty():
+        raise ValueError("keys of the baseline are lost")
+    return merged.select("id", "v", "last_verified_at")
+
+
+@query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'other baseline' ELSE 'not its source' END AS reason, o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 6")
+def foreign_rows(spark, sf_dir):
+    """Rows that a guarded merge refuses."""
+    k = F.col("o_orderkey")
+    shards = table(spark, sf_dir, "orders").select(F.lit("a").alias("pack"), F.when(k % 5 == 0, "g0").otherwise("g1").alias("base_generation"), (k % 7).alias("source_id"), "o_orderkey")
+    owned = spark.range(6).select(F.lit("a").alias("pack"), F.col("id").alias("source_id"))
+    return guards.foreign_rows(shards, owned, "g1").select("reason", "o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_discount <= 0.09) AND bool_and(l_quantity >= 3))")
+def whole_payloads(spark, sf_dir):
+    """orders are payloads; one bad line rejects all of one."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_quantity")
+    rules = {"discount": F.col("l_discount") <= 0.09, "quantity": F.col("l_quantity") >= 3}
+    return guards.valid_payloads(rows, "l_orderkey", rules).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT l_orderkey, array_to_string(list_filter([CASE WHEN max(l_discount) > 0.09 THEN 'discount' END, CASE WHEN min(l_quantity) < 3 THEN 'quantity' END], lambda x: x IS NOT NULL), '|') AS reasons, count(*) AS rows FROM lineitem GROUP BY 1 HAVING max(l_discount) > 0.09 OR min(l_quantity) < 3")
+def refused_payloads(spark, sf_dir):
+    """what is refused, and why."""
+    rules = {"discount": F.col("l_discount") <= 0.09, "quantity": F.col("l_quantity") >= 3}
+    found = guards.rejected_payloads(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_quantity"), "l_orderkey", rules)
+    return found.select("l_orderkey", F.array_join("reasons", "|").alias("reasons"), "rows")
+
+
+@query("SELECT l_orderkey AS path, l_suppkey % 3 AS page, CAST(round(l_quantity / 6) * 6 AS INT) AS line, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY l_extendedprice, CAST(l_partkey AS VARCHAR)) AS cells FROM lineitem GROUP BY ALL")
+def word_grid(spark, sf_dir):
+    """Words with places become rows of a grid; quantities stand for heights, prices for distances."""
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_suppkey") % 3).alias("page"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), F.col("l_partkey").cast("string").alias("text"))
+    return guards.word_rows(words).select("path", "page", "line", F.array_join("cells", "|").alias("cells"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (event_id % 2 = 0) AS event_type, max(ts) FILTER (event_id % 2 = 0) AS read_at, arg_max(value, (ts, event_id)) FILTER (event_id % 2 = 1) AS value, max(ts) FILTER (event_id % 2 = 1) AS note_at FROM events GROUP BY 1")
+def newest_parts(spark, sf_dir):
+    """Groups of fields that are newest independently of each other."""
+    even = F.col("event_id") % 2 == 0
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(even, F.col("ts")).alias("read_at"), F.when(even, F.col("event_type")).alias("event_type"), F.when(~even, F.col("ts")).alias("note_at"), F.when(~even, F.col("value")).alias("value"))
+    return state.newest_parts(e, "user_id", {"read_at": ["event_type"], "note_at": ["value"]}, "event_id").select("user_id", "event_type", "read_at", "value", "note_at")
+
+
+@query(f"WITH {OPP_SQL} SELECT id, price FROM opp WHERE price > 100000")
+def guarded_publication(spark, sf_dir):
+    """A candidate that fails a check gives way to the baseline."""
+    rows = opportunities(spark, sf_dir).select("id", "price")
+    base = rows.where("price > 100000")
+    kept, failed = guards.guarded_publication(rows.where("id % 2 = 0"), base, {"rows": F.count("*") > 0, "ids": F.count_if(F.col("id") % 2 == 1) > 0})
+    if failed != ["ids"]:
+        raise ValueError(f"unexpected checks: {failed}")
+    return kept
