@@ -17,6 +17,9 @@ EDUCATION_UNKNOWN = ("", "未明确", "未明确 / 见原公告", "学历待核
 SUPPLEMENT = "补录|补招|追加|第[二两三]批|续聘"
 SELECTION = "(?:笔试|面试|初试|复试).*(?:安排|通知|名单|公示|复审)|(?:拟录用|录取公示|录用名单)"
 LONG_TERM = "长期|常态|常年|招满为止"
+# The text of a deadline that was moved, and what a stated or adjusted deadline is called.
+MOVED = r"延长至\s*(\d{4}-\d{2}-\d{2})[^\d（(]*[（(]原截止时间[:：]\s*(\d{4}-\d{2}-\d{2})"
+CLARIFIED, ADJUSTED = ("明确截止时间", "明确报名截止时间"), ("截止调整", "报名截止时间调整为")
 
 
 def first_label(text: Column, rules: Sequence[tuple[str, str]], default: str | None = None) -> Column:
@@ -77,11 +80,10 @@ def validity(deadline: Column, listing_status: Column, kind: Column, verified: C
 
 def rolling_deadline(change_date: Column, detail: Column) -> Column:
     """A far deadline moved on by days, as pages with a rolling horizon do."""
-    pattern = r"延长至\s*(\d{4}-\d{2}-\d{2})[^\d（(]*[（(]原截止时间[:：]\s*(\d{4}-\d{2}-\d{2})"
-    new, old = (F.try_to_timestamp(F.regexp_extract(detail, pattern, g), F.lit("yyyy-MM-dd")).cast("date") for g in (1, 2))
+    new, old = (F.try_to_timestamp(F.regexp_extract(detail, MOVED, g), F.lit("yyyy-MM-dd")).cast("date") for g in (1, 2))
     changed = F.try_to_timestamp(business_day(change_date), F.lit("yyyy-MM-dd")).cast("date")
     far = (F.datediff(new, changed) >= 330) & (F.datediff(old, changed) >= 300) & (F.datediff(new, old) <= 14)
-    return F.coalesce(detail.rlike(pattern) & far, F.lit(False))
+    return F.coalesce(detail.rlike(MOVED) & far, F.lit(False))
 
 
 def deadline_change_kind(kind: Column, label: Column, detail: Column, date: Column) -> Column:
@@ -89,8 +91,8 @@ def deadline_change_kind(kind: Column, label: Column, detail: Column, date: Colu
     text = F.coalesce(detail, F.lit(""))
     return F.when(
         kind == "deadline_extended",
-        F.when((label == "明确截止时间") | text.startswith("明确报名截止时间"), "clarified")
-        .when((label == "截止调整") | text.startswith("报名截止时间调整为"), "adjusted")
+        F.when((label == CLARIFIED[0]) | text.startswith(CLARIFIED[1]), "clarified")
+        .when((label == ADJUSTED[0]) | text.startswith(ADJUSTED[1]), "adjusted")
         .when(rolling_deadline(date, text), "clarified")
         .otherwise("extended"),
     )

@@ -562,3 +562,15 @@ def telemetry_answers(body, content, kind):
 def sample_posts(t):
     """Posts that a line lists."""
     return [joined(extract.sample_posts(t))]
+
+
+@cases(
+    {"venue": S, "school": S, "excerpt": S}, ["place", "words"],
+    [
+        ("山东大学 中心校区报告厅", "山东大学", "薪资：：面议；；双休", "中心校区报告厅", "薪资：面议；双休"), ("报告厅报告厅201", "", "a，， b   c", "报告厅201", "a， b c"), ("【中心校区】中心校区 大厅", None, None, "中心校区 大厅", ""), ("大厅（山东大学）", "山东大学", " 单位介绍与岗位说明请查看原公告。 ", "大厅", ""),
+        ("大厅（东区）", "山东大学", "x: ：y", "大厅（东区）", "x：y"), ("山东大学", "山东大学", "", "山东大学", ""), (None, None, "只有一句。", "", "只有一句。"), ("东区大厅（东区）", "", "；", "东区大厅", "；"),
+    ],
+)
+def display_forms(venue, school, excerpt):
+    """Venues without repeats, excerpts without doubled signs."""
+    return [titles.venue_display(venue, school), titles.clean_excerpt(excerpt)]
