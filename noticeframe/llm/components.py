@@ -2,8 +2,8 @@
 
 Each round replaces the links of a node by links to its smallest neighbour. Nothing is collected:
 a round's only result on the driver is one count and one checksum. Neighbour minima are partial
-aggregates, and the joins back to the links are plain equi-joins that adaptive execution can split
-when one node holds a large share of the links.
+aggregates; they are joined back by shuffle for most nodes, and by a broadcast of bounded size for those that hold a
+large share of the links.
 """
 
 from __future__ import annotations
@@ -11,19 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_counted
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` with ``m``, the smallest neighbour of ``u``; the links of a hot node stay where they are."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return join_counted(links, least, ["u"], "n")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    met = _with_least(both).withColumn("m", F.least("u", "m"))
+    return met.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    met = _with_least(links)
+    moved = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(met.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -45,4 +51,4 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = mark
-        edges = durable(_small_star(_large_star(edges)))
+        edges = durable(_small_star(durable(_large_star(edges))))
