@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack_tokens),
 ]
 
-#: SQL has no XXH64 with a seed and no tokeniser; tests hold the rows against a brute-force version.
+#: SQL has no XXH64 with a seed and no tokeniser; tests/llm/test_pipeline.py holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -174,6 +174,24 @@ def test_pieces(spark, edge_docs, edge_rows, no_docs):
     assert packing.pack(no_docs, tokenizer_file()).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_packs_piece_by_piece(seed):
+    """The histogram's packs are those of placing each piece, longest first, into the pack that is least full."""
+    import random
+
+    r = random.Random(seed)
+    pieces = [r.choice((r.randrange(1, 1025), r.randrange(1, 60), 1024, 512)) for _ in range(600)]
+    packs: list[int] = []
+    for n in sorted(pieces, reverse=True):
+        fits = [i for i, held in enumerate(packs) if held + n <= 1024]
+        if fits:
+            packs[min(fits, key=lambda i: packs[i])] += n
+        else:
+            packs.append(n)
+    got = [sum(lengths) for count, lengths in packing.pack_histogram(dict(Counter(pieces))) for _ in range(count)]
+    assert sorted(got) == sorted(packs)
+
+
 def test_canonical_urls(spark):
     same = ["http://www.Example.com:80/a/?b=2&a=1#x", "https://example.com/a?a=1&utm_source=z&b=2", " HTTPS://example.com:443/a/?a=1&b=2&"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in same], "u string").select(warc.canonical_url(F.col("u"))).collect()]
