@@ -177,7 +177,8 @@ def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs ``(node, hub)`` with a similarity of 0.8 or more, enough of them to join all that the search finds.
+    """Pairs ``(node, hub)`` that join all texts with a similarity of 0.8 or more that the search finds: those of the second
+    comparison, and for those of the first what its links come to, each node under the smallest of its component.
 
     ``docs``: id, text. ``texts``: a row per distinct text, with its node, SimHash, features and keys.
     """
@@ -201,7 +202,7 @@ def similar_links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     open_keys = rest.groupBy("node").agg(F.collect_set("k").alias("keys"))
     rest = durable(rest.join(open_keys, "node"))
     more = durable(remaining(rest).join(first, ["node", "hub"], "left_anti"))
-    return links.unionByName(durable(similar_pairs(docs, more)))
+    return joined.select("node", F.col("component").alias("hub")).unionByName(similar_pairs(docs, more))
 
 
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
