@@ -1,4 +1,4 @@
-"""Exam notices: classes, schedule, stage, next step, eligibility."""
+"""Exam notices: classes, schedule, stage, next step, eligibility."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Planning, marts and histories."""
+"""Planning, marts and histories."""
 
 from __future__ import annotations
 

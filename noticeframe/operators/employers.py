@@ -1,4 +1,4 @@
-"""Who an employer is."""
+"""Who an employer is."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Table functions over texts and grids."""
+"""Table functions over texts and grids."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Scoring of opinions as nested aggregates."""
+"""Scoring of opinions as nested aggregates."""
 
 from __future__ import annotations
 

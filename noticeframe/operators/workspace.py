@@ -1,4 +1,4 @@
-"""The content predicate, personal views and orders of a workspace."""
+"""F3 (short form), F4, O2, O3, O5: the content predicate, personal views and orders of a workspace."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Snapshots of JSON shards, API pages, calendars; guarded writes."""
+"""Snapshots of JSON shards, API pages, calendars; guarded writes."""
 
 from __future__ import annotations
 
