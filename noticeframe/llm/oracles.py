@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import chat, pii, quality, warc
+from . import chat, clustering, pii, quality, warc
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
 
@@ -114,4 +114,50 @@ SELECT id AS record_id, url_key, CASE WHEN oid IS NULL THEN 'missing' WHEN same
 FROM j"""
 
 
-ORACLES: dict[str, str] = {"op1_chat": _chat(), "op2_pii": _pii(), "op8_warc": _warc(), "op9_quality": _quality()}
+def _interactions() -> str:
+    """Every step of every order by itself, from the documents grouped by the letters they fail."""
+    letters = "ABCDE"
+    picks = ", ".join(f"l AS l{i}" for i in range(5))
+    apart = " AND ".join(f"l{i}.x <> l{j}.x" for i in range(5) for j in range(i))
+    lost = ", ".join(f"CAST(coalesce(sum({c}) FILTER (here), 0) AS BIGINT) AS {n}" for c, n in (("n", "removed"), ("good", "good_lost"), ("toxic", "toxic_lost")))
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM w),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(string_split('{letters}', '')) AS x),
+o AS (SELECT {' || '.join(f'l{i}.x' for i in range(5))} AS filter_order FROM {picks} WHERE {apart}),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, substring(filter_order, step, 1) AS x, string_split(substring(filter_order, 1, step - 1), '') AS before FROM o, range(1, 6) AS r(step)),
+c AS (SELECT part, filter_order, step, x, n, good, toxic, contains(fails, x) AS bad, fails = x AS only_x, len(list_filter(before, lambda b: b <> '' AND contains(fails, b))) > 0 AS gone, bad AND NOT gone AS here FROM g, s),
+a AS (SELECT part, filter_order, step, x, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0) AS BIGINT) AS kept, {lost}, CAST(coalesce(sum(n) FILTER (bad AND gone), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (only_x), 0) AS BIGINT) AS unique_fails FROM c GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM a"""
+
+
+def _clustering() -> str:
+    """All distances in every round."""
+    k, dims = clustering.CENTROIDS, clustering.DIMS
+    rounds = []
+    for n in range(clustering.ROUNDS + 1):
+        rounds.append(f"a{n} AS MATERIALIZED (SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT id, c, list_sum(list_transform(list_zip(v, u), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, m{n}) GROUP BY id)")
+        if n < clustering.ROUNDS:
+            rounds.append(
+                f"s{n} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS k FROM a{n} JOIN v USING (id), range(1, {dims + 1}) AS r(i) GROUP BY c, i)"
+            )
+            rounds.append(
+                f"m{n + 1} AS MATERIALIZED (SELECT m.c, coalesce(x.u, m.u) AS u FROM m{n} AS m LEFT JOIN (SELECT c, list(CAST((s - ((s % k) + k) % k) // k AS BIGINT) ORDER BY i) AS u FROM s{n} GROUP BY c) AS x USING (c))"
+            )
+    last = clustering.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor({clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS u FROM (SELECT v, sha256('{clustering.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, v LIMIT {k})),
+{', '.join(rounds)}
+SELECT vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(u, ',')) AS centroid_sha256
+FROM a{last} AS a JOIN v USING (id) JOIN m{last} AS m ON a.c = m.c"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_chat": _chat(), "op2_pii": _pii(), "op8_warc": _warc(), "op9_quality": _quality(), "op11_interactions": _interactions(), "op13_clustering": _clustering(),
+}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, packing, pii, quality, sharding, simhash, substring, warc
+from . import bpe, chat, clustering, decontam, interactions, licenses, packing, pii, quality, sharding, simhash, substring, warc
 from .common import durable
 
 
@@ -132,6 +133,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("quality_lost", "good_lost")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = tokenizer_file("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.expr("cast(size(ids) AS bigint)").alias("n_tokens"),
+        F.expr("sha2(array_join(cast(ids AS array<string>), ' '), 256)").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(_table(spark, sf_dir, "embeddings"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    of_cluster = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind}>"), F.col("cluster") + 1)
+    return found.assigned.select(
+        "vec_id", "cluster", "distance",
+        of_cluster(found.inertia, "long").alias("cluster_inertia"),
+        F.lit(sum(found.inertia)).cast("long").alias("inertia"),
+        of_cluster(digests, "string").alias("centroid_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
@@ -143,4 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_interactions": op11_interactions,
+    "op12_bpe": op12_bpe,
+    "op13_clustering": op13_clustering,
 }
