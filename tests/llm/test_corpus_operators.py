@@ -145,6 +145,71 @@ def test_pattern_packer():
     assert len(patterns) < 4 * len(lengths) and packing.pack_histogram({}) == []
 
 
+def padding(histogram, limit=1024):
+    patterns = packing.pack_histogram(histogram, limit)
+    placed = Counter()
+    for count, pattern in patterns:
+        assert count > 0 and 0 < sum(pattern) <= limit
+        for x in pattern:
+            placed[x] += count
+    assert placed == Counter(histogram)
+    sequences, least = sum(c for c, _ in patterns), -(-sum(x * n for x, n in histogram.items()) // limit)
+    return sequences, least
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_padding_of_short_heavy_histograms(seed):
+    """Short pieces fill the packs up: at most one sequence more than the tokens need, or one in a hundred."""
+    import random
+
+    r = random.Random(seed)
+    short = Counter(min(1024, 1 + int(r.expovariate(1 / 60))) for _ in range(20_000))
+    sequences, least = padding(short + Counter({1024: 30, 512: 11}))
+    assert sequences <= least + max(1, least // 100)
+
+
+def test_padding_of_single_lengths():
+    """One length alone: as many to a sequence as go in."""
+    for length in (1, 2, 300, 341, 342, 512, 513, 1024):
+        for count in (1, 2, 3, 1000, 1_000_003):
+            assert padding({length: count})[0] == -(-count // (1024 // length))
+    assert padding({300: 1000, 40: 10})[0] == 334
+
+
+def test_packing_many_lengths_is_quick():
+    """All lengths, in counts of a large corpus: work grows with the lengths, not with the counts."""
+    import random
+    import time
+
+    r, began = random.Random(9), time.perf_counter()
+    sequences, least = padding({n: r.randrange(1, 10**6) for n in range(1, 1025)})
+    assert sequences <= 1.05 * least and time.perf_counter() - began < 60
+
+
+def test_slots_hold_every_piece_once():
+    import random
+
+    r = random.Random(11)
+    histogram = Counter(r.choice((1, 2, 3, 7, 50, 300, 340, 1000)) for _ in range(3000))
+    seen = defaultdict(list)
+    for length, first, to, sequence, at, run in packing.slots(packing.pack_histogram(dict(histogram))):
+        for rank in range(first, to):
+            seen[sequence + (rank - first) // run].append((at + (rank - first) % run * length, length))
+    for parts in seen.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+    assert Counter(n for parts in seen.values() for _, n in parts) == histogram and sorted(seen) == list(range(len(seen)))
+
+
+def test_files_that_cut_otherwise_go_through_their_own_tokeniser():
+    from tokenizers import Tokenizer
+
+    assert packing.cuts_at_blanks(tokenizer_file()) and not packing.cuts_at_blanks(tokenizer_file("word_bpe_49k.json"))
+    other, whole = packing.BlankCache(tokenizer_file("word_bpe_49k.json")), Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    for text in ("Some WORDS  here", "", "a\nb c"):
+        assert list(struct.unpack(f"<{len(other.ids(text)) // 4}I", other.ids(text))) == whole.encode(text, add_special_tokens=False).ids
+
+
 ODD = ["  a", " a b", "a  b", "a\n b", "a \nb", "x <|endoftext|> y", "don't we'll  ", "\n", "é è ñ 12 3!!", "a\n \nb c", " ", "\u3000x y", "tab\tx  y "]
 
 
