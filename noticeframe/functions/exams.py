@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .facts import all_labels, first_label, verdict
+from .text import spaced, trimmed
 
 # Fixed values: (label, pattern), the first that occurs counts.
 TITLE_FIRST = (
@@ -78,7 +79,7 @@ def notice_role(title: Column) -> Column:
 
 def _dates(segment: Column, year: Column) -> Column:
     """Days of a sentence in order; a missing year or month is that of the date before."""
-    pattern = r"(?:(202\d)\s*[年.-]\s*)?(?:(\d{1,2})\s*[月.-]\s*)?(\d{1,2})\s*日|(202\d)-(\d{1,2})-(\d{1,2})"
+    pattern = spaced(r"(?:(202\d)\s*[年.-]\s*)?(?:(\d{1,2})\s*[月.-]\s*)?(\d{1,2})\s*日|(202\d)-(\d{1,2})-(\d{1,2})")
     group = lambda n: F.regexp_extract_all(segment, F.lit(pattern), F.lit(n))
     parts = F.arrays_zip(*[group(n).alias(f"g{n}") for n in range(1, 7)])
     start = F.struct(year.alias("y"), F.lit("").alias("m"), F.array().cast("array<string>").alias("out"))
@@ -97,7 +98,7 @@ def _dates(segment: Column, year: Column) -> Column:
 def schedule(body: Column, published_at: Column) -> Column:
     """Struct of milestone days: first sentence of each that has dates. Rolling notices say so."""
     year = F.regexp_extract(F.coalesce(published_at, F.lit("")), r"^(202\d)", 1)
-    segments = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "[\r\n。；;！!]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "[\r\n。；;！!]+"), lambda s: trimmed(F.regexp_replace(s, spaced(r"\s+"), " "))), lambda s: s != "")
 
     def dates(words: str) -> Column:
         found = F.filter(F.transform(F.filter(segments, lambda s: s.rlike(words)), lambda s: _dates(s, year)), lambda d: F.size(d) > 0)
@@ -195,7 +196,7 @@ def eligibility(p: Profile, province: str = "山东", cities: tuple[str, ...] =
         add(unknowns, _unknown(g), "graduate")
         add(conflicts, ~_unknown(g) & ((only & F.lit(p.graduate != "当年应届")) | (some & F.lit(p.graduate == "在职/社会人员"))), "graduate")
     work = F.concat_ws(" ", "fresh_grad_rule", "other_conditions")
-    said = F.translate(F.regexp_extract(work, r"(\d+|[一二两三五])\s*年及?以上基层工作经历", 1), "一二两三五", "12235")
+    said = F.translate(F.regexp_extract(work, spaced(r"(\d+|[一二两三五])\s*年及?以上基层工作经历"), 1), "一二两三五", "12235")
     add(conflicts, F.try_to_number(F.nullif(said, F.lit("")), F.lit("999")).cast("int") > p.grassroots_years, "grassroots")
     if p.hukou and p.hukou != "全部":
         h = text("hukou_rule")
@@ -213,8 +214,8 @@ def eligibility(p: Profile, province: str = "山东", cities: tuple[str, ...] =
         add(conflicts, ~_unknown(m) & ~hit, "major")
     if p.birth_year is not None:
         a, own = text("age_limit"), p.as_of_year - p.birth_year
-        ages = F.transform(F.regexp_extract_all(a, F.lit(r"(\d{2})\s*周岁及?以下"), F.lit(1)), lambda x: x.cast("int"))
-        relaxed = {"博士研究生": r"(?:博士|硕博|研究生)[^。；\n]*?(\d{2})\s*周岁", "硕士研究生": r"(?:硕士|硕博|(?<!博士)研究生)[^。；\n]*?(\d{2})\s*周岁"}.get(p.education, "(?!)()")
+        ages = F.transform(F.regexp_extract_all(a, F.lit(spaced(r"(\d{2})\s*周岁及?以下")), F.lit(1)), lambda x: x.cast("int"))
+        relaxed = {"博士研究生": spaced(r"(?:博士|硕博|研究生)[^。；\n]*?(\d{2})\s*周岁"), "硕士研究生": spaced(r"(?:硕士|硕博|(?<!博士)研究生)[^。；\n]*?(\d{2})\s*周岁")}.get(p.education, "(?!)()")
         extra = F.try_to_number(F.nullif(F.regexp_extract(a, relaxed, 1), F.lit("")), F.lit("99")).cast("int")
         limit = F.greatest(F.get(ages, F.lit(0)), extra)
         maybe = (F.lit(own) <= F.array_max(ages)) & (F.lit(p.education == "") | a.rlike("职称|特聘|退役|基层|工作经历|紧缺"))

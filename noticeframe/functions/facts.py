@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import spaced, trimmed
 from .timeutil import DAY_ONLY, business_day, expired, instant
 
 # Ranks of education levels and the words that name them.
@@ -18,7 +19,7 @@ SUPPLEMENT = "补录|补招|追加|第[二两三]批|续聘"
 SELECTION = "(?:笔试|面试|初试|复试).*(?:安排|通知|名单|公示|复审)|(?:拟录用|录取公示|录用名单)"
 LONG_TERM = "长期|常态|常年|招满为止"
 # The text of a deadline that was moved, and what a stated or adjusted deadline is called.
-MOVED = r"延长至\s*(\d{4}-\d{2}-\d{2})[^\d（(]*[（(]原截止时间[:：]\s*(\d{4}-\d{2}-\d{2})"
+MOVED = spaced(r"延长至\s*(\d{4}-\d{2}-\d{2})[^\d（(]*[（(]原截止时间[:：]\s*(\d{4}-\d{2}-\d{2})")
 CLARIFIED, ADJUSTED = ("明确截止时间", "明确报名截止时间"), ("截止调整", "报名截止时间调整为")
 
 
@@ -37,10 +38,10 @@ def education_matches(actual: Column, wanted: str, include_unknown: bool) -> Col
     """F8: equal level, or within the range that 及以上 / 以下 open."""
     if not wanted or wanted in ("全部", "不限"):
         return F.lit(True)
-    clean = F.trim(
+    clean = trimmed(
         F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(F.coalesce(actual, F.lit("")), r"(?:20)?\d{2}\s*届(?:[\s,/、，|-]*(?:20)?\d{2}\s*届)*", ""), r"\s+", " "),
-            r"^[\s,/、，|-]+|[\s,/、，|-]+$",
+            F.regexp_replace(F.regexp_replace(F.coalesce(actual, F.lit("")), spaced(r"(?:20)?\d{2}\s*届(?:[\s,/、，|-]*(?:20)?\d{2}\s*届)*"), ""), spaced(r"\s+"), " "),
+            spaced(r"^[\s,/、，|-]+|[\s,/、，|-]+$"),
             "",
         )
     )
@@ -142,8 +143,8 @@ def effective_day(published_day: Column, substantive: Column, change_day: Column
 
 def graduation_years(text: Column, first: int = 2024, last: int = 2030) -> Column:
     """Years named as graduating classes, ascending."""
-    long = F.regexp_extract_all(text, F.lit(r"(20\d{2})\s*(?:届|应届|年应届|年(?:高校)?毕业)"), F.lit(1))
-    short = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(2\d)\s*届"), F.lit(1)), lambda y: F.concat(F.lit("20"), y))
+    long = F.regexp_extract_all(text, F.lit(spaced(r"(20\d{2})\s*(?:届|应届|年应届|年(?:高校)?毕业)")), F.lit(1))
+    short = F.transform(F.regexp_extract_all(text, F.lit(spaced(r"(?<!\d)(2\d)\s*届")), F.lit(1)), lambda y: F.concat(F.lit("20"), y))
     return F.array_sort(F.array_distinct(F.filter(F.concat(long, short), lambda y: y.between(str(first), str(last)))))
 
 
@@ -154,13 +155,13 @@ def salary_range(title: Column, excerpt: Column) -> Column:
     pay, or 万 from 6 up without a monthly word, is divided by twelve. Daily, hourly and foreign pay
     and ranges that look like calendar years give null. An open upper end is a null max with a flag.
     """
-    number, unit = r"(\d+(?:\.\d+)?)\s*(k|K|万|w|W|元)?", r"\s*[-~至–]\s*"
+    number, unit = spaced(r"(\d+(?:\.\d+)?)\s*(k|K|万|w|W|元)?"), spaced(r"\s*[-~至–]\s*")
     ends = {
-        "title_range": (title, rf"[（(\n\s]{number}{unit}{number}(?:·\d+薪)?(?:元|/月|/年|/天|人民币)?[)）\s]*$"),
-        "title_above": (title, rf"[（(\n\s]{number}\s*(?:以上|及以上)[)）\s]*$"),
+        "title_range": (title, spaced(rf"[（(\n\s]{number}{unit}{number}(?:·\d+薪)?(?:元|/月|/年|/天|人民币)?[)）\s]*$")),
+        "title_above": (title, spaced(rf"[（(\n\s]{number}\s*(?:以上|及以上)[)）\s]*$")),
     }
-    label = F.regexp_extract(F.coalesce(excerpt, F.lit("")), r"薪资(?:待遇)?[:：]\s*([^\s,，;；\n*]+)", 1)
-    ends |= {"label_range": (label, rf"{number}{unit}{number}"), "label_above": (label, rf"{number}\s*(?:以上|及以上)")}
+    label = F.regexp_extract(F.coalesce(excerpt, F.lit("")), spaced(r"薪资(?:待遇)?[:：]\s*([^\s,，;；\n*]+)"), 1)
+    ends |= {"label_range": (label, rf"{number}{unit}{number}"), "label_above": (label, spaced(rf"{number}\s*(?:以上|及以上)"))}
 
     def parsed(name: str) -> Column:
         text, pattern = ends[name]
@@ -179,7 +180,7 @@ def salary_range(title: Column, excerpt: Column) -> Column:
             F.round(low * factor).alias("min"),
             (F.lit(None).cast("double") if above else F.round(high * factor)).alias("max"),
             F.lit(above).alias("open_ended"),
-            F.trim(part(0)).alias("raw"),
+            trimmed(part(0)).alias("raw"),
         )
         good = ~text.rlike("(?i)/天|/日|/小时|日薪|时薪|美元|港币|USD|HKD") & (high * factor >= 1000) & ~year_like
         return F.when(text.rlike(pattern), F.struct(F.when(good, value).alias("v")))
@@ -194,7 +195,7 @@ def city_scope(city: str, province: str, cities: Column, detail: Column, other_c
     text = F.coalesce(detail, F.lit(""))
     return (
         F.when(F.array_contains(cities, city) | F.contains(text, F.lit(city)), "exact")
-        .when(text.rlike(rf"{province}省?(?:$|[、,，;；。\s]|各地|全省|不限)"), "possible")
+        .when(text.rlike(spaced(rf"{province}省?(?:$|[、,，;；。\s]|各地|全省|不限)")), "possible")
         .when(other_city, "none")
         .when(text.rlike("全国|不限城市|各地"), "possible")
         .when(F.size(cities) > 0, "none")

@@ -15,12 +15,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has_keyword
+from .text import has_keyword, spaced, trimmed
 
 # Texts that ask for no particular major, separators of clauses, codes before a stored major.
 UNLIMITED = "专业不限|不限专业|不限所学专业|无专业限制|^(?:不限|无限制|所有专业|各专业均可)$"
 SEPARATORS = "[\\s,，、;/；:：。()（）【】\\[\\]“”\"'或]+"
-CODE = r"^\d{4,6}[A-Za-z]?\s*(?=[一-龥])"
+CODE = spaced(r"^\d{4,6}[A-Za-z]?\s*(?=[一-龥])")
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def profiles(query: str, vocabulary: Mapping[str, MajorProfile], aliases: Mappin
 
 def is_unlimited(text: Column) -> Column:
     """no particular major is asked for."""
-    return F.trim(text).rlike(UNLIMITED)
+    return trimmed(text).rlike(UNLIMITED)
 
 
 def clause_tokens(text: Column) -> Column:
@@ -59,7 +59,7 @@ def clause_tokens(text: Column) -> Column:
 
 def stored_majors(majors: Column, noise: str | None = None, known: Sequence[str] = ()) -> Column:
     """Stored majors without codes, blanks and words that are none."""
-    clean = F.filter(F.transform(F.coalesce(majors, F.array().cast("array<string>")), lambda m: F.trim(F.regexp_replace(F.trim(m), CODE, ""))), lambda m: m != "")
+    clean = F.filter(F.transform(F.coalesce(majors, F.array().cast("array<string>")), lambda m: trimmed(F.regexp_replace(trimmed(m), CODE, ""))), lambda m: m != "")
     return clean if noise is None else F.filter(clean, lambda m: is_unlimited(m) | ~m.rlike(noise) | F.lower(m).isin(*known))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bound
+from .text import bound, spaced, trimmed
 
 # Structured keys and the labels that stand for them in a body; words of states, types and modes.
 KEYS = {"date": ("fairDate", "宣讲时间"), "start": ("fairStartTime", "宣讲时间"), "end": ("fairEndTime", "宣讲时间"), "school": ("schoolName", "宣讲学校"), "venue": ("fairAddress", "举办地点")}
@@ -22,8 +22,8 @@ EVENT = "struct<date:string,start_time:string,end_time:string,school:string,venu
 def talk_field(structured: Column, body: Column, name: str) -> Column:
     """A structured value, else the text after its label in the body; '' when there is neither."""
     key, label = KEYS[name]
-    given = F.trim(F.regexp_replace(F.try_element_at(structured, F.lit(key)), r"\s+", " "))
-    said = F.trim(F.regexp_extract(F.coalesce(body, F.lit("")), rf"{label}\s*[：:]\s*([^\n]+)", 1))
+    given = trimmed(F.regexp_replace(F.try_element_at(structured, F.lit(key)), spaced(r"\s+"), " "))
+    said = trimmed(F.regexp_extract(F.coalesce(body, F.lit("")), spaced(rf"{label}\s*[：:]\s*([^\n]+)"), 1))
     return F.substring(F.coalesce(F.nullif(given, F.lit("")), said, F.lit("")), 1, 200)
 
 

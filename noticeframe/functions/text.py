@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -18,6 +19,36 @@ EMAIL = r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 MOBILE = r"(?<!\d)1[3-9]\d{9}(?!\d)"
 
 
+#: White space of notices beyond what Java's ``\\s`` and Spark's ``trim`` know: full-width and no-break blanks, line ends, the byte-order mark.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def spaced(pattern: str) -> str:
+    """A pattern in which ``\\s`` and ``\\S`` stand for ``WHITE`` and all else, inside and outside of classes."""
+    signs = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+    out, inside = [], False
+    for part in re.findall(r"\\.|\[\^?\]?|[^\\\[]", pattern, re.S):
+        if part == r"\s":
+            part = signs if inside else f"[{signs}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{signs}]"
+        elif part.startswith("["):
+            inside = True
+        elif part == "]":
+            inside = False
+        out.append(part)
+    return "".join(out)
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def trimmed_end(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITE))
+
+
 def bound(value: Column, f) -> Column:
     """``f`` of a value that is computed once, however often ``f`` uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -29,7 +60,7 @@ def replaced(text: Column, *rules: tuple[str, str]) -> Column:
 
 
 def _tight(text: Column) -> Column:
-    return replaced(F.coalesce(text, F.lit("")), (r"(?U)\s+", ""), ("（", "("), ("）", ")"))
+    return replaced(F.coalesce(text, F.lit("")), (spaced(r"\s+"), ""), ("（", "("), ("）", ")"))
 
 
 def company_norm(name: Column) -> Column:
@@ -53,12 +84,12 @@ def canonical(name: Column) -> Column:
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.trim(F.regexp_replace(nfkc(name), r"(?U)\s+", " "))
+    return trimmed(F.regexp_replace(nfkc(name), spaced(r"\s+"), " "))
 
 
 def trimmed_excerpt(text: Column, limit: int = 90) -> Column:
     """At most ``limit`` code points, the last an ellipsis when cut."""
-    return F.when(F.char_length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))).otherwise(text)
+    return F.when(F.char_length(text) > limit, F.concat(trimmed_end(F.substring(text, 1, limit - 1)), F.lit("…"))).otherwise(text)
 
 
 def search_text(*parts: Column) -> Column:
@@ -70,7 +101,7 @@ def search_head_tail(head: Column, tail: Column, head_cap: int = 240, tail_cap:
     """The lower-cased head and a tail that, as a kept quirk, is lower-cased only on demand."""
     end = F.substring(F.coalesce(tail, F.lit("")), 1, tail_cap)
     whole = F.concat_ws(" ", F.substring(F.lower(head), 1, head_cap), F.lower(end) if lower_tail else end)
-    return F.substring(F.trim(whole), 1, cap)
+    return F.substring(trimmed(whole), 1, cap)
 
 
 def contains_all(text: Column, query: str, limit: int = 5) -> Column:
@@ -95,16 +126,16 @@ def redacted(text: Column) -> Column:
 
 def plain_html(html: Column) -> Column:
     """Text of markup: no scripts or styles, blocks become lines, common entities decoded."""
-    bare = replaced(html, (r"(?is)<(script|style)[^>]*>.*?</\1>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|table|ul|ol|article|section)>", "\n"), (r"(?s)<[^>]*>", " "))
+    bare = replaced(html, (r"(?is)<(script|style)[^>]*>.*?</\1>", ""), (r"(?s)<!--.*?-->", ""), (spaced(r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|table|ul|ol|article|section)>"), "\n"), (r"(?s)<[^>]*>", " "))
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(char))
-    return replaced(bare, (r"[ \t\x0B\f\r]+", " "), (r" ?\n\s*", "\n"), (r"^\s+|\s+$", ""))
+    return replaced(bare, (r"[ \t\x0B\f\r]+", " "), (spaced(r" ?\n\s*"), "\n"), (spaced(r"^\s+|\s+$"), ""))
 
 
 def safe_url(url: Column) -> Column:
     """Http and https only; user names, fragments and spaces rejected or dropped; else null."""
-    clean = F.regexp_replace(F.trim(url), "#.*$", "")
-    return F.when(clean.rlike(r"(?i)^https?://[^\s/@]+(?:/\S*)?$"), clean)
+    clean = F.regexp_replace(trimmed(url), "#.*$", "")
+    return F.when(clean.rlike(spaced(r"(?i)^https?://[^\s/@]+(?:/\S*)?$")), clean)
 
 
 def ics_escaped(text: Column) -> Column:

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import trimmed
+
 ZONE = "+08:00"
 DAY_ONLY = r"^\d{4}-\d{2}-\d{2}$"
 
 
 def instant(text: Column) -> Column:
     """Timestamp of an ISO string; days are midnight UTC; null if it is not a time."""
-    return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+    return F.try_to_timestamp(F.nullif(trimmed(text), F.lit("")))
 
 
 def business_day(text: Column) -> Column:

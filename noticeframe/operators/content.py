@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts
 from ..functions.majors import MajorProfile, matches_major
+from ..functions.text import trimmed
 from ..functions.timeutil import business_day, countdown, deadline_instant, expired, instant, recent
 from ..functions.titles import job_types
 
@@ -180,7 +181,7 @@ def scope_counts(df: DataFrame, rest: Column, location: Column, talk_near: Colum
 
 def mart_excluded(snapshot: Column) -> Column:
     """rows that the mart leaves out: gone, attached, of the civil-exam source, overseas, tests, cancelled talks, past deadlines."""
-    name, head, source = F.trim(text("company")), F.trim(text("title")), text("source_id")
+    name, head, source = trimmed(text("company")), trimmed(text("title")), text("source_id")
     talk = (text("kind") == "宣讲会") | source.endswith("-talks")
     return (
         (text("listing_status") == "withdrawn")

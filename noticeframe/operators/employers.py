@@ -7,10 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical
+from ..functions.text import canonical, spaced
 
 # Fixed values.
-JOINT = r"[、;；|｜]|\s[&+/]\s|等\d+家|多家企业|联合招聘"
+JOINT = spaced(r"[、;；|｜]|\s[&+/]\s|等\d+家|多家企业|联合招聘")
 NAMELESS = "待核实|待确认|见原|未知|未明确|招聘单位名称|来源单位字段|^(?:招聘单位|企业名称|公司名称|单位名称)$"
 LEGAL_END = "(?:有限责任公司|股份有限公司|有限公司|股份公司|分公司|分行|支行)$"
 BODY_END = "(?:银行|信用合作社|事务所|研究院|研究所|设计院|科学院|医院|大学|学院|广播电视台|出版社|报社)$"

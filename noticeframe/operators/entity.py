@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import company_norm, title_core
+from ..functions.text import company_norm, spaced, title_core, trimmed
 
 # Phases of a campaign, the first that occurs in a title counts.
 PHASES = (
@@ -32,14 +32,14 @@ def campaign_phase(title: Column, default: str = "校招") -> Column:
 
 def dedup_key() -> Column:
     """A4: key cascade over id, source_id, kind, company, title, cities, types, graduation_years, body."""
-    company, title = F.trim(F.coalesce("company", F.lit(""))), F.coalesce("title", F.lit(""))
+    company, title = trimmed(F.coalesce("company", F.lit(""))), F.coalesce("title", F.lit(""))
     norm, core = company_norm(company), title_core(title)
     cities = F.array_join(F.array_sort(F.coalesce("cities", F.array().cast("array<string>"))), ",")
-    named = F.array_distinct(F.regexp_extract_all(title, F.lit(r"(20\d{2})\s*(?:届|应届|年应届|年(?:高校)?毕业|(?=校园招聘|校招))"), F.lit(1)))
-    campaign = F.array_distinct(F.regexp_extract_all(title, F.lit(r"(20\d{2})\s*(?:年(?:度)?\s*)?(?=校园招聘|校招)"), F.lit(1)))
+    named = F.array_distinct(F.regexp_extract_all(title, F.lit(spaced(r"(20\d{2})\s*(?:届|应届|年应届|年(?:高校)?毕业|(?=校园招聘|校招))")), F.lit(1)))
+    campaign = F.array_distinct(F.regexp_extract_all(title, F.lit(spaced(r"(20\d{2})\s*(?:年(?:度)?\s*)?(?=校园招聘|校招)")), F.lit(1)))
     years = F.coalesce("graduation_years", F.array().cast("array<string>"))
     cohorts = F.array_join(F.array_sort(F.when(F.size(named) > 0, named).when(F.size(years) > 0, years).otherwise(campaign)), ",")
-    tight = F.regexp_replace(title, r"(?U)\s+", "")
+    tight = F.regexp_replace(title, spaced(r"\s+"), "")
     batch = F.regexp_extract(title, "(第[一二两三四五1-5](?:批|期))", 1)
     key = lambda *p: F.to_json(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in p]))
     return (

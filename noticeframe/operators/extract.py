@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import spaced, trimmed
+
 # Fixed values: (dimension, polarity, words) of opinion clauses.
 OPINION_RULES = (
     ("pay", 1, "工资高|待遇好|薪资不错|福利好"),
@@ -40,7 +42,7 @@ def opinion_signals(df: DataFrame, body: Column, rules: Sequence[tuple[str, int,
 
     A negation right before the opinion word drops the clause.
     """
-    clauses = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), CLAUSES), lambda c: F.trim(c)), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), CLAUSES), lambda c: trimmed(c)), lambda c: c != "")
     found = F.flatten(
         F.transform(
             clauses,
@@ -63,7 +65,7 @@ def opinion_signals(df: DataFrame, body: Column, rules: Sequence[tuple[str, int,
 def deadlines(body: Column) -> Column:
     """Distinct days on lines that speak of an end of application, ascending."""
     lines = F.filter(F.split(F.coalesce(body, F.lit("")), r"[\r\n。；;]"), lambda x: x.rlike("截止|报名时间|网申时间|投递时间"))
-    pattern = r"(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
+    pattern = spaced(r"(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})")
     joined = F.array_join(lines, "\n")
     parts = [F.regexp_extract_all(joined, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
     days = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "ymd")]), lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")))
@@ -78,19 +80,19 @@ def sole_deadline(body: Column) -> Column:
 
 def split_majors(text: Column, limit: int = 15) -> Column:
     """Majors of a cell without noise, first seen first."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[、,，;；/\n]|(?:\s{2,})"), lambda x: F.trim(F.regexp_replace(x, r"^\d+[.、]|等(?:相关)?专业$|专业$", "")))
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), spaced(r"[、,，;；/\n]|(?:\s{2,})")), lambda x: trimmed(F.regexp_replace(x, r"^\d+[.、]|等(?:相关)?专业$|专业$", "")))
     return F.slice(F.array_distinct(F.filter(parts, lambda x: (F.char_length(x) >= 2) & (F.char_length(x) <= 30) & ~x.rlike("^(?:不限|无|其他|详见)"))), 1, limit)
 
 
 def prose_positions(body: Column, limit: int = 12) -> Column:
     """``name`` and ``count`` of phrases like 软件工程师 3 名."""
-    pattern = r"([一-龥A-Za-z]{2,16}?(?:岗|师|员|经理|助理|专员|主管))[^\d一-龥]{0,3}(\d{1,3})\s*[名人]"
+    pattern = spaced(r"([一-龥A-Za-z]{2,16}?(?:岗|师|员|经理|助理|专员|主管))[^\d一-龥]{0,3}(\d{1,3})\s*[名人]")
     names, counts = (F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(pattern), F.lit(g)) for g in (1, 2))
     return F.slice(F.transform(F.arrays_zip(names.alias("n"), counts.alias("c")), lambda x: F.struct(x["n"].alias("name"), x["c"].cast("int").alias("count"))), 1, limit)
 
 
 # Lines that list posts, endings of posts, and words that no post has.
-SAMPLE_LINE = r"(?:^|\n)\s*(?:招聘岗位|需求岗位|热招岗位|招募岗位|校招岗位)\s*[:：]\s*([^\n。]{2,140})"
+SAMPLE_LINE = spaced(r"(?:^|\n)\s*(?:招聘岗位|需求岗位|热招岗位|招募岗位|校招岗位)\s*[:：]\s*([^\n。]{2,140})")
 POST_END = "(?:岗|员|师|生|经理|主管|助理|顾问|代表|专家|总监|主任|方向|类|出纳|会计|法务|财务|审计|税务|编辑|记者|翻译|客服|柜员|策划|运营|人事|行政|采购)$"
 NO_POST = "能力|经验|技能|要求|熟悉|优先|职责|薪资|福利|招聘|公司|集团|企业|单位|部门|人数|报名|投递|面试|笔试|条件|岗位|职位|不限"
 
@@ -98,8 +100,8 @@ NO_POST = "能力|经验|技能|要求|熟悉|优先|职责|薪资|福利|招聘
 def sample_posts(body: Column, limit: int = 10) -> Column:
     """Posts that a line lists, without numbers and brackets, first seen first."""
     lists = F.regexp_extract_all(F.substring(F.coalesce(body, F.lit("")), 1, 6000), F.lit(SAMPLE_LINE), F.lit(1))
-    parts = F.flatten(F.transform(lists, lambda x: F.split(x, r"[\s,，、;/／；｜|]+")))
-    clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\(?[一二三四五六七八九十\d]+[、.．)）]", ""), r"（[^）]*）|\([^)]*\)", "")))
+    parts = F.flatten(F.transform(lists, lambda x: F.split(x, spaced(r"[\s,，、;/／；｜|]+"))))
+    clean = F.transform(parts, lambda x: trimmed(F.regexp_replace(F.regexp_replace(x, r"^\(?[一二三四五六七八九十\d]+[、.．)）]", ""), r"（[^）]*）|\([^)]*\)", "")))
     return F.slice(F.array_distinct(F.filter(clean, lambda x: F.char_length(x).between(2, 18) & ~x.rlike(NO_POST) & x.rlike(POST_END))), 1, limit)
 
 

@@ -7,10 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import spaced
 from .relational import first_of
 
 # Endings that name a member of a family of companies, and the form of a positions asset.
-FAMILY = r"(?:股份)?有限公司.*$|(?:集团)?(?:[^\s]{2,6}省)?分公司.*$|支公司.*$"
+FAMILY = spaced(r"(?:股份)?有限公司.*$|(?:集团)?(?:[^\s]{2,6}省)?分公司.*$|支公司.*$")
 POSITIONS_ASSET = r"^/exam-assets/positions-[0-9a-f]{20}\.json$"
 #: A source that goes after this many heads.
 EARLY_HEADS = 4

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_html, search_head_tail, trimmed_excerpt
+from ..functions.text import plain_html, search_head_tail, spaced, trimmed, trimmed_excerpt
 
 # Fields a summary leaves out, and headings of announcement sections.
 HEAVY = ("body", "facts", "identity", "structured", "fingerprint", "content_fingerprint", "sample_positions", "duplicate_sources", "raw_evidence")
@@ -40,8 +40,8 @@ def card_summary(body: Column, limit: int = 200) -> Column:
     """Text under the first known heading, at most ``limit`` code points; '' when there is none."""
     text = plain_html(F.coalesce(body, F.lit("")))
     heads = "|".join(p for _, p in SECTIONS)
-    found = [F.nullif(F.trim(F.regexp_extract(text, rf"(?s)(?:^|\n)[^\n]{{0,6}}(?:{p})[：:\s]*(.+?)(?=\n[^\n]{{0,6}}(?:{heads})|$)", 1)), F.lit("")) for _, p in SECTIONS]
-    return trimmed_excerpt(F.regexp_replace(F.coalesce(*found, F.lit("")), r"\s+", " "), limit)
+    found = [F.nullif(trimmed(F.regexp_extract(text, spaced(rf"(?s)(?:^|\n)[^\n]{{0,6}}(?:{p})[：:\s]*(.+?)(?=\n[^\n]{{0,6}}(?:{heads})|$)"), 1)), F.lit("")) for _, p in SECTIONS]
+    return trimmed_excerpt(F.regexp_replace(F.coalesce(*found, F.lit("")), spaced(r"\s+"), " "), limit)
 
 
 def reused_intros(df: DataFrame, employer: str, intro: str, published: str, key: str) -> DataFrame:

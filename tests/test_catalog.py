@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import noticeframe.literal_cases  # noqa: F401  (registers its queries)
+import noticeframe.notice_queries  # noqa: F401
 import noticeframe.source_queries  # noqa: F401
 import noticeframe.workspace_queries  # noqa: F401
 from noticeframe.catalog import ORACLES, QUERIES
