@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .functions import display, facts, text, titles
-from .operators import examtables, extract
+from .operators import changes, examtables, extract, prose
 
 #: White space that notices hold between words, by row: blank, full-width blank, no-break blank, several, line end.
 GAPS = (" ", "　", " ", " 　 ", "\r\n")
@@ -90,3 +90,106 @@ def exam_tables(spark, sf_dir):
     )
     found = examtables.exam_positions(grids)
     return found.select("exam_id", "department", "employer", "position_name", "position_code", "recruit_count", "major_raw", "education", "bianzhi", "row_id", F.array_join("majors", "|").alias("majors"))
+
+
+#: A planted vocabulary: pairs of syllables, and each syllable that is long enough to stand alone.
+SYLLABLES = ("eau", "eaux", "tion", "ment", "ent", "que", "elle", "tre", "ouan", "ier", "pa", "ren", "an", "er", "in", "os")
+PLANTED = sorted({a + b for a in SYLLABLES for b in SYLLABLES} | {s for s in SYLLABLES if len(s) > 3}, key=lambda w: (-len(w), w))
+
+
+@query(
+    f"SELECT doc_id, CAST(len(f) AS BIGINT) AS n_found, CAST(len(list_distinct(f)) AS BIGINT) AS n_words, sha256(array_to_string(f, ' ')) AS found_sha256 FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{'|'.join(PLANTED)}') AS f FROM documents)"
+)
+def words_in_prose(spark, sf_dir):
+    """A vocabulary's leftmost longest words in whole documents, by one automaton; the SQL tries all words at every place, longest first."""
+    found = table(spark, sf_dir, "documents").select("doc_id", prose.words_in(F.col("text"), PLANTED).alias("f"))
+    return found.select("doc_id", F.size("f").cast("long").alias("n_found"), F.size(F.array_distinct("f")).cast("long").alias("n_words"), F.sha2(F.array_join("f", " "), 256).alias("found_sha256"))
+
+
+TYPE_STEMS = ("ECONOMY", "STANDARD", "PROMO", "MEDIUM", "LARGE", "SMALL")
+
+
+@query(
+    f"""SELECT p_partkey, concat_ws('|', CASE WHEN p_partkey % 5 = 0 THEN '专业不限' END, p_type || '学', CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) || '科学' END, CASE WHEN p_partkey % 3 = 0 THEN 'x' || p_type || '工程' END,
+               CASE WHEN p_partkey % 4 <> 0 THEN p_type || 'b' || CASE WHEN p_partkey % 4 = 1 THEN '类' ELSE '' END END) AS majors FROM part"""
+)
+def majors_in_prose(spark, sf_dir):
+    """The four passes over a notice of each part: no limit in a line, a labelled line, a labelled block that ends at another label, a phrase for related majors."""
+    k = F.col("p_partkey")
+    when = lambda test, *parts: F.when(test, joined(*parts)).otherwise("")
+    body = joined(
+        "公告\n职位描述：熟悉", "p_type", "学知识\n", when(k % 5 == 0, "专业要求：不限\n"), "1. 专业要求：全日制", "p_type", "学专业、", "p_type", "学能力、不存在的甲乙、", when(k % 2 == 0, F.lower("p_type"), "科学等相关专业、"), "本科学历。其他学\n",
+        when(k % 3 == 0, "【需求专业】\n（1）x", "p_type", "工程专业\n岗位职责：\n", "p_type", "后学\n"),
+        when(k % 4 == 1, "；", "p_type", "b类专业\n"), when(k % 4 > 1, "；", "p_type", "b相关专业优先\n"), "学历：硕士\n",
+    )
+    words = prose.MajorWords(frozenset(f"{t}科学".lower() for t in TYPE_STEMS), TYPE_STEMS)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(prose.prose_majors(body, words), "|").alias("majors"))
+
+
+def order_versions(spark, sf_dir):
+    """Every order as a version of its customer's notice: what it says follows from its key, status, price and priority."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    later = lambda n: F.date_format(F.date_add(day, n), "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderdate",
+        F.concat(F.lit("招聘"), F.when(k % 7 == 0, "补录").otherwise(""), F.when(k % 5 == 0, "面试").otherwise("")).alias("title"),
+        F.concat(F.lit("岗位说明："), "o_orderpriority", F.when(k % 3 == 0, "\n待遇：从优办理").otherwise("")).alias("body"),
+        F.when(k % 4 == 0, "").when(k % 4 == 1, later(400)).otherwise(later(60)).alias("deadline"),
+        (k % 3).cast("int").alias("position_count"),
+        F.array("o_orderstatus").alias("majors"),
+        F.when(k % 6 == 0, F.array("o_orderpriority", F.lit("总部"))).when(k % 6 == 1, F.array(F.lit("总部"))).otherwise(F.array("o_orderpriority")).alias("cities"),
+        F.when(k % 8 == 0, "").otherwise(F.concat(F.lit("https://a.cn/"), (k % 2).cast("string"), F.lit("/campus/detail?jobAdId="), k.cast("string"))).alias("application_url"),
+        F.array(F.lit("报名表"), F.concat(F.lit("附件"), (k % 9).cast("string"))).alias("attachments"),
+        F.when(k % 2 == 0, "本科").otherwise("硕士").alias("education"),
+        F.when(k % 10 == 0, "仅核实标题").alias("note"),
+        F.lit("招聘").alias("kind"),
+        F.date_format(F.date_add(day, (k % 5 - 2).cast("int")), "yyyy-MM-dd").alias("published_at"),
+    )
+
+
+def _order_changes() -> str:
+    """The nine detectors and the lock over two versions, each a column of its own; the lock is a recursion over a customer's versions."""
+    later = lambda n: f"strftime(CAST(o_orderdate AS DATE) + INTERVAL {n} DAY, '%Y-%m-%d')"
+    names = "title body deadline pc major cities url att edu stub".split()
+    lags = ", ".join(f"lag({c}) OVER w AS o_{c}" for c in names)
+    return rf"""
+WITH RECURSIVE v AS (SELECT o_custkey, o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS d, '招聘' || CASE WHEN o_orderkey % 7 = 0 THEN '补录' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN '面试' ELSE '' END AS title,
+       CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || '+' ELSE o_orderpriority END AS body, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN {later(400)} ELSE {later(60)} END AS deadline, o_orderkey % 3 AS pc, o_orderstatus AS major,
+       list_sort(CASE o_orderkey % 6 WHEN 0 THEN [o_orderpriority, '总部'] WHEN 1 THEN ['总部'] ELSE [o_orderpriority] END) AS cities, CASE WHEN o_orderkey % 8 = 0 THEN -1 ELSE o_orderkey % 2 END AS url, o_orderkey % 9 AS att,
+       CASE WHEN o_orderkey % 2 = 0 THEN '本科' ELSE '硕士' END AS edu, o_orderkey % 10 = 0 AS stub, {later('(o_orderkey % 5 - 2)')} AS pub FROM orders),
+p AS (SELECT *, row_number() OVER w AS rev, strftime(first_value(o_orderdate) OVER w, '%Y-%m-%d') AS seen, {lags} FROM v WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+k AS (SELECT o_custkey, rev, seen, pub AS published FROM p WHERE rev = 1 UNION ALL
+      SELECT p.o_custkey, p.rev, p.seen, CASE WHEN k.published > p.seen THEN p.seen WHEN p.pub > k.published THEN k.published ELSE p.pub END FROM k JOIN p ON p.o_custkey = k.o_custkey AND p.rev = k.rev + 1),
+x AS (SELECT *, list_sort(list_filter(cities, lambda c: NOT list_contains(o_cities, c))) AS more, list_sort(list_filter(o_cities, lambda c: NOT list_contains(cities, c))) AS less, array_to_string(cities, '、') AS every,
+             o_deadline <> '' AND deadline > o_deadline AND date_diff('day', d, TRY_CAST(deadline AS DATE)) >= 330 AND date_diff('day', d, TRY_CAST(nullif(o_deadline, '') AS DATE)) >= 300 AND date_diff('day', TRY_CAST(nullif(o_deadline, '') AS DATE), TRY_CAST(nullif(deadline, '') AS DATE)) <= 14 AS rolls
+      FROM p WHERE rev > 1),
+c AS (SELECT *, list_filter([
+  CASE WHEN o_deadline <> '' AND deadline > o_deadline AND NOT coalesce(rolls, false) THEN 'deadline_extended|截止延期|报名截止时间延长至 ' || deadline || '（原截止时间：' || o_deadline || '）'
+       WHEN o_deadline = '' AND deadline <> '' THEN 'deadline_extended|明确截止时间|明确报名截止时间为 ' || deadline
+       WHEN deadline <> '' AND deadline < o_deadline THEN 'deadline_extended|截止调整|报名截止时间调整为 ' || deadline || '（原截止时间：' || o_deadline || '）' END,
+  CASE WHEN contains(title, '补录') AND NOT contains(o_title, '补录') THEN 'supplemental|补录招募|招聘变更为补录 / 追加招聘批次' END,
+  CASE WHEN contains(title, '面试') AND NOT contains(o_title, '面试') THEN 'selection_stage|考核进展|发布笔试/面试或录用公示通知' END,
+  CASE WHEN pc = o_pc AND major = o_major THEN NULL
+       WHEN o_stub AND o_pc = 0 AND pc > 0 THEN 'positions_updated|岗位表就绪|首次提取 ' || pc || ' 个职位' || CASE WHEN major <> o_major THEN '，新增专业：' || major ELSE '' END
+       WHEN pc < o_pc AND major = o_major THEN 'positions_updated|岗位缩减|岗位数量缩减为 ' || pc || ' 个职位（原 ' || o_pc || ' 个）'
+       ELSE 'positions_updated|岗位表更新|岗位需求变动为 ' || pc || ' 个职位' || CASE WHEN major <> o_major THEN '，新增专业：' || major ELSE '' END END,
+  CASE WHEN len(more) = 0 AND len(less) = 0 THEN NULL WHEN o_stub AND len(more) > 0 THEN 'content_updated|地点补全|首次补全工作地点「' || every || '」'
+       WHEN len(less) = 0 THEN 'content_updated|地点调整|工作地点新增「' || array_to_string(more, '、') || '」'
+       WHEN len(more) > 0 THEN 'content_updated|地点调整|工作地点调整为「' || every || '」（新增' || array_to_string(more, '、') || '）' ELSE 'content_updated|地点调整|工作地点调整为「' || every || '」' END,
+  CASE WHEN url = o_url THEN NULL WHEN url = -1 THEN 'content_updated|入口更新|网申投递方式调整' WHEN o_url = -1 THEN 'content_updated|入口更新|新增网申投递入口' ELSE 'content_updated|入口更新|网申投递入口已更新为最新链接' END,
+  CASE WHEN att <> o_att THEN 'content_updated|附件变动|新增/更新附件「附件' || att || '」' END,
+  CASE WHEN edu <> o_edu THEN 'content_updated|资格调整|学历要求调整为「' || edu || '」（原要求：' || o_edu || '）' END], lambda s: s IS NOT NULL) AS found FROM x),
+e AS (SELECT *, CASE WHEN len(found) > 0 THEN found WHEN coalesce(rolls, false) OR (url = -1 AND o_url = -1 AND body = o_body AND title = o_title) THEN [] WHEN rtrim(body, '+') <> rtrim(o_body, '+') AND ends_with(body, '+') AND NOT ends_with(o_body, '+') THEN ['content_updated|内容更新|公告正文补充薪酬福利与待遇说明']
+             WHEN rtrim(body, '+') <> rtrim(o_body, '+') THEN ['content_updated|内容更新|正文变动：补充「岗位说明：' || rtrim(body, '+') || '」'] WHEN ends_with(body, '+') AND NOT ends_with(o_body, '+') THEN ['content_updated|内容更新|公告正文补充薪酬福利与待遇说明']
+             ELSE ['content_updated|内容更新|招聘公告正文说明已同步最新修订'] END AS said FROM c),
+f AS (SELECT o_custkey, o_orderkey, rev, split_part(said[1], '|', 1) AS change, split_part(said[1], '|', 2) AS label, array_to_string(list_transform(said[1:2], lambda s: split_part(s, '|', 3)), '；') AS detail FROM e WHERE len(said) > 0
+      UNION ALL SELECT o_custkey, o_orderkey, rev, CASE WHEN contains(title, '补录') THEN 'supplemental' ELSE 'selection_stage' END, CASE WHEN contains(title, '补录') THEN '补录招募' ELSE '考核进展' END,
+             CASE WHEN contains(title, '补录') THEN '启动补录 / 追加招聘批次' ELSE '发布考核选拔或录用进展通知' END FROM p WHERE rev = 1 AND (contains(title, '补录') OR contains(title, '面试')))
+SELECT o_orderkey, CAST(rev AS INT) AS revision, change, label, detail, published FROM f JOIN k USING (o_custkey, rev)"""
+
+
+@query(_order_changes())
+def notice_changes(spark, sf_dir):
+    """Nine detectors between versions of each customer's notice, and the locked publication of each."""
+    found = changes.change_log(order_versions(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderkey")
+    return found.select("o_orderkey", "revision", F.col("change.type").alias("change"), F.col("change.title").alias("label"), F.col("change.detail").alias("detail"), "published")

@@ -1,45 +1,54 @@
-"""T1-T4, T9, T11 on streams: keyed state through transactional micro-batches or per-key state."""
+"""T1, T4, T9, T11, T14 on streams: per-key state in the state store."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from ..operators.state import upsert
+class Fingerprints(StatefulProcessor):
+    """Value state of a key: fingerprint, when it was first seen and last changed, its revision, and the order of its last row."""
 
-STATE_SCHEMA = "{key} {kind}, {fingerprint} string, first_seen_at timestamp, updated_at timestamp, revision int, outcome string"
+    STATE = "fingerprint string, first_seen long, updated long, revision int, at long, tie {tie}"
 
+    def __init__(self, tie: str):
+        self.schema = StructType.fromDDL(self.STATE.format(tie=tie))
 
-class TableState:
-    """Versions of a state table in a folder: each micro-batch writes the next version, then moves on.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = max(rows, key=lambda r: (r["_at"], r["_tie"]))
+        at = (newest["_at"], newest["_tie"])
+        held = tuple(self.held.get()) if self.held.exists() else None
+        if held is not None and at <= held[4:]:
+            return
+        fingerprint, first_seen, updated, revision = held[:4] if held else (None, newest["_at"], None, 0)
+        changed = held is None or newest["_fp"] != fingerprint
+        updated, revision = (newest["_at"], revision + 1) if changed else (updated, revision)
+        self.held.update((newest["_fp"], first_seen, updated, revision, *at))
+        yield Row(_k=key[0], _fp=newest["_fp"], first_seen=first_seen, updated=updated, revision=revision, outcome="new" if held is None else "changed" if changed else "unchanged")
+
+    def close(self) -> None:
+        pass
 
-    A batch that is run again after a failure writes the same version again, so the result is the
-    same whether a batch ran once or twice. ``version`` of batch n is n; the newest complete version
-    (one with a success mark) is the state. Versions before the last two are removed.
-    """
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, fingerprint: str, at: str, tie: str, kind: str = "long"):
-        self.spark, self.folder, self.key, self.fingerprint, self.at, self.tie = spark, folder, key, fingerprint, at, tie
-        self.schema = STATE_SCHEMA.format(key=key, kind=kind, fingerprint=fingerprint)
-
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{version}")
-
-    def apply(self, batch: DataFrame, number: int) -> None:
-        """For ``foreachBatch``."""
-        merged = upsert(self.read(number - 1).drop("outcome"), batch, self.key, self.fingerprint, self.at, self.tie)
-        merged.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
-        # A batch that is run again reads the version before its own; nothing reads older ones.
-        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{number - 2}")
-        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    def start(self, stream: DataFrame, checkpoint: str):
-        return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_stream(stream: DataFrame, key: str, fingerprint: str, at: str, tie: str) -> DataFrame:
+    """``operators.state.upsert`` on a stream: a row per key of each micro-batch, from per-key state.
+
+    A batch reads and writes the state of its own keys only. Rows that are not after a key's last one, and rows
+    without a fingerprint, give nothing.
+    """
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, tie)}
+    rows = stream.select(F.col(key).alias("_k"), F.col(fingerprint).cast("string").alias("_fp"), F.unix_micros(F.col(at).cast("timestamp")).alias("_at"), F.col(tie).alias("_tie")).where("_fp IS NOT NULL")
+    out = f"_k {kinds[key]}, _fp string, first_seen long, updated long, revision int, outcome string"
+    found = rows.groupBy("_k").transformWithState(Fingerprints(kinds[tie]), StructType.fromDDL(out), "Update", "None")
+    time = lambda c: F.timestamp_micros(c)
+    return found.select(F.col("_k").alias(key), F.col("_fp").alias(fingerprint), time("first_seen").alias("first_seen_at"), time("updated").alias("updated_at"), "revision", "outcome")
 
 
 def listing_stream(checks: DataFrame, key: str, hours: int = 6) -> DataFrame:

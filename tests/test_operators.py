@@ -107,3 +107,24 @@ def test_workspace_filters(spark):
     assert run(Filters(cities=("青岛",), education="本科", position_level=True)) == ["2"]
     assert run(Filters(min_salary=8500)) == ["4"]
     assert run(Filters(query="JAVA 后端"), view="hidden") == ["5"]
+
+
+def test_change_details(spark):
+    """Details that the table query has no rows for: a rolling deadline, files, majors, identifiers in addresses, an unchanged version."""
+    from noticeframe.operators import changes
+
+    blank = dict.fromkeys(changes.VERSION)
+    base = blank | {"title": "招聘", "body": "一二三四五", "deadline": "2027-01-01", "application_url": "https://a/campus/detail?jobAdId=ab12"}
+    steps = [
+        (base | {"deadline": "2027-01-10"}, None),
+        (base | {"deadline": "2027-03-10"}, ("deadline_extended", "截止延期", "报名截止时间延长至 2027-03-10（原截止时间：2027-01-01）")),
+        (base, None),
+        (base | {"application_url": "https://a/campus/detail?jobAdId=ff-9"}, ("content_updated", "内容更新", "招聘公告正文说明已同步最新修订")),
+        (base | {"majors": ["法学", "统计"], "attachments": ["好" * 25, "岗位表"]}, ("positions_updated", "岗位表更新", f"岗位需求变动为 0 个职位，新增专业：法学、统计；新增/更新附件「{'好' * 19}…」 等 2 个文件")),
+        (base | {"body": f"一二三四五\n<b>{'新' * 30}</b>"}, ("content_updated", "内容更新", f"正文变动：补充「{'新' * 23}…」")),
+    ]
+    schema = "struct<" + ",".join(f"{c}:{t}" for c, t in changes.VERSION.items()) + ">"
+    rows = [(i, tuple(base.values()), tuple(new.values())) for i, (new, _) in enumerate(steps)]
+    df = spark.createDataFrame(rows, f"i int, old {schema}, new {schema}").selectExpr("*", "timestamp'2026-01-20 00:00:00' AS ts")
+    got = {r.i: tuple(r.change) for r in changes.with_change(df, "ts").collect()}
+    assert got == {i: want for i, (_, want) in enumerate(steps) if want}
