@@ -1,15 +1,17 @@
 """Operator 12: byte-level BPE over distinct words, and decoding by the token-byte table.
 
 Texts are cut into pre-tokens by the vocabulary's pattern. Within a chunk of about ``CHUNK`` bytes of text a
-pre-token is named by its number in the chunk's list of distinct ones, so what is shuffled is one row per chunk
-and distinct word, not one per occurrence; positions stay with their document, as numbers. Globally each distinct word is
-encoded once, its ids join back to the chunks that hold it, and every chunk is put together again by position.
-A word that all texts hold has one row per chunk: no key is hotter than one row in a chunk's list.
+pre-token is named by its number in the chunk's list of distinct ones, so what is shuffled for encoding is one entry per chunk
+and distinct word, not one per occurrence, and positions travel as numbers. Two scans cut the same chunks: the first sends
+each chunk's distinct words to the bucket that their hash names, where a word of any number of chunks is encoded once and its ids go
+back to the chunks that hold it; the second sends each chunk's documents, as numbers, to the same place, where
+they are put together again by position. A word that all texts hold has one entry per chunk: no key is hot.
 
 Decoding looks ids up in the token-byte table, whose size is the vocabulary's, batch by batch as an Arrow take.
 
-Null and empty texts have no tokens. Repeated rows and null keys are encoded each. An empty table gives no
-rows. Very long texts form a chunk of their own. Special tokens' names are ordinary text. Other columns are not read. Ids that the
+The input must give the same rows in the same order twice, as files do; each chunk's list of words is checked by its checksum, and a
+difference stops the job. Null and empty texts have no tokens. Repeated rows and null keys are encoded each. An empty table gives no
+rows. Very long texts end their chunk. Special tokens' names are ordinary text. Other columns are not read. Ids that the
 vocabulary lacks, and null ids, decode to a null; a null list decodes to a null.
 """
 
@@ -22,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import whole_text
+from .packing import PRE_TOKEN
 
-#: Bytes of text after which a chunk ends; a longer text ends its chunk.
-CHUNK = 4 << 20
+#: Characters of text after which a chunk ends; a longer text ends its chunk.
+CHUNK = 16 << 20
+#: Words of a bucket that a task remembers; beyond it the table starts anew, and words met again are encoded again.
+KNOWN = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +47,23 @@ def side_by_side(cells: pa.LargeBinaryArray) -> memoryview:
     return memoryview(cells.buffers()[2] or b"")[ends[cells.offset] : ends[cells.offset + len(cells)]]
 
 
+def packed(numbers) -> bytes:
+    """Unsigned 32-bit numbers, compressed with their four bytes apart: high bytes are mostly zero, and so nearly free."""
+    import zlib
+
+    import numpy as np
+
+    return zlib.compress(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(cell: bytes):
+    import zlib
+
+    import numpy as np
+
+    return np.frombuffer(zlib.decompress(cell), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 class Numbers(dict):
     """The number of each word, by first appearance."""
 
@@ -50,92 +72,192 @@ class Numbers(dict):
         return n
 
 
-def pre_tokens(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per text ``(chunk, key, refs)``, its pre-tokens as numbers, and per chunk ``(chunk, words)``, what the numbers mean."""
+class Stretches(dict):
+    """The pre-tokens' numbers of what stands between two blanks; none where white space touches a blank.
 
-    def run(batches: Iterator) -> Iterator:
-        import zlib
+    The usual pattern puts a blank at the head of the following token, so a text falls apart at
+    every blank with ink on both sides, and a stretch is cut once in a chunk.
+    """
+
+    def __init__(self, split, numbers: Numbers):
+        self.split, self.numbers = split, numbers
+
+    def __missing__(self, ink: str) -> tuple[int, ...] | None:
+        plain = ink and not ink[0].isspace() and not ink[-1].isspace()
+        found = self[ink] = tuple(map(self.numbers.__getitem__, self.split(" " + ink))) if plain else None
+        return found
+
+
+class Chunk:
+    """One chunk in the making: its words by number."""
+
+    def __init__(self, split, by_stretch: bool):
+        self.split, self.numbers, self.size = split, Numbers(), 0
+        self.stretches = Stretches(split, self.numbers) if by_stretch else None
+
+    def add(self, text: str):
+        """The numbers of a text's pre-tokens."""
+        from itertools import chain
 
         import numpy as np
-        import regex
-        from pyspark import TaskContext
 
-        split = regex.compile(pattern).findall
-        at, known, held = TaskContext.get().partitionId() << 33, Numbers(), 0
-        words = pa.list_(pa.string())
+        self.size += len(text) + 16
+        if self.stretches is not None:
+            head, *rest = text.split(" ")
+            if not (rest and (not head or head[-1].isspace())):
+                # Cut before the rest, as numbers follow the order of the text either way.
+                first = list(map(self.numbers.__getitem__, self.split(head)))
+                got = list(map(self.stretches.__getitem__, rest))
+                if None not in got:
+                    return np.fromiter(chain(first, chain.from_iterable(got)), np.uint32)
+        return np.fromiter(map(self.numbers.__getitem__, self.split(text)), np.uint32)
+
+    def checksum(self) -> int:
+        import zlib
 
-        def row(chunk_id, keys, refs, lists, kind):
-            n = len(refs)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([chunk_id] * n, pa.int64()), pa.array(keys, kind), pa.array(refs, pa.binary()), pa.array(lists, words)], names=["chunk", key, "refs", "words"]
-            )
+        return zlib.crc32("\0".join(self.numbers).encode("utf-8", "surrogatepass"))
 
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            keys, refs = [], []
-            for k, t in zip(batch.column(0), batch.column(1)):
-                t = t.as_py()
-                numbers = np.fromiter(map(known.__getitem__, split(t)), np.uint32)
-                # The four bytes of all numbers apart: high bytes are mostly zero, and so nearly free.
-                refs.append(zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
-                keys.append(k.as_py())
-                held += len(t) + 16
-                if held >= chunk:
-                    yield row(at, keys, refs, [None] * len(keys), kind)
-                    yield row(at, [None], [None], [list(known)], kind)
-                    at, known, held, keys, refs = at + 1, Numbers(), 0, [], []
-            if keys:
-                yield row(at, keys, refs, [None] * len(keys), kind)
-        if known:
-            yield row(at, [None], [None], [list(known)], kind)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), whole_text(text).alias(text)).mapInArrow(run, f"chunk long, `{key}` {kind}, refs binary, words array<string>")
+def chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int) -> Iterator:
+    """``(chunk id, keys, numbers, None)`` of texts in a row, and ``(chunk id, [], [], chunk)`` at the end of each chunk."""
+    import regex
+    from pyspark import TaskContext
 
+    split, at = regex.compile(pattern).findall, TaskContext.get().partitionId() << 33
+    now = Chunk(split, pattern == PRE_TOKEN)
+    for batch in batches:
+        keys, numbers = [], []
+        for k, t in zip(batch.column(0), batch.column(1)):
+            numbers.append(now.add(t.as_py()))
+            keys.append(k.as_py())
+            if now.size >= chunk:
+                yield at, keys, numbers, None
+                yield at, [], [], now
+                at, now, keys, numbers = at + 1, Chunk(split, pattern == PRE_TOKEN), [], []
+        if keys:
+            yield at, keys, numbers, None
+    yield at, [], [], now
 
-def word_encoder(vocabulary: str, pattern: str):
-    """A column function from words to their ids, as little-endian 32-bit bytes."""
 
-    @F.arrow_udf("binary")
-    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def word_lists(texts: DataFrame, pattern: str, buckets: int, chunk: int = CHUNK) -> DataFrame:
+    """``(bucket, chunk, words, numbers, check)``: what each chunk has for each bucket. ``texts`` has a key and a text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import zlib
+        from collections import defaultdict
+
+        for at, _, _, ended in chunks(batches, pattern, chunk):
+            if ended is None or not ended.numbers:
+                continue
+            dealt: dict[int, list[str]] = defaultdict(list)
+            for word in ended.numbers:
+                dealt[zlib.crc32(word.encode()) % buckets].append(word)
+            check = ended.checksum()
+            for bucket, words in dealt.items():
+                # Lengths beside the words: a word may hold any character.
+                row = [[bucket], [at], [zlib.compress("".join(words).encode(), 1)], [packed(list(map(len, words)))], [packed([ended.numbers[w] for w in words])], [check]]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=["bucket", "of", "words", "lengths", "numbers", "check"])
+
+    return texts.mapInArrow(run, "bucket int, of long, words binary, lengths binary, numbers binary, check long")
+
+
+def encoded_lists(lists: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``(of, numbers, counts, ids, check)``: the ids of each list's words. Lists of a bucket stand in one partition."""
+
+    def run(batches: Iterator) -> Iterator:
+        import zlib
+
         import numpy as np
         import tiktoken
 
         encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=read_ranks(vocabulary), special_tokens={}).encode_ordinary
-        for words in batches:
-            yield pa.array([np.array(encode(w), "<u4").tobytes() for w in words.to_pylist()], pa.binary())
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            for of, words, lengths, numbers, check in zip(*(c.to_pylist() for c in batch.columns)):
+                joined, ends = zlib.decompress(words).decode(), np.cumsum(unpacked(lengths)).tolist()
+                found = []
+                for start, end in zip([0, *ends], ends):
+                    word = joined[start:end]
+                    ids = known.get(word)
+                    if ids is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        ids = known[word] = encode(word)
+                    found.append(ids)
+                counts = packed(list(map(len, found)))
+                row = [[of], [numbers], [counts], [packed([i for ids in found for i in ids])], [check]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["of", "numbers", "counts", "ids", "check"])
+
+    return lists.select("of", "words", "lengths", "numbers", "check").mapInArrow(run, "of long, numbers binary, counts binary, ids binary, check long")
+
+
+def texts_by_number(texts: DataFrame, pattern: str, key: str, chunk: int = CHUNK) -> DataFrame:
+    """``(chunk, keys, sizes, numbers, check)``: documents in a row with their pre-tokens' numbers; the last row of a chunk has its checksum."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        held = None
+
+        def seen(given: Iterator) -> Iterator:
+            nonlocal held
+            for batch in given:
+                held = batch.schema.field(0).type
+                yield batch
+
+        for at, keys, numbers, ended in chunks(seen(batches), pattern, chunk):
+            if ended is not None and not ended.size:
+                continue
+            whole = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+            row = [pa.array([at], pa.int64()), pa.array([keys], pa.list_(held)), pa.array([packed([len(n) for n in numbers])]), pa.array([packed(whole)]), pa.array([ended.checksum() if ended else None], pa.int64())]
+            yield pa.RecordBatch.from_arrays(row, names=["chunk", "keys", "sizes", "numbers", "check"])
+
+    return texts.mapInArrow(run, f"chunk long, keys array<{kind}>, sizes binary, numbers binary, check long")
+
 
-    return ids_of
+def gathered(starts, counts, at):
+    """Where the values of the cells ``at`` stand, cell after cell, when a cell's values begin at ``starts`` and are ``counts`` many."""
+    import numpy as np
+
+    many = counts[at]
+    return np.repeat(starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``(key, ids)`` of every text. ``vocabulary`` is a rank file, which each machine can read; ``pattern`` cuts pre-tokens."""
-    cut = durable(pre_tokens(docs, pattern, key, text, chunk))
-    places = cut.where("words IS NOT NULL").select(F.col("chunk").alias("of"), F.posexplode("words").alias("at", "word"))
-    known = places.select("word").distinct().withColumn("word_ids", word_encoder(vocabulary, pattern)("word"))
-    found = places.join(known, "word").select("of", "at", "word_ids")
-
-    def put_together(texts, entries):
-        import zlib
+    texts = docs.select(F.col(key), whole_text(text).alias(text))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = word_lists(texts, pattern, buckets, chunk).repartition(buckets, "bucket")
+    found, rows = encoded_lists(lists, vocabulary, pattern), texts_by_number(texts, pattern, key, chunk)
 
+    def put_together(documents: pa.Table, entries: pa.Table) -> pa.Table:
         import numpy as np
-        import pyarrow.compute as pc
-
-        order = pc.sort_indices(entries.column("at").combine_chunks())
-        by_number = entries.column("word_ids").combine_chunks().cast(pa.large_binary()).take(order)
-        lengths = pc.binary_length(by_number).to_numpy(zero_copy_only=False) // 4
-        whole, ends = [np.zeros(0, np.uint32)], [0]
-        for refs in texts.column("refs").to_pylist():
-            numbers = np.frombuffer(zlib.decompress(refs), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-            whole.append(numbers)
-            ends.append(ends[-1] + int(lengths[numbers].sum()))
-        ids = np.frombuffer(side_by_side(by_number.take(pa.array(np.concatenate(whole)))), "<i4")
-        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids, pa.int32())).cast(pa.list_(pa.int32()))
-        return pa.table([texts.column(key), lists], names=[key, "ids"])
-
-    texts = cut.where("words IS NULL").select("chunk", F.col(key), "refs")
+
+        numbers = [unpacked(n) for n in entries.column("numbers").to_pylist()]
+        parts = [unpacked(c) for c in entries.column("counts").to_pylist()]
+        own = [c for c in documents.column("check").to_pylist() if c is not None]
+        if any(c != own[0] for c in entries.column("check").to_pylist()):
+            raise ValueError("the documents came in another order in the second scan; write them to a table first")
+        counts = np.zeros(sum(map(len, numbers)), np.int64)
+        for at, n in zip(numbers, parts):
+            counts[at] = n
+        starts = np.cumsum(counts) - counts
+        ids = np.zeros(counts.sum(), np.int64)
+        for at, cell in zip(numbers, entries.column("ids").to_pylist()):
+            ids[gathered(starts, counts, at)] = unpacked(cell)
+        out = []
+        for keys, sizes, cell in zip(documents.column("keys").combine_chunks(), documents.column("sizes").to_pylist(), documents.column("numbers").to_pylist()):
+            places = unpacked(cell)
+            flat = ids[gathered(starts, counts, places)].astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(counts[places])])[np.concatenate([[0], np.cumsum(unpacked(sizes))])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            out.append(pa.table([keys.values, lists], names=[key, "ids"]))
+        return pa.concat_tables(out)
+
     kind = docs.schema[key].dataType.simpleString()
-    return texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(put_together, f"`{key}` {kind}, ids array<int>")
+    return rows.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(put_together, f"`{key}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

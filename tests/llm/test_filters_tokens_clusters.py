@@ -133,13 +133,37 @@ def test_every_character_is_cut_as_by_the_encoder():
         assert [i for w in split(s) for i in whole(w)] == whole(s)
 
 
-def test_each_word_is_encoded_once_and_text_stays(spark):
-    """What goes between machines: distinct words of chunks, and no text."""
+def test_what_goes_between_machines(spark):
+    """Distinct words of chunks and numbers, no text; every list of a word goes to the same bucket."""
     docs = spark.range(300).selectExpr("id AS doc_id", "repeat('the same words again ', 40) AS text").repartition(2)
-    cut = bpe.pre_tokens(docs, r" ?\S+|\s+")
-    words = [r.words for r in cut.where("words IS NOT NULL").collect()]
-    assert len(words) == 2 and all(len(w) <= 7 for w in words)
-    assert max(len(r.refs) for r in cut.where("words IS NULL").collect()) < 100
+    lists = bpe.word_lists(docs, r" ?\S+|\s+", 4).collect()
+    assert sum(len(bpe.unpacked(r.numbers)) for r in lists) <= 2 * 7 and len({r.of for r in lists}) == 2
+    rows = bpe.texts_by_number(docs, r" ?\S+|\s+", "doc_id").collect()
+    assert sum(len(r["keys"]) for r in rows) == 300 and sum(len(r.numbers) for r in rows) < 300 * 160 / 5
+    assert sum(r.check is not None for r in rows) == 2
+
+
+def test_another_order_in_the_second_scan_stops_the_job(spark, tmp_path):
+    import public_tokenizers
+
+    @F.udf("string")
+    def other(i):
+        import random
+
+        return f"{i} {random.random()}"
+
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), other.asNondeterministic()("id").alias("text"))
+    with pytest.raises(Exception, match="another order"):
+        bpe.encode(docs, tokenizer_file(VOCABULARY), public_tokenizers.PATTERN).collect()
+
+
+def test_a_full_table_of_words_starts_anew(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "KNOWN", 3)
+    docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(20)], "doc_id long, text string")
+    whole = ordinary()
+    assert {r.doc_id: list(r.ids) for r in bpe.encode(docs, tokenizer_file(VOCABULARY), public_tokenizers.PATTERN, chunk=300).collect()} == {i: whole(prose(i, 50)) for i in range(20)}
 
 
 def test_decoding_what_is_not_there(spark):
