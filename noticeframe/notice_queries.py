@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .functions import display, facts, text, titles
-from .operators import changes, examtables, extract, prose
+from .operators import bodies, changes, examtables, extract, prose
 
 #: White space that notices hold between words, by row: blank, full-width blank, no-break blank, several, line end.
 GAPS = (" ", "　", " ", " 　 ", "\r\n")
@@ -193,3 +193,59 @@ def notice_changes(spark, sf_dir):
     """Nine detectors between versions of each customer's notice, and the locked publication of each."""
     found = changes.change_log(order_versions(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderkey")
     return found.select("o_orderkey", "revision", F.col("change.type").alias("change"), F.col("change.title").alias("label"), F.col("change.detail").alias("detail"), "published")
+
+
+_TEXT = "trim(array_to_string(string_split_regex(coalesce(text, ''), '\r?\n'), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(65279))"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, unnest([{{'sec': 0, 'heading': NULL, 'label': NULL, 'content': '来源' || source}}, {{'sec': 1, 'heading': '一、' || source || '简介', 'label': '一、' || source || '简介', 'content': {_TEXT}}},
+                   {{'sec': 2, 'heading': '（二）报名', 'label': '二、报名', 'content': ''}}, {{'sec': 3, 'heading': '【' || lang || '说明】', 'label': '【' || lang || '说明】', 'content': lang || chr(10) || n_chars}}], recursive := true) FROM documents)
+        SELECT doc_id, CAST(sec AS INT) AS section, heading, substring(label, 1, 10) AS label, sha256(content) AS content_sha256 FROM s"""
+)
+def document_sections(spark, sf_dir):
+    """Sections of an announcement around every whole document."""
+    body = F.concat(
+        F.lit("来源"), "source", F.lit("\r\n　一、"), "source", F.lit("简介 \n"), F.coalesce("text", F.lit("")), F.lit("\n（二）报名\n\n 【"), "lang", F.lit("说明】\n"), "lang", F.lit("\n"), F.col("n_chars").cast("string")
+    )
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(bodies.announcement_sections(body)).alias("section", "s"))
+    return found.select("doc_id", "section", "s.heading", "s.label", F.sha2("s.content", 256).alias("content_sha256"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '硕士' WHEN p_partkey % 3 = 1 THEN '本科及以上' END AS education, CASE WHEN p_partkey % 2 = 0 THEN '2026-05-01' END AS deadline,
+              CASE WHEN p_partkey % 4 = 0 THEN p_brand || '园区' END AS place,
+              concat_ws('|', CASE WHEN p_partkey % 5 = 0 THEN '招聘单位=' || p_type END, CASE WHEN p_partkey % 7 = 0 THEN '工作性质=全职' END, '岗位类别=' || p_type, '招聘人数=' || p_size || '人') AS meta,
+              '~' || 'paragraph:' || p_name || '介绍' || '#岗位职责~list+:' || p_name || '一；;' || p_type || '二#任职要求~list+:熟悉' || p_brand || CASE WHEN p_partkey % 3 = 1 THEN ';学历：本科及以上' ELSE '' END || '~list-:' || p_type || '#福利待遇~roles:' || p_name || ';' || p_brand || '~paragraph:完' AS sections,
+              p_partkey % 6 = 0 AS disclaimed FROM part"""
+)
+def structured_bodies(spark, sf_dir):
+    """Facts, other fields, sections and blocks of a notice of each part."""
+    k = F.col("p_partkey")
+    when = lambda test, *parts: F.when(test, joined(*parts)).otherwise("")
+    size = F.col("p_size").cast("string")
+    body = joined(
+        when(k % 2 == 0, "招聘信息\n标题\n", "p_name", "\n招聘截止日期\n2026-05-01\n\n应聘网址\nhttps://a.cn\n"),
+        "公司名称：", F.when(k % 5 == 0, F.col("p_type")).otherwise(F.concat("p_brand", F.lit("公司"))), "\n职位名称：", "p_name", "（编号：AB12345）\n",
+        when(k % 4 == 0, "工作地点：：", "p_brand", "园区；\n"), when(k % 4 == 1, "工作城市：山东省济南市\n"), when(k % 7 == 0, "工作性质：全职\n"), when(k % 7 == 1, "招聘类型：2026届校园招聘\n"),
+        when(k % 3 == 0, "学历要求：硕士\n"), "职位类别：", "p_type", "\n需求人数：", size, "\n薪资：面议\n", "p_name", "介绍\n岗位职责：1. ", "p_name", "一；2. ", "p_type", "二\n三、任职要求：\n".replace("三、", ""),
+        "（1）熟悉", "p_brand", "\n", when(k % 3 == 1, "2、学历：本科及以上\n"), "· ", "p_type", "\n【福利待遇】\n岗位：", "p_name", "\n岗位: ", "p_brand", "\n岗位：", "p_name", "\n完\n", when(k % 6 == 0, "\n此条为第三方公开招聘线索，请打开来源核对投递方式。\n"),
+    )
+    known = {"company": F.col("p_brand"), "title": F.concat("p_name", F.lit("岗")), "cities": F.array(F.lit("济南")), "education": F.lit("未明确"), "deadline": F.lit(""), "types": F.array(F.lit("校招")), "years": F.array(F.lit("2026"))}
+    found = table(spark, sf_dir, "part").select("p_partkey", bodies.structured_body(body, **known).alias("b"))
+    of_block = lambda b: F.concat(b["type"], F.when(b["ordered"], "+").when(~b["ordered"], "-").otherwise(""), F.lit(":"), F.array_join(b["items"], ";"))
+    sections = F.array_join(F.transform("b.sections", lambda s: F.concat(F.coalesce(s["label"], F.lit("")), F.lit("~"), F.array_join(F.transform(s["blocks"], of_block), "~"))), "#")
+    return found.select(
+        "p_partkey", "b.education", "b.deadline", "b.place", F.array_join(F.transform("b.meta", lambda m: F.concat_ws("=", m["label"], m["value"])), "|").alias("meta"), sections.alias("sections"), F.col("b.disclaimer").isNotNull().alias("disclaimed")
+    )
+
+
+@query(
+    """SELECT c_custkey, concat_ws('|', n_name, CASE WHEN n_name <> '济南' THEN '济南' END, c_mktsegment) AS chips, 2 AS prioritized FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def place_order(spark, sf_dir):
+    """Places of a customer's notices, the wanted one first, then near ones."""
+    c, n = (table(spark, sf_dir, t) for t in ("customer", "nation"))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    shown = bodies.place_chips(F.array("c_mktsegment", F.lit(" 济南　"), "n_name", "c_mktsegment", F.lit("")), F.array("n_name"), ["济南", "青岛"])
+    return rows.select("c_custkey", F.array_join(shown["chips"], "|").alias("chips"), shown["prioritized"].alias("prioritized"))
