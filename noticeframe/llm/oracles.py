@@ -17,6 +17,10 @@ _PLAIN = {
 }
 
 
+#: Rounds of EM in SQL, which has no end by convergence: verdicts stand long before.
+EM_ROUNDS = 40
+
+
 def _pii() -> str:
     found = " UNION ALL ".join(
         f"SELECT doc_id, t, {r} AS r, '{k}' AS k, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d"
@@ -55,11 +59,12 @@ def _quality() -> str:
     g0, b0 = quality.START
     rounds = [f"m0 AS (SELECT {', '.join(f'{g0}::DOUBLE AS g{k}, {b0}::DOUBLE AS b{k}' for k in range(len(votes)))}, {quality.START_GOOD}::DOUBLE AS good)"]
     odds = "ln(good / (1 - good))" + "".join(f" + CASE WHEN {v} > 0 THEN ln(g{k} / (1 - b{k})) WHEN {v} < 0 THEN ln((1 - g{k}) / b{k}) ELSE 0 END" for k, v in enumerate(votes))
-    for n in range(1, quality.ROUNDS + 1):
+    for n in range(1, EM_ROUNDS + 1):
         rounds.append(f"e{n} AS MATERIALIZED (SELECT p.*, 1 / (1 + exp(-({odds}))) AS post FROM p, m{n - 1})")
-        rate = lambda v, sign, w, c: f"coalesce(least({quality.MOST[c]}, greatest({quality.LEAST[c]}, sum(n * {w}) FILTER ({v} {sign} 0) / nullif(sum(n * {w}) FILTER ({v} <> 0), 0))), CASE WHEN sum(n * {w}) FILTER ({v} <> 0) > 0 THEN {quality.LEAST[c]} ELSE {quality.START[c]} END)"
+        held = f"{quality.PRIOR} * sum(n)"
+        rate = lambda v, sign, w, c: f"({held} * {quality.START[c]} + coalesce(sum(n * {w}) FILTER ({v} {sign} 0), 0)) / ({held} + coalesce(sum(n * {w}) FILTER ({v} <> 0), 0))"
         rates = ", ".join(f"{rate(v, '>', 'post', 0)} AS g{k}, {rate(v, '<', '(1 - post)', 1)} AS b{k}" for k, v in enumerate(votes))
-        rounds.append(f"m{n} AS MATERIALIZED (SELECT {rates}, least({quality.MOST_GOOD}, greatest({quality.LEAST_GOOD}, sum(n * post) / sum(n))) AS good FROM e{n})")
+        rounds.append(f"m{n} AS MATERIALIZED (SELECT {rates}, ({held} * {quality.START_GOOD} + sum(n * post)) / (sum(n) + {held}) AS good FROM e{n})")
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS ll FROM d),
@@ -75,7 +80,7 @@ p AS MATERIALIZED (SELECT {', '.join(votes)}, count(*) AS n FROM v GROUP BY ALL)
 {', '.join(rounds)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 1 / (1 + exp(-({odds}))) >= {quality.KEEP_FROM} AS kept
-FROM v, m{quality.ROUNDS}"""
+FROM v, m{EM_ROUNDS}"""
 
 
 def _chat() -> str:

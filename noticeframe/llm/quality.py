@@ -20,7 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, set_aside, whole_text, words_of
+from .common import SPACES, durable, set_aside, whole_text, words_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Votes as SQL over the features; the same text serves Spark and the DuckDB check.
@@ -32,10 +32,11 @@ RULES = {
     "repeats": "CASE WHEN 4 * n_repeat_words > n_words THEN -1 WHEN 20 * n_repeat_words <= n_words THEN 1 ELSE 0 END",
     "case": "CASE WHEN 10 * n_upper > 3 * word_chars THEN -1 WHEN 20 * n_upper <= 3 * word_chars THEN 1 ELSE 0 END",
 }
-ROUNDS = 15
-#: Starting accuracy of a rule on good and on bad documents it votes on, and their bounds.
-START, LEAST, MOST = (0.95, 0.4), (0.9, 0.1), (0.999, 0.99)
-START_GOOD, LEAST_GOOD, MOST_GOOD = 0.8, 0.05, 0.95
+#: Prior accuracy of a rule on good and on bad documents it votes on, and prior share of good ones. Each counts as much as ``PRIOR`` of
+#: the documents, so no accuracy is ever 0 or 1, and a corpus of any size is judged alike.
+START, START_GOOD, PRIOR = (0.95, 0.4), 0.8, 0.003
+#: EM ends when a round adds less than this to the log-posterior per document, or after so many rounds.
+TOLERANCE, MOST_ROUNDS = 1e-9, 300
 KEEP_FROM = 0.5
 #: Bits of a window's sort key that hold its place; the hash has the others.
 PLACE_BITS = "length(bin(size(_w)))"
@@ -83,26 +84,47 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
 Model = tuple[list[tuple[float, float]], float]
 
 
-def fit_rules(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> Model:
-    """Accuracy of each rule on good and on bad documents, and the share of good ones, by EM over pattern counts."""
+def fit_rules(patterns: Iterable[tuple[tuple[int, ...], int]], most_rounds: int = MOST_ROUNDS, trace: list[float] | None = None) -> Model:
+    """Accuracy of each rule on good and on bad documents, and the share of good ones, by EM over pattern counts.
+
+    The log-posterior of each round goes to ``trace``; it never falls.
+    """
     rows = sorted(patterns)
     accuracy, good = [START] * len(RULES), START_GOOD
     total = sum(n for _, n in rows)
-    for _ in range(rounds if rows else 0):
-        right, cast, share = [[0.0, 0.0] for _ in RULES], [[0.0, 0.0] for _ in RULES], 0.0
+    held, before = PRIOR * total, None
+    for _ in range(most_rounds if total else 0):
+        right, cast, share = [[held * x for x in START] for _ in RULES], [[held, held] for _ in RULES], held * START_GOOD
+        # Of the prior first, then of each pattern.
+        likely = held * (START_GOOD * math.log(good) + (1 - START_GOOD) * math.log(1 - good))
+        likely += held * sum(x * math.log(a) + (1 - x) * math.log(1 - a) for pair in accuracy for x, a in zip(START, pair))
+        prior, each = math.log(good / (1 - good)), weights((accuracy, good))[1]
         for votes, n in rows:
-            p = posterior(votes, (accuracy, good))
+            odds = prior + sum(w[v < 0] for v, w in zip(votes, each) if v)
+            of_bad = math.log(1 - good) + sum(math.log(b if v < 0 else 1 - b) for v, (_, b) in zip(votes, accuracy) if v)
+            likely += n * (of_bad + max(odds, 0) + math.log1p(math.exp(-abs(odds))))
+            p = 1 / (1 + math.exp(-odds))
             share += n * p
             for k, v in enumerate(votes):
                 if v:
                     for c, weight in enumerate((n * p, n * (1 - p))):
                         cast[k][c] += weight
                         right[k][c] += weight * (v == (1, -1)[c])
-        accuracy = [tuple(min(MOST[c], max(LEAST[c], r[c] / n[c] if n[c] else START[c])) for c in (0, 1)) for r, n in zip(right, cast)]
-        good = min(MOST_GOOD, max(LEAST_GOOD, share / total))
+        accuracy = [tuple(r[c] / n[c] for c in (0, 1)) for r, n in zip(right, cast)]
+        good = share / (total + held)
+        if trace is not None:
+            trace.append(likely)
+        if before is not None and likely - before < TOLERANCE * total:
+            break
+        before = likely
     return accuracy, good
 
 
+def fitted(model: Model) -> dict[str, tuple[float, float]]:
+    """The accuracies by rule, on good and on bad documents."""
+    return dict(zip(RULES, model[0]))
+
+
 def weights(model: Model) -> tuple[float, list[tuple[float, float]]]:
     """Log-odds for good: of the prior, and of each rule's good and bad vote."""
     accuracy, good = model
@@ -127,18 +149,15 @@ def with_posterior(features: DataFrame, model: Model) -> DataFrame:
     for rule, (plus, minus) in zip(RULES, each):
         odds = odds + F.when(F.col(f"vote_{rule}") > 0, F.lit(plus)).when(F.col(f"vote_{rule}") < 0, F.lit(minus)).otherwise(F.lit(0.0))
     p = 1 / (1 + F.exp(-odds))
-    # A verdict that depends on a row number stays where it is: a filter on it is not pushed down into
-    # the features, which would repeat their expressions many times over.
-    fixed = features.withColumn("__above", F.monotonically_increasing_id())
-    return fixed.withColumn("quality", p).withColumn("kept", ~F.col("base_failed") & (p >= KEEP_FROM) & (F.col("__above") >= 0)).drop("__above")
+    return features.withColumn("quality", p).withColumn("kept", ~F.col("base_failed") & (p >= KEEP_FROM))
 
 
 def good_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model keeps, every column as it came, whatever its name.
 
-    The counts of vote patterns come from all documents; then each is judged in a second scan.
+    One scan writes each document with its votes; the counts of vote patterns and then the verdicts read that table.
     """
     aside, names = set_aside(docs)
-    features = quality_features(aside, names[text])
+    features = durable(quality_features(aside, names[text]))
     model = fit_rules(pattern_counts(features))
     return with_posterior(features, model).where("kept").select(*names.values()).toDF(*docs.columns)

@@ -214,6 +214,25 @@ def test_model(spark, no_docs):
     assert row.quality == pytest.approx(quality.posterior(votes, model)) and not row.kept
 
 
+def test_model_is_fitted_by_data_not_by_bounds():
+    """EM climbs, ends by itself, gives the same at any size, and recovers the accuracies that votes were drawn with."""
+    import random
+
+    r, rules = random.Random(4), len(quality.RULES)
+    truth = [(0.97, 0.9), (0.95, 0.8), (0.9, 0.85), (0.99, 0.7), (0.93, 0.75), (0.96, 0.8)]
+    drawn = Counter()
+    for _ in range(40_000):
+        good = r.random() < 0.8
+        drawn[tuple(0 if r.random() < 0.1 else (1 if good else -1) * (1 if r.random() < truth[k][not good] else -1) for k in range(rules))] += 1
+    trace: list[float] = []
+    model = quality.fit_rules(drawn.items(), trace=trace)
+    assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:])) and 2 < len(trace) < quality.MOST_ROUNDS
+    assert all(abs(a - b) < 0.03 for got, want in zip(quality.fitted(model).values(), truth) for a, b in zip(got, want)) and abs(model[1] - 0.8) < 0.02
+    larger = quality.fit_rules([(p, 1000 * n) for p, n in drawn.items()])
+    assert all(a == pytest.approx(b) for x, y in zip(model[0], larger[0]) for a, b in zip(x, y))
+    assert all(0 < a < 1 for pair in quality.fit_rules([((1,) * rules, 10)])[0] for a in pair)
+
+
 # ---- licenses
 
 
