@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .functions import display, facts, text, titles
-from .operators import bodies, changes, examtables, extract, prose
+from .functions import organizers as text_organizers
+from .operators import bodies, changes, companies, examtables, extract, prose
 
 #: White space that notices hold between words, by row: blank, full-width blank, no-break blank, several, line end.
 GAPS = (" ", "　", " ", " 　 ", "\r\n")
@@ -249,3 +250,45 @@ def place_order(spark, sf_dir):
     rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     shown = bodies.place_chips(F.array("c_mktsegment", F.lit(" 济南　"), "n_name", "c_mktsegment", F.lit("")), F.array("n_name"), ["济南", "青岛"])
     return rows.select("c_custkey", F.array_join(shown["chips"], "|").alias("chips"), shown["prioritized"].alias("prioritized"))
+
+
+#: A name in Chinese characters for each digit, so that keys become names of people's offices and companies.
+DIGITS, HAN = "0123456789", "甲乙丙丁戊己庚辛壬癸"
+
+
+def han(key: str):
+    return F.translate(F.col(key).cast("string"), DIGITS, HAN)
+
+
+@query(
+    f"""SELECT s_suppkey, '2026年' || h || CASE s_suppkey % 8 WHEN 0 THEN '教育局公开招聘' WHEN 1 THEN '县教育系统招聘' WHEN 2 THEN '市市直事业单位招聘' WHEN 3 THEN '号公告' WHEN 4 THEN '号来了' WHEN 5 THEN '号说明' WHEN 6 THEN '北部战区陆军文职' ELSE '号省属单位' END AS title,
+              CASE s_suppkey % 8 WHEN 0 THEN h || '教育局' WHEN 1 THEN h || '县教育和体育局' WHEN 2 THEN h || '市人力资源和社会保障局' WHEN 3 THEN h || '市甲级医院' WHEN 4 THEN s_name WHEN 5 THEN '源' || s_nationkey WHEN 6 THEN '北部战区陆军' ELSE '山东省人力资源和社会保障厅' END AS organizer
+       FROM (SELECT *, '东' || translate(CAST(s_suppkey AS VARCHAR), '{DIGITS}', '{HAN}') AS h FROM supplier)"""
+)
+def organizers(spark, sf_dir):
+    """Clean titles and organizers of a notice of each supplier: named in the title, by a place's sector, in the introduction, by its fields, by a general rule."""
+    k, h = F.col("s_suppkey") % 8, F.concat(F.lit("东"), han("s_suppkey"))
+    tails = ("教育局公开招聘", "县教育系统招聘", "市市直事业单位招聘", "号公告", "号来了", "号说明", "北部战区陆军文职", "号省属单位")
+    title = joined("主题：", "2026年", h, F.element_at(F.array(*map(F.lit, tails)), (k + 1).cast("int")), "　日期：")
+    body = F.when(k == 3, joined("一、单位简介\n", h, "市甲级医院是一所综合医院")).otherwise("各位考生")
+    company = F.when(k == 4, F.col("s_name")).when(k == 5, "济南人社")
+    source = F.when(k == 7, "未知 · 转载").otherwise(F.concat(F.lit("源"), F.col("s_nationkey").cast("string"), F.lit(" · 公告")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text_organizers.exam_title(title).alias("title"), text_organizers.organizer(title, company, body, source).alias("organizer"))
+
+
+@query(
+    f"""WITH n AS (SELECT o_custkey, count(*) AS texts, count(*) FILTER (o_orderkey % 3 = 0) AS says_own, count(*) FILTER (o_orderkey % 3 = 1) AS says_other, count(*) FILTER (o_orderkey % 6 = 5) AS names_own FROM orders GROUP BY 1),
+        c AS (SELECT *, translate(CAST(o_custkey AS VARCHAR), '{DIGITS}', '{HAN}') AS h, o_custkey % 5 = 4 AS coded FROM n)
+        SELECT o_custkey, CASE WHEN coded AND (says_own > 0) = (says_other > 0) THEN '' WHEN says_own > 0 OR (NOT coded AND names_own > 0) THEN '东方' || h || '有限公司' WHEN says_other > 0 THEN '西方' || h || '有限公司' ELSE '' END AS company,
+               coded OR (names_own = 0 AND says_own = 0) AS company_conflict FROM c"""
+)
+def company_facts(spark, sf_dir):
+    """Companies of customers from the texts of all their orders: agreement, contradiction, absence, and codes in place of names."""
+    k, h = F.col("o_orderkey"), han("o_custkey")
+    own, other = joined("东方", h, "有限公司"), joined("西方", h, "有限公司")
+    title = F.when(k % 3 == 0, joined("2026年度", own, "招聘")).when(k % 3 == 1, joined("【急】", other, "校园招聘")).otherwise("岗位信息汇总")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.when(F.col("o_custkey") % 5 == 4, F.lpad(F.col("o_custkey").cast("string"), 18, "0")).otherwise(own).alias("company"), title.alias("title"),
+        F.when(k % 6 == 5, joined("欢迎加入", own, "。")).otherwise("详见附件").alias("body"), F.lit("招聘公告").alias("kind"), F.lit("a-announcements").alias("source_id"), F.lit("网站").alias("source_name"),
+    )
+    return companies.company_facts(rows, "o_custkey").select("o_custkey", "company", "company_conflict")
