@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import query, table
 from .functions import display, facts, text, titles
 from .functions import organizers as text_organizers
-from .operators import bodies, changes, companies, examtables, extract, prose
+from .operators import bodies, changes, companies, examfacts, examtables, extract, prose
 
 #: White space that notices hold between words, by row: blank, full-width blank, no-break blank, several, line end.
 GAPS = (" ", "　", " ", " 　 ", "\r\n")
@@ -292,3 +292,35 @@ def company_facts(spark, sf_dir):
         F.when(k % 6 == 5, joined("欢迎加入", own, "。")).otherwise("详见附件").alias("body"), F.lit("招聘公告").alias("kind"), F.lit("a-announcements").alias("source_id"), F.lit("网站").alias("source_name"),
     )
     return companies.company_facts(rows, "o_custkey").select("o_custkey", "company", "company_conflict")
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS k, count(*) AS n, sum(CASE WHEN l_quantity <= 45 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS heads, bool_or(l_linenumber = 5) AS free, bool_or(l_orderkey % 2 = 1) AS told FROM lineitem WHERE l_orderkey % 4 < 2 GROUP BY 1)
+       SELECT o_orderkey, CASE WHEN p.k IS NOT NULL THEN CASE WHEN told THEN 'parsed' ELSE 'prose' END WHEN o_orderkey % 4 = 2 THEN 'attachment_only' ELSE 'none' END AS positions_status,
+              nullif(greatest(coalesce(n, 0), CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 90 ELSE 0 END), 0) AS total_positions,
+              nullif(greatest(coalesce(heads, 0), CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 700 + 1 ELSE 0 END, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 50 + 1 ELSE 0 END), 0) AS total_headcount,
+              coalesce(free, false) OR o_orderkey % 7 = 0 AS unlimited, CASE WHEN o_orderkey % 2 = 0 THEN '1:' || (o_orderkey % 5 + 1) END AS exam_ratio, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 30 + 20) || '周岁及以下' END AS age_limit,
+              CASE WHEN o_orderkey % 7 = 1 THEN '最低服务年限五年' END AS service_years, CASE o_orderkey % 11 WHEN 0 THEN '部分岗位限本地户籍/生源' WHEN 1 THEN '不限户籍' ELSE '' END AS hukou, CASE WHEN o_orderkey % 13 = 0 THEN '限应届优秀高校毕业生' ELSE '' END AS fresh_grads,
+              CASE WHEN o_orderkey % 13 = 0 THEN '要求中共党员（含预备党员）或主要学生干部' ELSE '' END AS party, CASE o_orderkey % 6 WHEN 0 THEN '本科及以上' WHEN 1 THEN '硕士研究生及以上' WHEN 2 THEN '专科及以上' WHEN 3 THEN '博士研究生' ELSE '' END AS education
+       FROM orders LEFT JOIN p ON p.k = o_orderkey"""
+)
+def exam_enrichment(spark, sf_dir):
+    """Every order as an examination, its line items as positions, two attachments each for some: status, totals and conditions."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders")
+    when = lambda test, *parts: F.when(test, joined(*parts)).otherwise("")
+    number = lambda n: n.cast("string")
+    levels = F.element_at(F.array(*map(F.lit, ("学历：本科及以上", "硕士学位", "高中", "招聘博士", "", ""))), (k % 6 + 1).cast("int"))
+    exams = o.select(
+        "o_orderkey", joined("考试公告", when(k % 13 == 0, "选调"), when(k % 5 == 0, "（", number(c % 50 + 1), "人）")).alias("title"),
+        joined(
+            when(k % 3 == 0, "计划招聘工作人员　", number(c % 700 + 1), "　名，共", number(c % 90), "个岗位。"), when(k % 7 == 0, "专业不限。"), when(k % 2 == 0, "开考比例为1 ：", number(k % 5 + 1), "。年龄不超过", number(c % 30 + 20), "周岁以下。"),
+            when(k % 7 == 1, "最低服务年限为五年。"), when(k % 11 == 0, "限本市户籍。\n"), when(k % 11 == 1, "\n户籍不限。\n"), levels,
+        ).alias("body"),
+    )
+    positions = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 < 2").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_quantity") <= 45, F.col("l_quantity")).otherwise(9999).cast("int").alias("recruit_count"),
+        F.when(F.col("l_linenumber") == 5, "不限").otherwise("法学").alias("major_raw"), F.when(F.col("l_orderkey") % 2 == 0, "prose").otherwise("table").alias("source"),
+    )
+    files = o.where("o_orderkey % 4 <> 3").select("o_orderkey", F.explode(F.array(F.lit("报名表"), F.when(k % 4 == 2, "岗位一览表"))).alias("title"))
+    return examfacts.enriched_exams(exams, positions, files, "o_orderkey")
