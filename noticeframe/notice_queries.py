@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .catalog import query, table
 from .functions import display, facts, text, titles
 from .functions import organizers as text_organizers
-from .operators import bodies, changes, companies, examfacts, examtables, extract, prose
+from .operators import bodies, campaigns, changes, companies, examfacts, examtables, extract, prose
+from .sources import calendars
 
 #: White space that notices hold between words, by row: blank, full-width blank, no-break blank, several, line end.
 GAPS = (" ", "　", " ", " 　 ", "\r\n")
@@ -324,3 +325,63 @@ def exam_enrichment(spark, sf_dir):
     )
     files = o.where("o_orderkey % 4 <> 3").select("o_orderkey", F.explode(F.array(F.lit("报名表"), F.when(k % 4 == 2, "岗位一览表"))).alias("title"))
     return examfacts.enriched_exams(exams, positions, files, "o_orderkey")
+
+
+def calendar_pages(spark, sf_dir):
+    """Suppliers as talks, five or so to a page, in four shapes of JSON; some pages are broken, refused, empty or of no known shape."""
+    k = F.col("s_suppkey")
+    stamp = lambda hour: F.concat(F.lit("2026-03-"), F.lpad((F.col("s_nationkey") + 1).cast("string"), 2, "0"), F.lit(f" {hour}:30:00"))
+    name, key = F.col("s_name"), k.cast("string")
+    row = F.struct(
+        key.alias("career_talk_id"), F.substring(stamp("09"), 1, 10).alias("meet_day"), name.alias("meet_name"), F.lit("09:30").alias("meet_time"), (k % 2).cast("int").alias("is_yun"), F.concat(F.lit("楼"), key).alias("address"), F.when(k % 3 == 0, 1).alias("career_state"),
+        F.concat(F.lit("i"), key).alias("id"), F.concat(F.lit("/t/"), key).alias("url"), name.alias("title"), stamp("09").alias("startTime"), stamp("11").alias("endTime"), F.when(k % 2 == 0, F.concat(F.lit("楼"), key)).alias("fieldExport"), F.concat(F.lit("场"), key).alias("place"),
+        F.when(k % 3 == 0, "线上").otherwise("线下").alias("fairTypeName"), key.alias("xjhid"), name.alias("xjhmc"), F.substring(stamp("09"), 1, 10).alias("jbrq"), F.lit("甲校").alias("jbxx"), F.lit("9:30-11:30").alias("kssjd"), F.concat(F.lit("楼"), key).alias("jbdd"),
+        F.lit("x").alias("unknown_field"),
+    )
+    pages = table(spark, sf_dir, "supplier").groupBy(F.floor(k / 5).alias("page")).agg(F.array_sort(F.collect_list(F.struct(k, row.alias("r")))).alias("rows"))
+    page, n, items = F.col("page"), F.size("rows"), F.transform("rows", lambda x: x["r"])
+    shapes = [
+        F.to_json(F.struct(F.when(page % 9 == 8, 0).otherwise(1).alias("code"), items.alias("data"))),
+        F.to_json(F.struct(F.lit(1).alias("state"), F.struct(items.alias("list")).alias("object"))),
+        F.to_json(F.struct(F.lit(1).alias("state"), F.struct(items.alias("list"), F.lit(2).alias("totalPage"), n.alias("count")).alias("object"))),
+        F.to_json(F.struct(F.lit(200).alias("code"), F.lit(True).alias("success"), F.struct(items.alias("records"), n.alias("total")).alias("result"))),
+    ]
+    names = list(calendars.FORMATS)
+    body = F.when(page % 10 == 9, F.lit('{"code": 1, "data": [')).otherwise(F.element_at(F.array(*shapes), (page % 4 + 1).cast("int")))
+    kind = F.when(page % 11 == 10, "other").otherwise(F.element_at(F.array(*map(F.lit, names)), (page % 4 + 1).cast("int")))
+    return pages.select("page", kind.alias("format"), body.alias("body"), F.lit("https://a.cn").alias("base"), F.when(page % 7 == 6, "乙校").otherwise("甲校").alias("school"), F.lit("c1").alias("code"))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_suppkey // 5 AS page, s_name, '2026-03-' || lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0') AS day FROM supplier),
+       p AS (SELECT DISTINCT page, CASE WHEN page % 11 = 10 THEN 'unknown' WHEN page % 10 = 9 THEN 'broken' WHEN page % 4 = 0 AND page % 9 = 8 THEN 'refused' WHEN page % 4 = 3 AND page % 7 = 6 THEN 'refused' ELSE 'event' END AS status FROM s)
+       SELECT page, status, CASE page % 4 WHEN 0 THEN CAST(k AS VARCHAR) WHEN 3 THEN 'c1:' || k ELSE 'i' || k END AS identity,
+              'https://a.cn' || CASE page % 4 WHEN 0 THEN '/detail/career?id=' || k WHEN 3 THEN '/sub-station/lectureDetail?xxdm=c1&xjhid=' || k ELSE '/t/' || k END AS url, CASE WHEN page % 4 = 0 AND k % 3 = 0 THEN '已取消：' ELSE '' END || s_name AS title,
+              day, '09:30' AS starts, CASE WHEN page % 4 <> 0 THEN '11:30' END AS ends, CASE WHEN page % 7 = 6 THEN '乙校' ELSE '甲校' END AS school,
+              CASE page % 4 WHEN 0 THEN CASE WHEN k % 2 = 1 THEN '线上宣讲 ' ELSE '' END || '楼' || k WHEN 1 THEN CASE WHEN k % 2 = 0 THEN '楼' || k ELSE '' END WHEN 2 THEN CASE WHEN k % 3 = 0 THEN '线上宣讲 · ' ELSE '' END || CASE WHEN k % 2 = 0 THEN '楼' ELSE '场' END || k ELSE '楼' || k END AS venue, 'x' AS kept
+       FROM s JOIN p USING (page) WHERE status = 'event'
+       UNION ALL SELECT page, status, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p WHERE status <> 'event'"""
+)
+def calendar_formats(spark, sf_dir):
+    """Talks of suppliers from calendars in four JSON shapes; a field that no rule names is kept."""
+    found = calendars.calendar_rows(calendar_pages(spark, sf_dir))
+    return found.select("page", "status", *calendars.EVENT, F.get_json_object("raw", "$.unknown_field").alias("kept"))
+
+
+@query(
+    """WITH j AS (SELECT o_orderkey AS id, o_custkey AS firm, o_orderkey % 3 = 0 AS talk, year(o_orderdate) AS y, o_orderkey % 5 = 0 AS both, CASE o_orderkey % 4 WHEN 0 THEN '春' WHEN 1 THEN '秋' END AS phase FROM orders),
+       m AS (SELECT t.id AS talk_id, c.id AS campaign_id, CAST(t.y = c.y AND t.both = c.both AS INT) AS same FROM j AS t JOIN j AS c ON t.firm = c.firm AND t.talk AND NOT c.talk AND (t.phase IS NULL OR c.phase IS NULL OR t.phase = c.phase)
+             AND (t.y = c.y OR (t.both AND t.y + 1 = c.y) OR (c.both AND c.y + 1 = t.y)) WHERE t.id % 6 <> 3),
+       r AS (SELECT *, count(*) OVER (PARTITION BY talk_id, same) AS n, max(same) OVER (PARTITION BY talk_id) AS best FROM m)
+       SELECT talk_id, campaign_id FROM r WHERE same = best AND n = 1"""
+)
+def talk_campaigns(spark, sf_dir):
+    """Orders of a customer as talks and campaigns: a shared class, phases that don't differ, then the unique best."""
+    k, year = F.col("o_orderkey"), F.year("o_orderdate")
+    years = F.when(k % 5 == 0, F.array((year + 1).cast("string"), year.cast("string"))).otherwise(F.array(year.cast("string")))
+    jobs = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 3 == 0, "a-talks").otherwise("a").alias("source_id"), F.lit("招聘公告").alias("kind"), F.concat(F.lit("公告"), F.when(k % 4 == 0, "春招").when(k % 4 == 1, "秋季招聘").otherwise("")).alias("title"),
+        F.when(k % 3 == 0, joined(han("o_custkey"), "集团有限公司")).otherwise(joined("子", han("o_custkey"), "公司")).alias("company"), F.when(k % 3 == 0, "").otherwise(joined("子", han("o_custkey"), "公司（简称“", han("o_custkey"), "集团有限公司”）")).alias("body"),
+        F.array(F.lit("校招")).alias("types"), years.alias("years"), (k % 6 != 3).alias("has_event"),
+    )
+    return campaigns.attached_talks(jobs)
