@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query, table
-from .functions import display, facts, text, titles
+from .functions import display, facts, talks, text, timeutil, titles
 from .functions import organizers as text_organizers
-from .operators import bodies, campaigns, changes, companies, examfacts, examtables, extract, prose
+from .operators import bodies, campaigns, changes, collection, companies, examfacts, examtables, extract, prose, publish
 from .sources import calendars
 
 #: White space that notices hold between words, by row: blank, full-width blank, no-break blank, several, line end.
@@ -385,3 +385,74 @@ def talk_campaigns(spark, sf_dir):
         F.array(F.lit("校招")).alias("types"), years.alias("years"), (k % 6 != 3).alias("has_event"),
     )
     return campaigns.attached_talks(jobs)
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(65279)"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN length(text) > 90 THEN rtrim(substring(text, 1, 89), {_WS}) || '…' ELSE text END AS excerpt,
+               sha256(substring(trim(substring(lower(source || ' ' || lang), 1, 240) || ' ' || substring(text, 1, 320), {_WS}), 1, 480)) AS search_sha256,
+               regexp_matches(lower(text), '(?:^|[^a-z0-9])le(?:$|[^a-z0-9])') AS says_le, contains(lower(text), 'ñ') AS says_tilde,
+               sha256(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), ';', '\;'), ',', '\\,'), chr(13) || chr(10), '\\n'), chr(13), '\\n'), chr(10), '\\n')) AS ics_sha256,
+               round(len(list_intersect(list_distinct(string_split(source, '')), list_distinct(string_split(lang, '')))) / least(len(list_distinct(string_split(source, ''))), len(list_distinct(string_split(lang, '')))), 6) AS overlap
+        FROM documents"""
+)
+def document_display(spark, sf_dir):
+    """Display, search and calendar forms of whole documents."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.trimmed_excerpt(t).alias("excerpt"), F.sha2(text.search_head_tail(F.concat_ws(" ", "source", "lang"), t), 256).alias("search_sha256"), text.has_keyword(t, "le").alias("says_le"), text.has_keyword(t, "ñ").alias("says_tilde"),
+        F.sha2(text.ics_escaped(t), 256).alias("ics_sha256"), F.round(text.char_overlap(F.col("source"), F.col("lang")), 6).alias("overlap"),
+    )
+
+
+@query(
+    """WITH o AS (SELECT *, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, DATE '1998-06-01' AS now FROM orders),
+       f AS (SELECT *, d + CAST(k % 5 - 2 AS INT) AS pub, strftime(d, '%Y-%m-%d') AS day FROM o)
+       SELECT k AS o_orderkey, CASE WHEN pub > now THEN '' WHEN pub > d THEN CASE WHEN k % 3 = 0 THEN strftime(d - 1, '%Y-%m-%d') ELSE day END ELSE strftime(pub, '%Y-%m-%d') END AS healed,
+              greatest(day, CASE WHEN k % 2 = 0 AND d + 9 <= now THEN strftime(d + 9, '%Y-%m-%d') ELSE '' END) AS sort_day,
+              CASE WHEN k % 7 = 0 THEN 'closed' WHEN k % 4 <> 0 AND d + 60 < now THEN 'closed' WHEN k % 3 = 0 THEN 'unconfirmed' WHEN k % 3 = 1 THEN 'long_term' WHEN date_diff('day', d, now) BETWEEN 0 AND 30 THEN 'confirmed_open' ELSE 'unconfirmed' END AS validity,
+              d BETWEEN now - 30 AND now + 1 AS recent, strftime(d, '%Y-%m-%d') || CASE k % 3 WHEN 0 THEN ' 15:59:00' WHEN 1 THEN ' 01:30:00' ELSE ' 08:05:00' END AS ends,
+              CASE WHEN d + 1500 >= DATE '2000-01-01' THEN strftime(d + 1500, '%Y-%m-%d') || ' 00:00:00' END AS epoch,
+              CASE WHEN k % 4 = 0 THEN '2024|2025' ELSE CAST(2024 + k % 7 AS VARCHAR) END AS years,
+              CASE WHEN o_totalprice / 5000 <= 5 THEN 5 WHEN o_totalprice / 5000 <= 10 THEN 10 ELSE 100 END AS scale, k % 5 = 0 AND k % 2 = 0 AS nationwide,
+              CASE k % 4 WHEN 0 THEN 'domestic' WHEN 1 THEN 'mixed' WHEN 2 THEN 'overseas' ELSE 'unknown' END AS home, CASE k % 3 WHEN 0 THEN 'full_time' WHEN 1 THEN 'part_time' ELSE 'unknown' END AS employment,
+              CASE WHEN k % 11 = 0 THEN 'expired' WHEN k % 11 = 1 THEN 'unconfirmed' WHEN d < now THEN 'expired' WHEN k % 5 = 0 THEN 'extended' WHEN k % 5 = 1 THEN 'supplemental' WHEN d - now BETWEEN 0 AND 3 THEN 'expiring_soon' ELSE 'accepting' END AS stage,
+              CASE WHEN k % 2 = 0 THEN '延至' || day END AS alert, year(d) || '年' || month(d) || '月' || day(d) || '日 9:30–11:00' AS label, CASE WHEN k % 3 = 0 THEN 'clarified' ELSE 'extended' END AS moved, k % 3 = 0 AS rolls,
+              CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN '校招' ELSE '' END AS types, (k % 9 + 1) * CASE WHEN k % 9 >= 4 THEN 1000.0 ELSE 12000.0 END AS pay,
+              k % 4 IN (0, 1, 3) AS for_bachelor, k % 4 IN (0, 2, 3) AS for_master
+       FROM f"""
+)
+def notice_facts(spark, sf_dir):
+    """Facts of notices whose texts and times follow from each order."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    moment = F.lit("1998-06-01 04:00:00").cast("timestamp")
+    on = lambda n: F.date_format(F.date_add(d, n) if isinstance(n, int) else F.date_add(d, n), "yyyy-MM-dd")
+    day, none = on(0), F.lit(None).cast("string")
+    pick = lambda n, *options: F.element_at(F.array(*[o if not isinstance(o, str) else F.lit(o) for o in options]), (k % n + 1).cast("int"))
+    change, moved = F.lit("deadline_extended"), joined("延长至 ", F.date_format(F.date_add(d, 400), "yyyy-MM-dd"), "（原截止时间：", F.date_format(F.date_add(d, F.when(k % 3 == 0, 390).otherwise(60)), "yyyy-MM-dd"), "）")
+    clock = pick(3, none, F.lit("09:30"), F.lit("16:05"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        facts.healed_publication(on((k % 5 - 2).cast("int")), day, F.when(k % 3 == 0, F.array(on(-1), on(3))), moment).alias("healed"),
+        facts.effective_day(day, k % 2 == 0, on(9), F.lit("1998-06-01")).alias("sort_day"),
+        facts.validity(F.when(k % 4 == 0, "").otherwise(on(60)), F.when(k % 7 == 0, "withdrawn").otherwise("active"), pick(3, "open", "long_term", "open"), k % 3 != 0, F.concat(day, F.lit("T04:00:00Z")), none, moment).alias("validity"),
+        timeutil.recent(F.concat(day, F.lit("T04:00:00Z")), moment).alias("recent"),
+        F.date_format(timeutil.event_end(day, clock, clock), "yyyy-MM-dd HH:mm:ss").alias("ends"),
+        F.date_format(timeutil.source_epoch(F.unix_seconds(F.date_add(d, 1500).cast("timestamp")).cast("double") * F.when(k % 2 == 0, 1000).otherwise(1), F.lit("2020-01-01").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("epoch"),
+        F.array_join(facts.graduation_years(F.when(k % 4 == 0, "面向2025届和24届").otherwise(F.concat(F.lit("招收"), (2024 + k % 7).cast("string"), F.lit("　届")))), "|").alias("years"),
+        titles.score_scale(F.col("o_totalprice") / 5000).alias("scale"),
+        publish.nationwide(F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("o_orderstatus")), F.when(k % 2 == 0, "各地招聘").otherwise("招聘")).alias("nationwide"),
+        titles.domestic_status(F.array(pick(4, "甲地", "美国", "英国", "甲地")), F.when(k % 4 < 2, F.array("o_orderstatus"))).alias("home"),
+        titles.employment_type(joined("岗位性质：", pick(3, "全职", "兼职", "其他"))).alias("employment"),
+        titles.stored_stage(joined("公告", pick(5, "延期", "补录", "", "", "")), F.lit(""), day, pick(11, "withdrawn", "unconfirmed", *["active"] * 9), none, "1998-06-01").alias("stage"),
+        titles.change_alert(F.lit("extended"), joined("延至", day, "；其他"), k % 2 == 0).alias("alert"),
+        talks.date_label(day, F.lit("9:30"), F.lit("11:00")).alias("label"),
+        facts.deadline_change_kind(change, F.lit(""), moved, day).alias("moved"),
+        facts.rolling_deadline(day, moved).alias("rolls"),
+        F.array_join(titles.job_types(F.array().cast("array<string>"), F.when(k % 2 == 0, "具体岗位").otherwise("公告"), F.when(k % 3 == 0, "s-jobs").otherwise("s")), "|").alias("types"),
+        collection.normal_salary(((k % 9 + 1) * 12_000).cast("double"), F.when(k % 9 >= 4, joined(((k % 9 + 1) * 12 / 10).cast("string"), "万")).otherwise("x")).alias("pay"),
+        facts.education_matches(pick(4, "2026届 本科及以上", "本科", "硕士", "不限"), "本科", False).alias("for_bachelor"),
+        facts.education_matches(pick(4, "本科及以上", "本科", "硕士", "不限"), "硕士", False).alias("for_master"),
+    )

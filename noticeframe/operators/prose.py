@@ -80,7 +80,19 @@ class Vocabulary:
 
     def longest(self, text: str) -> list[str]:
         """Leftmost words that do not overlap, each the longest at its place."""
-        return [] if self.empty else [word for _, word in self.found.iter_long(text)]
+        if self.empty:
+            return []
+        at: dict[int, str] = {}
+        for end, word in self.found.iter(text):
+            start = end - len(word) + 1
+            if len(word) > len(at.get(start, "")):
+                at[start] = word
+        out, free = [], 0
+        for start in sorted(at):
+            if start >= free:
+                out.append(at[start])
+                free = start + len(at[start])
+        return out
 
     def any_in(self, text: str) -> bool:
         return not self.empty and next(self.found.iter(text), None) is not None
