@@ -12,7 +12,7 @@ from .catalog import query, table
 from .functions import display, facts, talks, text, timeutil, titles
 from .functions import organizers as text_organizers
 from .operators import bodies, campaigns, changes, collection, companies, examfacts, examtables, extract, prose, publish
-from .sources import calendars
+from .sources import calendars, pages
 
 #: White space that notices hold between words, by row: blank, full-width blank, no-break blank, several, line end.
 GAPS = (" ", "　", " ", " 　 ", "\r\n")
@@ -456,3 +456,30 @@ def notice_facts(spark, sf_dir):
         facts.education_matches(pick(4, "2026届 本科及以上", "本科", "硕士", "不限"), "本科", False).alias("for_bachelor"),
         facts.education_matches(pick(4, "本科及以上", "本科", "硕士", "不限"), "硕士", False).alias("for_master"),
     )
+
+
+@query(
+    """SELECT p_partkey, sha256('公告' || p_partkey || chr(10) || p_name || ' & ' || p_brand || chr(10) || '请各位考生认真阅读本公告并按时提交报名材料逾期不再受理感谢配合支持与理解祝考试顺利' || chr(10) || '单位名称 岗位名称 招聘人数' || chr(10) || p_brand || ' ' || p_name || '岗 ' || p_size || chr(10) || p_type || '岗 ' || p_size || chr(10) || '岗位表' || p_partkey) AS body_sha256,
+              concat_ws('|', CASE WHEN p_partkey % 2 = 0 THEN '岗位表' || p_partkey || '=https://a.gov.cn/n/f' || p_partkey || '.xlsx' ELSE '岗位表' || p_partkey || '=https://b.cn/' || p_partkey || '?附件' END) AS attachments,
+              p_brand || ':' || p_name || '岗:' || p_size || '|' || p_brand || ':' || p_type || '岗:' || p_size AS positions
+       FROM part"""
+)
+def detail_pages(spark, sf_dir):
+    """A page of each part: text of its container, a wrapped or plain attachment, a table with a row span, chrome around it."""
+    k = F.col("p_partkey").cast("string")
+    wrapped = F.concat(F.lit("https://school.gxjy.sdei.edu.cn/externalLink?target=h."), F.translate(F.base64(F.concat(F.lit('{"url":"https://b.cn/'), k, F.lit('?附件"}')).cast("binary")), "+/=", "-_"), F.lit(".s"))
+    link = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("../n/f"), k, F.lit(".xlsx"))).otherwise(wrapped)
+    html = F.concat(
+        F.lit("<html><head><style>p{}</style><title>x</title></head><body><a href='/logo.png'>附件</a><div class='nav article2'>导航</div><div class='main content'><h1>公告"), k, F.lit("</h1><p>"), F.replace("p_name", F.lit(" "), F.lit("&nbsp;\n")), F.lit(" &amp; "), "p_brand",
+        F.lit("<script>var a='<p>';</script></p><p>请各位考生认真阅读本公告并按时提交报名材料逾期不再受理感谢配合支持与理解祝考试顺利<table><tr><th>单位名称 <th>岗位名称 <th>招聘人数</tr><tr><td rowspan=2>"), "p_brand", F.lit(" <td>"), "p_name", F.lit("岗 <td>"), F.col("p_size").cast("string"),
+        F.lit("</tr><tr><td>"), "p_type", F.lit("岗 <td>"), F.col("p_size").cast("string"), F.lit("</tr></table><a href='"), link, F.lit("'>岗位表"), k, F.lit("</a><a href='"), link, F.lit("'></a><a href='javascript:1'></a><a href='/img/x.gif'></a></div><div>页脚</div></body></html>"),
+    )
+    read = table(spark, sf_dir, "part").select("p_partkey", "p_name", pages.detail_page(html, F.lit("https://a.gov.cn/x/y.html")).alias("p"))
+    grids = read.select("p_partkey", "p_name", "p.body", "p.attachments", F.get("p.grids", F.lit(0)).alias("grid")).withColumn("exam_id", k)
+    found = examtables.exam_positions(grids, merges=None)
+    named = F.concat_ws(":", "employer", "position_name", F.col("recruit_count").cast("string"))
+    return found.groupBy("p_partkey").agg(
+        F.sha2(F.first("body"), 256).alias("body_sha256"), F.array_join(F.transform(F.first("attachments"), lambda a: F.concat_ws("=", a["title"], a["url"])), "|").alias("attachments"),
+        # Two rows a page: the span's first row, then its second, whatever order they arrive in.
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((~F.startswith("position_name", F.col("p_name"))).alias("later"), named.alias("n")))), lambda x: x["n"]), "|").alias("positions"),
+    )

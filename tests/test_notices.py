@@ -163,3 +163,30 @@ def test_enrichment_of_nothing(spark):
     files = spark.createDataFrame([(3, "岗位表"), (2, None)], "exam_id int, title string")
     got = {r.exam_id: (r.positions_status, r.total_positions, r.total_headcount, r.unlimited) for r in examfacts.enriched_exams(exams, none, files).collect()}
     assert got == {1: ("none", None, None, False), 2: ("none", 8, 12, False)}
+
+
+# --- detail pages -----------------------------------------------------------------------------------------------------
+
+
+def test_pages_of_all_shapes():
+    from noticeframe.sources import pages
+
+    read = pages.read_page
+    assert read("", "") == {"body": "", "attachments": [], "grids": []}
+    assert read("<p>a<div class=content>short</div>b", "")["body"] == "a\nshort\nb"
+    long = "长" * 50
+    assert read(f"<div id=zoom>{long}<p>x</div>y<div class='content'>z</div>", "")["body"] == f"{long}\nx"
+    assert read(f"<b><div class='a content b'>{long}</b></div></i>tail", "", (".content",))["body"] == long
+    got = read(f"<body>{long}<a href=' /f.pdf '>x</a><a href='f.pdf#1'>附件</a><a href='http://[bad'>附件</a><a href='mailto:a'>附件</a><a href='http://www.gov.cn/'>附件</a><a title='附件二' href='/q'></a></body>", "https://h.cn/d/")
+    assert [a["url"] for a in got["attachments"]] == ["https://h.cn/f.pdf", "https://h.cn/d/f.pdf#1", "http://www.gov.cn/", "https://h.cn/q"]
+
+
+def test_addresses_of_the_portal():
+    from noticeframe.sources.pages import attachment_url, kept_attachment
+
+    assert attachment_url("https://a.sdei.edu.cn/resource/srst/att/1.doc?x=1") == "http://hrss.shandong.gov.cn/resource/srst/att/1.doc?x=1"
+    assert attachment_url("https://a.sdei.edu.cn/sdu/n1/n2/c3/part/9.xls", "https://j.gov.cn") == "https://j.gov.cn/n1/n2/c3/part/9.xls"
+    assert attachment_url("https://a.sdei.edu.cn/api-gateway/jpaas-x/f") == "http://hrss.shandong.gov.cn/api-gateway/jpaas-x/f"
+    for same in ("https://b.cn/externalLink?target=x.y", "https://a.sdei.edu.cn/externalLink?target=x", "https://a.sdei.edu.cn/externalLink?target=x.%ff.z", "https://a.sdei.edu.cn/other", ""):
+        assert attachment_url(same) == same
+    assert not kept_attachment("", "https://www.gov.cn/") and not kept_attachment("x", "https://a.cn/img/b.png") and kept_attachment("表", "https://a.cn/b.gif")
