@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import query, table
 from .functions import display, facts, talks, text, timeutil, titles
 from .functions import organizers as text_organizers
-from .operators import bodies, campaigns, changes, collection, companies, examfacts, examtables, extract, prose, publish
+from .operators import bodies, campaigns, changes, collection, companies, examfacts, examtables, extract, places, prose, publish, relational
 from .sources import calendars, pages
 
 #: White space that notices hold between words, by row: blank, full-width blank, no-break blank, several, line end.
@@ -483,3 +483,54 @@ def detail_pages(spark, sf_dir):
         # Two rows a page: the span's first row, then its second, whatever order they arrive in.
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((~F.startswith("position_name", F.col("p_name"))).alias("later"), named.alias("n")))), lambda x: x["n"]), "|").alias("positions"),
     )
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_nationkey % 4 = 3 OR (c_nationkey % 4 < 2 AND c_custkey % 5 <> 4 AND c_custkey % 3 <> 0) THEN CASE WHEN c_nationkey % 4 = 3 THEN NULL ELSE '甲市' END
+                                  WHEN c_nationkey % 4 < 2 AND c_custkey % 5 <> 4 THEN NULL WHEN c_custkey % 5 <> 4 AND c_custkey % 3 = 0 THEN '乙市' END AS city,
+              CASE WHEN c_nationkey % 4 = 3 THEN 'online' WHEN c_nationkey % 4 < 2 AND c_custkey % 5 <> 4 AND c_custkey % 3 = 0 THEN 'conflicting_locations' WHEN c_custkey % 5 <> 4 AND c_custkey % 3 = 0 THEN 'explicit' WHEN c_nationkey % 4 < 2 AND c_custkey % 5 <> 4 THEN 'campus' ELSE 'unverified_venue' END AS method
+       FROM customer"""
+)
+def event_places(spark, sf_dir):
+    """Places of events at customers: named, of a campus rule, both in contradiction, online, or none."""
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    venue = F.concat(F.when(n % 4 == 3, "线上").when(n % 4 < 2, "东校区").otherwise("礼堂"), F.when((k % 5 != 4) & (k % 3 == 0), "（乙市）").otherwise(""), "c_name")
+    events = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 5 == 4, "别校").otherwise("甲校").alias("school"), F.when(k % 5 == 4, F.regexp_replace(venue, "东校区", "西馆")).otherwise(venue).alias("venue"))
+    rules = spark.createDataFrame([(1, "甲校", "东校区", "甲市"), (2, "丙校", "东", "丙市")], "rule_id int, rule_school string, pattern string, city string")
+    return places.resolved_events(events, rules, "c_custkey", "school", "venue", {"甲市": ["甲市"], "乙市": ["乙市"], "丙市": ["丙市"]}).select("c_custkey", "city", "method")
+
+
+@query(
+    """SELECT count(*) AS exams, count(*) FILTER (o_orderkey % 3 > 0) AS with_positions, CAST(sum(o_orderkey % 3) AS BIGINT) AS positions, CAST(sum(o_custkey) AS BIGINT) AS headcount, '1|2|3' AS cities FROM orders"""
+)
+def exam_totals(spark, sf_dir):
+    """Totals over orders as examinations with none to two positions."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.when(k % 3 > 0, F.array_repeat(F.lit("p"), (k % 3).cast("int"))).alias("positions"), F.col("o_custkey").alias("headcount"), F.array((k % 3 + 1).cast("string")).alias("cities"))
+    return publish.exam_totals(rows, "positions", "headcount", "cities").withColumn("cities", F.array_join("cities", "|"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN ts > TIMESTAMP '2024-01-15' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-15' + INTERVAL 5 MINUTE THEN value END AS score,
+              row_number() OVER (ORDER BY coalesce(CASE WHEN event_type = 'error' THEN NULL WHEN ts > TIMESTAMP '2024-01-15' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-15' + INTERVAL 5 MINUTE THEN value END, -1) DESC, event_id) AS place FROM events"""
+)
+def fresh_scores(spark, sf_dir):
+    """Scores of sources read in time, the best first and unrated ones last in the order there was; ranks come from a range partitioning."""
+    at_now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("event_type") != "error", F.col("value")).alias("score"))
+    kept = collection.capped_scores(rows, "ts", at_now).withColumn("_score", F.coalesce("score", F.lit(-1.0)))
+    return relational.ranked(kept, [(F.col("_score"), "desc"), F.col("event_id")], "place").select("event_id", "score", "place")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND NOT (o_orderkey % 2 = 0 AND o_orderkey % 3 = 0) THEN 'ignored' WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 = 1 THEN 'ignored' WHEN o_orderkey % 7 = 0 THEN 'kept' ELSE 'pending' END AS decision FROM orders"""
+)
+def calendar_decisions(spark, sf_dir):
+    """H6: what a list does to records of orders: nothing new beside a verified detail, a kept detail, or a pending one; a vanished event counts when its title says it was called off."""
+    k = F.col("o_orderkey")
+    event = lambda day: F.struct(day.alias("date"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    new = F.when(k % 5 != 0, event(day))
+    old = F.when(k % 3 == 1, event(day)).otherwise(event(F.lit("1990-01-01")))
+    title = F.when((k % 2 == 0) & (k % 3 == 0) & (k % 5 == 0), "取消宣讲：甲").otherwise("甲")
+    return table(spark, sf_dir, "orders").select("o_orderkey", talks.calendar_verification(new, old, F.lit("甲"), title, k % 7 == 0).alias("decision"))
