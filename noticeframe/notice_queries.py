@@ -394,7 +394,7 @@ _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) ||
     f"""SELECT doc_id, CASE WHEN length(text) > 90 THEN rtrim(substring(text, 1, 89), {_WS}) || '…' ELSE text END AS excerpt,
                sha256(substring(trim(substring(lower(source || ' ' || lang), 1, 240) || ' ' || substring(text, 1, 320), {_WS}), 1, 480)) AS search_sha256,
                regexp_matches(lower(text), '(?:^|[^a-z0-9])le(?:$|[^a-z0-9])') AS says_le, contains(lower(text), 'ñ') AS says_tilde,
-               sha256(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), ';', '\;'), ',', '\\,'), chr(13) || chr(10), '\\n'), chr(13), '\\n'), chr(10), '\\n')) AS ics_sha256,
+               sha256(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), ';', '\\;'), ',', '\\,'), chr(13) || chr(10), '\\n'), chr(13), '\\n'), chr(10), '\\n')) AS ics_sha256,
                round(len(list_intersect(list_distinct(string_split(source, '')), list_distinct(string_split(lang, '')))) / least(len(list_distinct(string_split(source, ''))), len(list_distinct(string_split(lang, '')))), 6) AS overlap
         FROM documents"""
 )
