@@ -20,7 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, durable, set_aside, whole_text, words_of
+from .common import SPACES, set_aside, whole_text, words_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Votes as SQL over the features; the same text serves Spark and the DuckDB check.
@@ -155,9 +155,12 @@ def with_posterior(features: DataFrame, model: Model) -> DataFrame:
 def good_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model keeps, every column as it came, whatever its name.
 
-    One scan writes each document with its votes; the counts of vote patterns and then the verdicts read that table.
+    The counts of vote patterns come from all documents; then each is judged in a second scan. Writing the documents with
+    their votes in between would cost their size in disk until the next stage is done.
     """
     aside, names = set_aside(docs)
-    features = durable(quality_features(aside, names[text]))
+    features = quality_features(aside, names[text])
     model = fit_rules(pattern_counts(features))
-    return with_posterior(features, model).where("kept").select(*names.values()).toDF(*docs.columns)
+    # A filter that depends on a row number stays above the features, whose long expressions it would repeat below.
+    judged = with_posterior(features.withColumn("_above", F.monotonically_increasing_id()), model)
+    return judged.withColumn("kept", F.col("kept") & (F.col("_above") >= 0)).where("kept").select(*names.values()).toDF(*docs.columns)
