@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str) -
     return left.join(hot, on).unionByName(rest)
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """``df`` if it gives the same rows in the same order whenever it is read: a plain scan of files, of which columns are computed or rows left out; else written first."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    steps = set(re.findall(r"^[ :+|-]*([A-Z]\w*)", plan.treeString(), re.M))
+    return df if plan.deterministic() and "Relation" in steps and steps <= {"Project", "Filter", "Relation"} else durable(df)
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

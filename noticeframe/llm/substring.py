@@ -18,8 +18,7 @@ however often it occurs there, so a passage that a third of all documents share
 chunk, not one per document; answers come back as bit masks over those entries. Bucket counts follow
 the size of the text, so each bucket stays within a task's memory. Nothing is capped or sampled.
 
-The input must be a repeatable read (a file scan or checkpoint), as every pass cuts it into the same
-chunks. Null and empty texts have no words and nothing is removed from them. Repeated rows: among
+Every pass cuts the same chunks, so an input that is no plain scan of files is written first. Null and empty texts have no words and nothing is removed from them. Repeated rows: among
 equal document ids the order of the input decides. Rows with a null id come first. Extra columns are
 not read.
 """
@@ -33,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import durable, repeatable, whole_text
 from .hashing import BASE, OTHER_BASE, WordHashes, mixed, rolled
 
 WINDOW, BLOCK = 20, 10
@@ -331,7 +330,7 @@ def _removed(buckets: int, key: str):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_words, n_removed, kept_sha256, kept)``: kept words joined by one space, as bytes."""
-    plain = docs.select(F.col(key).cast("long").alias(key), whole_text(text).alias(text))
+    plain = repeatable(docs.select(F.col(key).cast("long").alias(key), whole_text(text).alias(text)))
     size = plain.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
     limit = int(min(MOST_CHUNK, max(CHUNK, CHUNK_SHARE * size)))

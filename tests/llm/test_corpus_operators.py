@@ -112,6 +112,13 @@ def test_repeats(edge_docs, edge_rows, no_docs, chunk, monkeypatch):
     assert substring.remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_of_an_input_that_changes_between_scans(spark, edge_docs, edge_rows):
+    """Rows that come in another order at each reading are written first."""
+    shuffled = edge_docs.where("length(text) < 50000 OR text IS NULL").orderBy(F.rand())
+    order = sorted((r for r in edge_rows if len(r[1] or "") < 50_000), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert Counter(tuple(r)[:4] for r in substring.remove_repeats(shuffled).collect()) == Counter(brute_repeats(order))
+
+
 def test_shards(edge_docs, edge_rows, no_docs):
     got = sharding.assign_shards(edge_docs, shards=4).collect()
     want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in edge_rows)
