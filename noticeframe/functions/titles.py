@@ -86,17 +86,27 @@ def domestic_status(evidence: Column, cities: Column) -> Column:
     return F.when(abroad & home, "mixed").when(abroad, "overseas").when(home, "domestic").otherwise("unknown")
 
 
+# Kinds of employment and how they are said, statements of availability, and words of stages.
+KINDS = {"全职": "full_time", "实习": "internship", "兼职": "part_time"}
+KIND_SAID = spaced(rf"(?:工作性质|聘用性质|岗位性质)[：:\s]*({'|'.join(KINDS)})")
+INTERNS = spaced(r"(?:^|\n)[^\n]{0,60}(?:实习生招聘|招聘实习生|实习岗位)[：\s]")
+AVAILABLE = (
+    ("long_term", spaced(r"(?:招聘期限|招聘时间|本岗位|本次招聘)[：:\s]*(?:长期|常年)(?:招聘)?")),
+    ("open", spaced(r"(?:岗位状态|招聘状态)[：:\s]*(?:招聘中|开放|在招)")),
+)
+STAGES = {"selection": "笔试名单|面试名单|笔试安排|面试通知|资格复审|拟录用|录取公示", "extended": "延长|延期|推迟", "supplemental": "补录|补招|追加|第[二两三]批|续聘"}
+
+
 def employment_type(body: Column) -> Column:
     """P32."""
-    said = F.regexp_extract(body, spaced(r"(?:工作性质|聘用性质|岗位性质)[：:\s]*(全职|实习|兼职)"), 1)
-    intern = body.rlike(spaced(r"(?:^|\n)[^\n]{0,60}(?:实习生招聘|招聘实习生|实习岗位)[：\s]"))
-    return F.when(said == "全职", "full_time").when((said == "实习") | ((said == "") & intern), "internship").when(said == "兼职", "part_time").otherwise("unknown")
+    said = F.regexp_extract(body, KIND_SAID, 1)
+    stated = F.coalesce(*[F.when(said == word, kind) for word, kind in KINDS.items()])
+    return F.coalesce(stated, F.when(body.rlike(INTERNS), KINDS["实习"]), F.lit("unknown"))
 
 
 def availability(body: Column) -> Column:
     """struct(kind, text) of an explicit statement, or null."""
-    rules = (("long_term", spaced(r"(?:招聘期限|招聘时间|本岗位|本次招聘)[：:\s]*(?:长期|常年)(?:招聘)?")), ("open", spaced(r"(?:岗位状态|招聘状态)[：:\s]*(?:招聘中|开放|在招)")))
-    return F.coalesce(*[F.when(body.rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract(body, p, 0).alias("text"))) for k, p in rules])
+    return F.coalesce(*[F.when(body.rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract(body, p, 0).alias("text"))) for k, p in AVAILABLE])
 
 
 def stored_stage(title: Column, body: Column, deadline: Column, listing_status: Column, change: Column, today: str) -> Column:
@@ -104,15 +114,15 @@ def stored_stage(title: Column, body: Column, deadline: Column, listing_status:
     text = F.concat_ws("\n", title, F.substring(F.coalesce(body, F.lit("")), 1, 1000))
     left = F.datediff(F.try_to_timestamp(F.substring(deadline, 1, 10)).cast("date"), F.to_date(F.lit(today)))
     known = F.coalesce(F.nullif(deadline, F.lit("")) < today, F.lit(False))
-    return (
-        F.when((listing_status == "withdrawn") | ((listing_status != "unconfirmed") & known), "expired")
-        .when(listing_status == "unconfirmed", "unconfirmed")
-        .when(text.rlike("笔试名单|面试名单|笔试安排|面试通知|资格复审|拟录用|录取公示"), "selection")
-        .when((change == "deadline_extended") | title.rlike("延长|延期|推迟"), "extended")
-        .when(title.rlike("补录|补招|追加|第[二两三]批|续聘"), "supplemental")
-        .when(F.coalesce(left.between(0, 3), F.lit(False)), "expiring_soon")
-        .otherwise("accepting")
+    rules = (
+        ((listing_status == "withdrawn") | ((listing_status != "unconfirmed") & known), "expired"),
+        (listing_status == "unconfirmed", "unconfirmed"),
+        (text.rlike(STAGES["selection"]), "selection"),
+        ((change == "deadline_extended") | title.rlike(STAGES["extended"]), "extended"),
+        (title.rlike(STAGES["supplemental"]), "supplemental"),
+        (left.between(0, 3), "expiring_soon"),
     )
+    return F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), stage) for test, stage in rules], F.lit("accepting"))
 
 
 def score_scale(value: Column) -> Column:
