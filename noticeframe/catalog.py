@@ -475,7 +475,7 @@ def url_clean(spark, sf_dir):
 
 @query()
 def html_text(spark, sf_dir):
-    """Look-behind free, but DuckDB lacks back-references; held against a parser in tests."""
+    """DuckDB lacks back-references; tests hold the words of every page against a parser."""
     return table(spark, sf_dir, "pages").select("page_id", text.plain_html(F.col("html")).alias("text"))
 
 
@@ -543,7 +543,7 @@ def rum_valid(spark, sf_dir):
 
 @query()
 def rum_sample(spark, sf_dir):
-    """A fifth of sessions by hash, errors always; sampling is the feature."""
+    """A fifth of sessions by hash, errors always; sampling is the feature, held against brute force in tests."""
     from .streaming.telemetry import sampled
 
     return sampled(table(spark, sf_dir, "events"), "user_id").select("event_id", "user_id", "event_type")
@@ -561,7 +561,7 @@ def interleave(spark, sf_dir):
 
 @query()
 def evidence_dedup(spark, sf_dir):
-    """Greedy over three keys; sequential, held against brute force in tests."""
+    """Greedy over three keys; sequential, held against brute force over all documents in tests."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("fp"), F.md5(F.lower(F.coalesce("text", F.lit(""))).cast("binary")).alias("url"))
     return relational.greedy_unique(d, "source", ["url", "fp", "doc_id"], ["doc_id"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -124,10 +125,14 @@ def redacted(text: Column) -> Column:
     return replaced(text, (EMAIL, "[email]"), (MOBILE, "[phone]"))
 
 
+#: Named entities that plain text gets decoded, besides blanks and the ampersand, which comes last.
+ENTITIES = "lt gt quot apos copy reg trade hellip mdash ndash ldquo rdquo lsquo rsquo laquo raquo middot bull times deg euro".split()
+
+
 def plain_html(html: Column) -> Column:
     """Text of markup: no scripts or styles, blocks become lines, common entities decoded."""
     bare = replaced(html, (r"(?is)<(script|style)[^>]*>.*?</\1>", ""), (r"(?s)<!--.*?-->", ""), (spaced(r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|table|ul|ol|article|section)>"), "\n"), (r"(?s)<[^>]*>", " "))
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for name, char in (("&nbsp;", " "), ("&#39;", "'"), *((f"&{n};", html5[f"{n};"]) for n in ENTITIES), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(char))
     return replaced(bare, (r"[ \t\x0B\f\r]+", " "), (spaced(r" ?\n\s*"), "\n"), (spaced(r"^\s+|\s+$"), ""))
 
