@@ -9,8 +9,8 @@ they are put together again by position. A word that all texts hold has one entr
 
 Decoding looks ids up in the token-byte table, whose size is the vocabulary's, batch by batch as an Arrow take.
 
-The input must give the same rows in the same order twice, as files do; each chunk's list of words is checked by its checksum, and a
-difference stops the job. Null and empty texts have no tokens. Repeated rows and null keys are encoded each. An empty table gives no
+Both scans must give the same rows in the same order, so an input that is no plain scan of files is written first; each chunk's list
+of words has a checksum, and a difference stops the job. Null and empty texts have no tokens. Repeated rows and null keys are encoded each. An empty table gives no
 rows. Very long texts end their chunk. Special tokens' names are ordinary text. Other columns are not read. Ids that the
 vocabulary lacks, and null ids, decode to a null; a null list decodes to a null.
 """
@@ -24,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import repeatable, whole_text
 from .packing import PRE_TOKEN
 
 #: Characters of text after which a chunk ends; a longer text ends its chunk.
 CHUNK = 16 << 20
 #: Words of a bucket that a task remembers; beyond it the table starts anew, and words met again are encoded again.
-KNOWN = 1_000_000
+KNOWN = 300_000
+#: Stretches between blanks that a task remembers at once; rare ones are most of them, so starting anew costs little.
+STRETCHES = 150_000
+#: Pre-tokens after which a row of documents ends, so that putting ids in their places takes little memory at a time.
+ROW = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,12 +52,12 @@ def side_by_side(cells: pa.LargeBinaryArray) -> memoryview:
 
 
 def packed(numbers) -> bytes:
-    """Unsigned 32-bit numbers, compressed with their four bytes apart: high bytes are mostly zero, and so nearly free."""
+    """Numbers below 2**31, compressed with their four bytes apart: high bytes are mostly zero, and so nearly free."""
     import zlib
 
     import numpy as np
 
-    return zlib.compress(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(np.asarray(numbers, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpacked(cell: bytes):
@@ -61,7 +65,7 @@ def unpacked(cell: bytes):
 
     import numpy as np
 
-    return np.frombuffer(zlib.decompress(cell), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.frombuffer(zlib.decompress(cell), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
 class Numbers(dict):
@@ -83,6 +87,8 @@ class Stretches(dict):
         self.split, self.numbers = split, numbers
 
     def __missing__(self, ink: str) -> tuple[int, ...] | None:
+        if len(self) >= STRETCHES:
+            self.clear()
         plain = ink and not ink[0].isspace() and not ink[-1].isspace()
         found = self[ink] = tuple(map(self.numbers.__getitem__, self.split(" " + ink))) if plain else None
         return found
@@ -126,14 +132,18 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int) -> Itera
     split, at = regex.compile(pattern).findall, TaskContext.get().partitionId() << 33
     now = Chunk(split, pattern == PRE_TOKEN)
     for batch in batches:
-        keys, numbers = [], []
+        keys, numbers, held = [], [], 0
         for k, t in zip(batch.column(0), batch.column(1)):
             numbers.append(now.add(t.as_py()))
             keys.append(k.as_py())
-            if now.size >= chunk:
+            held += len(numbers[-1])
+            full = now.size >= chunk
+            if full or held >= ROW:
                 yield at, keys, numbers, None
+                keys, numbers, held = [], [], 0
+            if full:
                 yield at, [], [], now
-                at, now, keys, numbers = at + 1, Chunk(split, pattern == PRE_TOKEN), [], []
+                at, now = at + 1, Chunk(split, pattern == PRE_TOKEN)
         if keys:
             yield at, keys, numbers, None
     yield at, [], [], now
@@ -227,7 +237,7 @@ def gathered(starts, counts, at):
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``(key, ids)`` of every text. ``vocabulary`` is a rank file, which each machine can read; ``pattern`` cuts pre-tokens."""
-    texts = docs.select(F.col(key), whole_text(text).alias(text))
+    texts = repeatable(docs.select(F.col(key), whole_text(text).alias(text)))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = word_lists(texts, pattern, buckets, chunk).repartition(buckets, "bucket")
     found, rows = encoded_lists(lists, vocabulary, pattern), texts_by_number(texts, pattern, key, chunk)
@@ -240,17 +250,17 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
         own = [c for c in documents.column("check").to_pylist() if c is not None]
         if any(c != own[0] for c in entries.column("check").to_pylist()):
             raise ValueError("the documents came in another order in the second scan; write them to a table first")
-        counts = np.zeros(sum(map(len, numbers)), np.int64)
+        counts = np.zeros(sum(map(len, numbers)), np.int32)
         for at, n in zip(numbers, parts):
             counts[at] = n
         starts = np.cumsum(counts) - counts
-        ids = np.zeros(counts.sum(), np.int64)
+        ids = np.zeros(counts.sum(dtype=np.int64), np.int32)
         for at, cell in zip(numbers, entries.column("ids").to_pylist()):
             ids[gathered(starts, counts, at)] = unpacked(cell)
         out = []
         for keys, sizes, cell in zip(documents.column("keys").combine_chunks(), documents.column("sizes").to_pylist(), documents.column("numbers").to_pylist()):
             places = unpacked(cell)
-            flat = ids[gathered(starts, counts, places)].astype(np.int32)
+            flat = ids[gathered(starts, counts, places)]
             ends = np.concatenate([[0], np.cumsum(counts[places])])[np.concatenate([[0], np.cumsum(unpacked(sizes))])]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             out.append(pa.table([keys.values, lists], names=[key, "ids"]))

@@ -143,9 +143,12 @@ def test_what_goes_between_machines(spark):
     assert sum(r.check is not None for r in rows) == 2
 
 
-def test_another_order_in_the_second_scan_stops_the_job(spark, tmp_path):
+def test_inputs_that_change_between_scans(spark, monkeypatch, edge_docs):
+    """They are written first; were they not, checksums would stop the job."""
     import public_tokenizers
 
+    from noticeframe.llm import common
+
     @F.udf("string")
     def other(i):
         import random
@@ -153,14 +156,21 @@ def test_another_order_in_the_second_scan_stops_the_job(spark, tmp_path):
         return f"{i} {random.random()}"
 
     docs = spark.range(50).select(F.col("id").alias("doc_id"), other.asNondeterministic()("id").alias("text"))
+    path = tokenizer_file(VOCABULARY)
+    got = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()
+    assert sorted(int(bytes(r.decoded).split()[0]) for r in got) == list(range(50))
+    plain = edge_docs.select("doc_id", F.lower("text"))
+    assert common.repeatable(plain) is plain and common.repeatable(plain.repartition(2)) is not plain and common.repeatable(docs) is not docs
+    monkeypatch.setattr(bpe, "repeatable", lambda df: df)
     with pytest.raises(Exception, match="another order"):
-        bpe.encode(docs, tokenizer_file(VOCABULARY), public_tokenizers.PATTERN).collect()
+        bpe.encode(docs, path, public_tokenizers.PATTERN).collect()
 
 
 def test_a_full_table_of_words_starts_anew(spark, monkeypatch):
     import public_tokenizers
 
     monkeypatch.setattr(bpe, "KNOWN", 3)
+    monkeypatch.setattr(bpe, "STRETCHES", 2)
     docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(20)], "doc_id long, text string")
     whole = ordinary()
     assert {r.doc_id: list(r.ids) for r in bpe.encode(docs, tokenizer_file(VOCABULARY), public_tokenizers.PATTERN, chunk=300).collect()} == {i: whole(prose(i, 50)) for i in range(20)}
