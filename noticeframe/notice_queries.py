@@ -474,7 +474,7 @@ def detail_pages(spark, sf_dir):
         F.lit("<script>var a='<p>';</script></p><p>请各位考生认真阅读本公告并按时提交报名材料逾期不再受理感谢配合支持与理解祝考试顺利<table><tr><th>单位名称 <th>岗位名称 <th>招聘人数</tr><tr><td rowspan=2>"), "p_brand", F.lit(" <td>"), "p_name", F.lit("岗 <td>"), F.col("p_size").cast("string"),
         F.lit("</tr><tr><td>"), "p_type", F.lit("岗 <td>"), F.col("p_size").cast("string"), F.lit("</tr></table><a href='"), link, F.lit("'>岗位表"), k, F.lit("</a><a href='"), link, F.lit("'></a><a href='javascript:1'></a><a href='/img/x.gif'></a></div><div>页脚</div></body></html>"),
     )
-    read = table(spark, sf_dir, "part").select("p_partkey", "p_name", pages.detail_page(html, F.lit("https://a.gov.cn/x/y.html")).alias("p"))
+    read = relational.dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_name", pages.detail_page(html, F.lit("https://a.gov.cn/x/y.html")).alias("p"))
     grids = read.select("p_partkey", "p_name", "p.body", "p.attachments", F.get("p.grids", F.lit(0)).alias("grid")).withColumn("exam_id", k)
     found = examtables.exam_positions(grids, merges=None)
     named = F.concat_ws(":", "employer", "position_name", F.col("recruit_count").cast("string"))

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from ..durability import durable
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys to as many partitions as a shuffle has, for costly steps per row.
+
+    A compact file has few row groups, and each is read by one task whatever its rows cost. Groups of the keys need no further shuffle.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def facet_counts(df: DataFrame, single: Sequence[str] = (), multi: Sequence[str] = (), unknown: str = "未明确", top: Mapping[str, int] | None = None) -> DataFrame:
     """A2: ``(facet, value, cnt)`` for all facets in one pass over the rows.
 
