@@ -8,13 +8,15 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .batches import mapped
 from .catalog import query, table
 from .durability import shared_folder
-from .operators import calendar, publish
+from .operators import calendar, publish, relational
 from .sources import files, snapshots
 
 
@@ -73,9 +75,10 @@ def calendar_union(spark, sf_dir):
 def _bytes_of(make):
     """Files of lists of (name, size) made by ``make``."""
 
-    @F.pandas_udf("binary")
-    def build(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: make([(x["n"], x["s"]) for x in r]))
+    @F.arrow_udf("binary")
+    def build(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            yield mapped(rows, lambda r: make([(x["n"], x["s"]) for x in r]), pa.binary())
 
     return build
 
@@ -117,7 +120,7 @@ def _zip(rows) -> bytes:
 def _positions(spark, sf_dir, make, end: str):
     """Parts as positions in files of fifty, read as tables, then as positions."""
     parts = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("n"), F.col("p_size").cast("string").alias("s"), F.floor(F.col("p_partkey") / 50).cast("string").alias("f"))
-    grouped = parts.groupBy("f").agg(F.collect_list(F.struct("n", "s")).alias("rows"))
+    grouped = relational.dealt(parts, "f").groupBy("f").agg(F.collect_list(F.struct("n", "s")).alias("rows"))
     made = grouped.select(F.concat("f", F.lit(end)).alias("path"), _bytes_of(make)("rows").alias("content"))
     return files.table_positions(files.file_tables(made).where("status = 'ok'")).select("name", F.col("count").cast("int").alias("headcount"))
 
