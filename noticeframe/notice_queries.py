@@ -36,7 +36,7 @@ def joined(*parts):
 )
 def spaced_titles(spark, sf_dir):
     """Full-width and no-break blanks and line ends count as white space in titles, pay, education, days and lists."""
-    rows = gapped(table(spark, sf_dir, "part")).withColumn("size", F.col("p_size").cast("string"))
+    rows = gapped(relational.dealt(table(spark, sf_dir, "part"), "p_partkey")).withColumn("size", F.col("p_size").cast("string"))
     pay = F.concat("size", F.lit("k-"), (F.col("p_size") + 5).cast("string"), F.lit("k"))
     title = joined("p_brand", "g", "·", "g", "p_name", "g")
     inner = F.when(F.col("p_partkey") % 5 == 4, F.lit(" ")).otherwise(F.col("g"))
@@ -125,7 +125,7 @@ def majors_in_prose(spark, sf_dir):
         when(k % 4 == 1, "；", "p_type", "b类专业\n"), when(k % 4 > 1, "；", "p_type", "b相关专业优先\n"), "学历：硕士\n",
     )
     words = prose.MajorWords(frozenset(f"{t}科学".lower() for t in TYPE_STEMS), TYPE_STEMS)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(prose.prose_majors(body, words), "|").alias("majors"))
+    return relational.dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.array_join(prose.prose_majors(body, words), "|").alias("majors"))
 
 
 def order_versions(spark, sf_dir):
@@ -234,7 +234,7 @@ def structured_bodies(spark, sf_dir):
         "（1）熟悉", "p_brand", "\n", when(k % 3 == 1, "2、学历：本科及以上\n"), "· ", "p_type", "\n【福利待遇】\n岗位：", "p_name", "\n岗位: ", "p_brand", "\n岗位：", "p_name", "\n完\n", when(k % 6 == 0, "\n此条为第三方公开招聘线索，请打开来源核对投递方式。\n"),
     )
     known = {"company": F.col("p_brand"), "title": F.concat("p_name", F.lit("岗")), "cities": F.array(F.lit("济南")), "education": F.lit("未明确"), "deadline": F.lit(""), "types": F.array(F.lit("校招")), "years": F.array(F.lit("2026"))}
-    found = table(spark, sf_dir, "part").select("p_partkey", bodies.structured_body(body, **known).alias("b"))
+    found = relational.dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", bodies.structured_body(body, **known).alias("b"))
     of_block = lambda b: F.concat(b["type"], F.when(b["ordered"], "+").when(~b["ordered"], "-").otherwise(""), F.lit(":"), F.array_join(b["items"], ";"))
     sections = F.array_join(F.transform("b.sections", lambda s: F.concat(F.coalesce(s["label"], F.lit("")), F.lit("~"), F.array_join(F.transform(s["blocks"], of_block), "~"))), "#")
     return found.select(
@@ -274,7 +274,7 @@ def organizers(spark, sf_dir):
     body = F.when(k == 3, joined("一、单位简介\n", h, "市甲级医院是一所综合医院")).otherwise("各位考生")
     company = F.when(k == 4, F.col("s_name")).when(k == 5, "济南人社")
     source = F.when(k == 7, "未知 · 转载").otherwise(F.concat(F.lit("源"), F.col("s_nationkey").cast("string"), F.lit(" · 公告")))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", text_organizers.exam_title(title).alias("title"), text_organizers.organizer(title, company, body, source).alias("organizer"))
+    return relational.dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", text_organizers.exam_title(title).alias("title"), text_organizers.organizer(title, company, body, source).alias("organizer"))
 
 
 @query(
@@ -495,7 +495,7 @@ def event_places(spark, sf_dir):
     """Places of events at customers: named, of a campus rule, both in contradiction, online, or none."""
     n, k = F.col("c_nationkey"), F.col("c_custkey")
     venue = F.concat(F.when(n % 4 == 3, "线上").when(n % 4 < 2, "东校区").otherwise("礼堂"), F.when((k % 5 != 4) & (k % 3 == 0), "（乙市）").otherwise(""), "c_name")
-    events = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 5 == 4, "别校").otherwise("甲校").alias("school"), F.when(k % 5 == 4, F.regexp_replace(venue, "东校区", "西馆")).otherwise(venue).alias("venue"))
+    events = relational.dealt(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.when(k % 5 == 4, "别校").otherwise("甲校").alias("school"), F.when(k % 5 == 4, F.regexp_replace(venue, "东校区", "西馆")).otherwise(venue).alias("venue"))
     rules = spark.createDataFrame([(1, "甲校", "东校区", "甲市"), (2, "丙校", "东", "丙市")], "rule_id int, rule_school string, pattern string, city string")
     return places.resolved_events(events, rules, "c_custkey", "school", "venue", {"甲市": ["甲市"], "乙市": ["乙市"], "丙市": ["丙市"]}).select("c_custkey", "city", "method")
 
