@@ -33,6 +33,8 @@ CHUNK = 16 << 20
 KNOWN = 300_000
 #: Stretches between blanks that a task remembers at once; rare ones are most of them, so starting anew costs little.
 STRETCHES = 150_000
+#: Signs that end a stretch of letters as a pre-token of their own.
+ENDINGS = (".", ",", ";", ":", "!", "?")
 #: Pre-tokens after which a row of documents ends, so that putting ids in their places takes little memory at a time.
 ROW = 250_000
 
@@ -89,8 +91,15 @@ class Stretches(dict):
     def __missing__(self, ink: str) -> tuple[int, ...] | None:
         if len(self) >= STRETCHES:
             self.clear()
-        plain = ink and not ink[0].isspace() and not ink[-1].isspace()
-        found = self[ink] = tuple(map(self.numbers.__getitem__, self.split(" " + ink))) if plain else None
+        if ink.isascii() and (ink.isalpha() or ink.isdigit()):
+            found = (self.numbers[" " + ink],)  # letters alone, or digits alone, are one pre-token with the blank before them
+        elif ink[-1:] in ENDINGS and ink[:-1].isascii() and ink[:-1].isalpha():
+            found = (self.numbers[" " + ink[:-1]], self.numbers[ink[-1]])
+        elif ink and not ink[0].isspace() and not ink[-1].isspace():
+            found = tuple(map(self.numbers.__getitem__, self.split(" " + ink)))
+        else:
+            found = None
+        self[ink] = found
         return found
 
 

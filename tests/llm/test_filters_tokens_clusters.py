@@ -255,3 +255,25 @@ def test_vectors_stay_where_they_are(spark):
     first = clustering.durable(clustering._assign(blocks, None, centroids, [True] * 3))
     plan = clustering._assign(blocks, first, centroids, [True, False, False])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_plain_stretches_need_no_pattern():
+    """op12: stretches of letters, of digits, or of letters and one ending are cut without the pattern, to the same pre-tokens."""
+    import random
+
+    import regex
+
+    from noticeframe.llm import bpe
+
+    cut, seen = regex.compile(bpe.PRE_TOKEN).findall, []
+    chunk = bpe.Chunk(lambda t: seen.append(t) or cut(t), True)
+    rng = random.Random(5)
+    inks = ["", "it's", "'s", "a.", ".", "a..", "1.", "12", "a1", "é", "éa.", "²", "a²", "٣", "a\n", "\na", "A!", "don't.", *("".join(rng.choices("aZé中7²'.,!?;: \t-", k=rng.randint(1, 5))).replace(" ", "") for _ in range(3000))]
+    for ink in inks:
+        found = chunk.stretches[ink]
+        words = list(chunk.numbers)
+        if found is None:
+            assert not ink or ink[0].isspace() or ink[-1].isspace()
+        else:
+            assert [words[n] for n in found] == cut(" " + ink)
+    assert not {" 12", " a.", " A!"} & set(seen) and {" it's", " a..", " éa."} <= set(seen)
