@@ -156,7 +156,8 @@ def first_change(new: Column) -> Column:
 def with_change(pairs: DataFrame, at: str) -> DataFrame:
     """``pairs`` of ``old`` and ``new`` version structs with ``change``; rows that change nothing are left out."""
     change = F.when(F.col("old").isNull(), first_change(F.col("new"))).otherwise(change_between(F.col("old"), F.col("new"), F.to_date(at)))
-    return pairs.withColumn("change", change).where("change IS NOT NULL")
+    # As a row of a list the change is computed once; a condition on a plain column would compute it again below.
+    return pairs.select("*", F.explode(F.array_compact(F.array(change))).alias("change"))
 
 
 def as_versions(df: DataFrame, keep: Sequence[str]) -> DataFrame:
