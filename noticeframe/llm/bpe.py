@@ -45,6 +45,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def token_table(vocabulary: str) -> pa.LargeBinaryArray:
+    """Token bytes by id; the last entry, a null, stands for ids that are not there."""
+    ranks = read_ranks(vocabulary)
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 2)
+    for token, i in ranks.items():
+        table[i] = token
+    return pa.array(table, pa.large_binary())
+
+
 def side_by_side(cells: pa.LargeBinaryArray) -> memoryview:
     """The bytes of all cells, one after the other, as Arrow holds them."""
     if not len(cells):
@@ -53,6 +62,24 @@ def side_by_side(cells: pa.LargeBinaryArray) -> memoryview:
     return memoryview(cells.buffers()[2] or b"")[ends[cells.offset] : ends[cells.offset + len(cells)]]
 
 
+def bytes_of(ids: pa.ListArray, tokens: pa.LargeBinaryArray) -> pa.BinaryArray:
+    """The bytes that each list of ids stands for, a few lists at a time."""
+    import numpy as np
+
+    last, out = len(tokens) - 1, []
+    for first in range(0, len(ids), 64):
+        lists = ids.slice(first, 64)
+        flat = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        taken = tokens.take(pa.array(np.where((flat < 0) | (flat > last), last, flat)))
+        found, at = [], 0
+        for n in lists.value_lengths().to_pylist():
+            part = taken.slice(at, n or 0)
+            at += n or 0
+            found.append(None if n is None or part.null_count else bytes(side_by_side(part)))
+        out.append(pa.array(found, pa.binary()))
+    return pa.concat_arrays([pa.array([], pa.binary()), *out])
+
+
 def packed(numbers) -> bytes:
     """Numbers below 2**31, compressed with their four bytes apart: high bytes are mostly zero, and so nearly free."""
     import zlib
@@ -244,8 +271,12 @@ def gathered(starts, counts, at):
     return np.repeat(starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``(key, ids)`` of every text. ``vocabulary`` is a rank file, which each machine can read; ``pattern`` cuts pre-tokens."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
+    """``(key, ids)`` of every text. ``vocabulary`` is a rank file, which each machine can read; ``pattern`` cuts pre-tokens.
+
+    ``decoded`` names a further column, the bytes that the ids stand for, looked up where the ids are put together: ``decode``
+    of the result gives the same, but takes a second Python worker beside each of these, and sends the ids back to it.
+    """
     texts = repeatable(docs.select(F.col(key), whole_text(text).alias(text)))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = word_lists(texts, pattern, buckets, chunk).repartition(buckets, "bucket")
@@ -266,43 +297,29 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
         ids = np.zeros(counts.sum(dtype=np.int64), np.int32)
         for at, cell in zip(numbers, entries.column("ids").to_pylist()):
             ids[gathered(starts, counts, at)] = unpacked(cell)
-        out = []
+        tokens, out = None if decoded is None else token_table(vocabulary), []
         for keys, sizes, cell in zip(documents.column("keys").combine_chunks(), documents.column("sizes").to_pylist(), documents.column("numbers").to_pylist()):
             places = unpacked(cell)
             flat = ids[gathered(starts, counts, places)]
             ends = np.concatenate([[0], np.cumsum(counts[places])])[np.concatenate([[0], np.cumsum(unpacked(sizes))])]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            out.append(pa.table([keys.values, lists], names=[key, "ids"]))
+            own_columns = {key: keys.values, "ids": lists}
+            if tokens is not None:
+                own_columns[decoded] = bytes_of(lists, tokens)
+            out.append(pa.table(own_columns))
         return pa.concat_tables(out)
 
     kind = docs.schema[key].dataType.simpleString()
-    return rows.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(put_together, f"`{key}` {kind}, ids array<int>")
+    return rows.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(put_together, f"`{key}` {kind}, ids array<int>" + (f", `{decoded}` binary" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that each list of ids stands for."""
 
     @F.arrow_udf("binary")
-    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
-
-        ranks = read_ranks(vocabulary)
-        table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 2)
-        for token, i in ranks.items():
-            table[i] = token
-        tokens = pa.array(table, pa.large_binary())  # the last entry, a null, stands for ids that are not there
-        last = len(table) - 1
+    def looked_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens = token_table(vocabulary)
         for batch in batches:
-            out = []
-            for first in range(0, len(batch), 64):
-                lists = batch.slice(first, 64)
-                flat = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-                taken = tokens.take(pa.array(np.where((flat < 0) | (flat > last), last, flat)))
-                at = 0
-                for n in lists.value_lengths().to_pylist():
-                    part = taken.slice(at, n or 0)
-                    at += n or 0
-                    out.append(None if n is None or part.null_count else bytes(side_by_side(part)))
-            yield pa.array(out, pa.binary())
-
-    return encoded.withColumn(name, bytes_of(F.col(ids)))
+            yield bytes_of(batch, tokens)
+
+    return encoded.withColumn(name, looked_up(F.col(ids)))

@@ -176,6 +176,22 @@ def test_a_full_table_of_words_starts_anew(spark, monkeypatch):
     assert {r.doc_id: list(r.ids) for r in bpe.encode(docs, tokenizer_file(VOCABULARY), public_tokenizers.PATTERN, chunk=300).collect()} == {i: whole(prose(i, 50)) for i in range(20)}
 
 
+def test_decoding_takes_no_worker_of_its_own(spark, edge_docs):
+    """Where ids are put together they are decoded too: no second Python step beside it, the same bytes as decoding afterwards."""
+    import public_tokenizers
+
+    from noticeframe.llm import queries
+
+    path = tokenizer_file(VOCABULARY)
+    got = bpe.encode(edge_docs, path, public_tokenizers.PATTERN, decoded="was")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, bytes(r.was))
+    rows = sorted(bpe.decode(got, path).collect(), key=key)
+    assert rows and all(r.was == r.decoded for r in rows)
+    assert [bytes(r.was) for r in rows] == [bytes(r.was) for r in sorted(edge_docs.selectExpr("doc_id", "cast(coalesce(text, '') as binary) AS was").collect(), key=key)]
+    plan = queries.op12_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_decoding_what_is_not_there(spark):
     rows = [(1, [0, 1]), (2, [0, 60_000]), (3, [None]), (4, None), (5, []), (6, [-1]), (7, [2**31 - 1])]
     got = dict(bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), tokenizer_file(VOCABULARY)).select("k", "decoded").collect())
