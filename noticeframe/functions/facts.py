@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import spaced, trimmed
+from .text import bound, spaced, trimmed
 from .timeutil import DAY_ONLY, business_day, expired, instant
 
 # Ranks of education levels and the words that name them.
@@ -165,25 +165,32 @@ def salary_range(title: Column, excerpt: Column) -> Column:
 
     def parsed(name: str) -> Column:
         text, pattern = ends[name]
-        text = F.coalesce(text, F.lit(""))
-        part = lambda g: F.regexp_extract(text, pattern, g)
-        above = name.endswith("above")
-        low = F.try_to_number(part(1), F.lit("9999999999.99")).cast("double")
-        high = low if above else F.try_to_number(part(3), F.lit("9999999999.99")).cast("double")
-        units = part(2) if above else F.coalesce(F.nullif(part(4), F.lit("")), part(2))
-        wan = units.rlike("^[万wW]$")
-        scale = F.when(wan, 10000.0).when(units.rlike("^[kK]$"), 1000.0).otherwise(1.0)
-        monthly, yearly = text.rlike("/月|月薪|每月"), text.rlike("/年|年薪") | part(0).rlike("年")
-        factor = F.when(yearly | (wan & ~monthly & (low >= 6)), scale / 12).otherwise(scale)
-        year_like = F.lit(False) if above else (low >= 2010) & (low <= 2030) & (high < 100)
-        value = F.struct(
-            F.round(low * factor).alias("min"),
-            (F.lit(None).cast("double") if above else F.round(high * factor)).alias("max"),
-            F.lit(above).alias("open_ended"),
-            trimmed(part(0)).alias("raw"),
-        )
-        good = ~text.rlike("(?i)/天|/日|/小时|日薪|时薪|美元|港币|USD|HKD") & (high * factor >= 1000) & ~year_like
-        return F.when(text.rlike(pattern), F.struct(F.when(good, value).alias("v")))
+        text, above = F.coalesce(text, F.lit("")), name.endswith("above")
+        amount = lambda said: F.try_to_number(said, F.lit("9999999999.99")).cast("double")
+        parts = F.array(*[F.regexp_extract(text, pattern, g) for g in range(3 if above else 5)])
+
+        def numbers(part: Column) -> Column:
+            return F.struct(
+                part[0].alias("raw"), amount(part[1]).alias("low"), amount(part[1 if above else 3]).alias("high"),
+                (part[2] if above else F.when(part[4] != "", part[4]).otherwise(part[2])).alias("unit"),
+            )
+
+        def value(n: Column) -> Column:
+            low, high, wan = n["low"], n["high"], n["unit"].rlike("^[万wW]$")
+            scale = F.when(wan, 10000.0).when(n["unit"].rlike("^[kK]$"), 1000.0).otherwise(1.0)
+            monthly, yearly = text.rlike("/月|月薪|每月"), text.rlike("/年|年薪") | n["raw"].rlike("年")
+            factor = F.when(yearly | (wan & ~monthly & (low >= 6)), scale / 12).otherwise(scale)
+            year_like = F.lit(False) if above else (low >= 2010) & (low <= 2030) & (high < 100)
+            shown = lambda f: F.struct(
+                F.round(low * f).alias("min"),
+                (F.lit(None).cast("double") if above else F.round(high * f)).alias("max"),
+                F.lit(above).alias("open_ended"),
+                trimmed(n["raw"]).alias("raw"),
+            )
+            good = lambda f: ~text.rlike("(?i)/天|/日|/小时|日薪|时薪|美元|港币|USD|HKD") & (high * f >= 1000) & ~year_like
+            return bound(factor, lambda f: F.struct(F.when(good(f), shown(f)).alias("v")))
+
+        return F.when(text.rlike(pattern), bound(bound(parts, numbers), value))
 
     return F.coalesce(*[parsed(n) for n in ends])["v"]
 

@@ -28,16 +28,20 @@ def without_ats_code(title: Column) -> Column:
 
 def card_title(title: Column, company: Column) -> Column:
     """Title without its code and a leading company name."""
-    bare = F.coalesce(F.nullif(without_ats_code(trimmed(title)), F.lit("")), trimmed(title))
     name = trimmed(F.coalesce(company, F.lit("")))
-    rest = trimmed(F.regexp_replace(F.substr(bare, F.char_length(name) + 1), spaced(r"^\s*[·•—\-:：]\s*"), ""))
-    return F.when((name != "") & F.startswith(bare, name) & (rest != ""), rest).otherwise(bare)
+
+    def without_name(bare: Column) -> Column:
+        rest = F.when((name != "") & F.startswith(bare, name), trimmed(F.regexp_replace(F.substr(bare, F.char_length(name) + 1), spaced(r"^\s*[·•—\-:：]\s*"), "")))
+        return bound(rest, lambda r: F.when(r != "", r).otherwise(bare))
+
+    whole = lambda t: bound(without_ats_code(t), lambda c: F.when(c != "", c).otherwise(t))
+    return bound(bound(trimmed(title), whole), without_name)
 
 
 def role_portion(title: Column, company: Column) -> Column:
     """What names a role; '' for a mere notice."""
     role = F.element_at(F.split(card_title(title, company), "[·|｜]"), -1)
-    return F.when(trimmed(role).rlike(NOT_A_ROLE), "").otherwise(trimmed(role))
+    return bound(trimmed(role), lambda r: F.when(r.rlike(NOT_A_ROLE), "").otherwise(r))
 
 
 def clean_excerpt(text: Column) -> Column:

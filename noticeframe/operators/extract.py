@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import spaced, trimmed
+from ..functions.text import bound, spaced, trimmed
 
 # Fixed values: (dimension, polarity, words) of opinion clauses.
 OPINION_RULES = (
@@ -66,16 +66,18 @@ def deadlines(body: Column) -> Column:
     """Distinct days on lines that speak of an end of application, ascending."""
     lines = F.filter(F.split(F.coalesce(body, F.lit("")), r"[\r\n。；;]"), lambda x: x.rlike("截止|报名时间|网申时间|投递时间"))
     pattern = spaced(r"(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})")
-    joined = F.array_join(lines, "\n")
-    parts = [F.regexp_extract_all(joined, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
-    days = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "ymd")]), lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")))
+
+    def found(joined: Column) -> Column:
+        parts = [F.regexp_extract_all(joined, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
+        return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "ymd")]), lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")))
+
+    days = bound(F.array_join(lines, "\n"), found)
     return F.array_sort(F.array_distinct(F.filter(days, lambda d: F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNotNull())))
 
 
 def sole_deadline(body: Column) -> Column:
     """The deadline if there is exactly one."""
-    found = deadlines(body)
-    return F.when(F.size(found) == 1, found[0])
+    return bound(deadlines(body), lambda found: F.when(F.size(found) == 1, found[0]))
 
 
 def split_majors(text: Column, limit: int = 15) -> Column:
