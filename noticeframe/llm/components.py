@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, read_once
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     )
     seen = None
     while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = read_once(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))).collect()[0]
         if mark == seen or mark[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
