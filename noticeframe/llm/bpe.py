@@ -31,10 +31,12 @@ from .packing import PRE_TOKEN
 CHUNK = 16 << 20
 #: Words of a bucket that a task remembers; beyond it the table starts anew, and words met again are encoded again.
 KNOWN = 300_000
-#: Stretches between blanks that a task remembers at once; rare ones are most of them, so starting anew costs little.
-STRETCHES = 150_000
+#: Stretches between blanks that a task remembers at once, about as many as a chunk has; beyond it they are cut anew.
+STRETCHES = 400_000
 #: Signs that end a stretch of letters as a pre-token of their own.
 ENDINGS = (".", ",", ";", ":", "!", "?")
+#: Up to here ``isalpha`` says what the pattern calls a letter, in any version of Unicode.
+LATIN_END = "\u0250"
 #: Pre-tokens after which a row of documents ends, so that putting ids in their places takes little memory at a time.
 ROW = 250_000
 
@@ -105,6 +107,11 @@ class Numbers(dict):
         return n
 
 
+def letters(ink: str) -> bool:
+    """Whether a stretch is Latin letters alone."""
+    return ink.isalpha() and (ink.isascii() or max(ink) < LATIN_END)
+
+
 class Stretches(dict):
     """The pre-tokens' numbers of what stands between two blanks; none where white space touches a blank.
 
@@ -118,10 +125,10 @@ class Stretches(dict):
     def __missing__(self, ink: str) -> tuple[int, ...] | None:
         if len(self) >= STRETCHES:
             self.clear()
-        if ink.isascii() and (ink.isalpha() or ink.isdigit()):
-            found = (self.numbers[" " + ink],)  # letters alone, or digits alone, are one pre-token with the blank before them
+        if letters(ink) or ink.isascii() and ink.isdigit():
+            found = (self.numbers.setdefault(" " + ink, len(self.numbers)),)  # letters alone, or digits alone, are one pre-token with the blank before them
         elif ink[-1:] in ENDINGS and ink[:-1].isascii() and ink[:-1].isalpha():
-            found = (self.numbers[" " + ink[:-1]], self.numbers[ink[-1]])
+            found = (self.numbers.setdefault(" " + ink[:-1], len(self.numbers)), self.numbers[ink[-1]])
         elif ink and not ink[0].isspace() and not ink[-1].isspace():
             found = tuple(map(self.numbers.__getitem__, self.split(" " + ink)))
         else:
@@ -137,22 +144,33 @@ class Chunk:
         self.split, self.numbers, self.size = split, Numbers(), 0
         self.stretches = Stretches(split, self.numbers) if by_stretch else None
 
-    def add(self, text: str):
-        """The numbers of a text's pre-tokens."""
+    def numbered(self, text: str, some=list) -> Iterator[int]:
+        """The numbers of a text's pre-tokens; ``some`` says which of its stretches to look at."""
         from itertools import chain
 
-        import numpy as np
-
         self.size += len(text) + 16
         if self.stretches is not None:
             head, *rest = text.split(" ")
             if not (rest and (not head or head[-1].isspace())):
                 # Cut before the rest, as numbers follow the order of the text either way.
                 first = list(map(self.numbers.__getitem__, self.split(head)))
-                got = list(map(self.stretches.__getitem__, rest))
+                got = list(map(self.stretches.__getitem__, some(rest)))
                 if None not in got:
-                    return np.fromiter(chain(first, chain.from_iterable(got)), np.uint32)
-        return np.fromiter(map(self.numbers.__getitem__, self.split(text)), np.uint32)
+                    return chain(first, chain.from_iterable(got))
+        return map(self.numbers.__getitem__, self.split(text))
+
+    def add(self, text: str):
+        """The numbers of a text's pre-tokens, in their places."""
+        import numpy as np
+
+        return np.fromiter(self.numbered(text), np.uint32)
+
+    def learn(self, text: str) -> tuple:
+        """Number a text's pre-tokens as ``add`` does, but without their places: a stretch that comes again in the text is not looked at again."""
+        from collections import deque
+
+        deque(self.numbered(text, dict.fromkeys), maxlen=0)
+        return ()
 
     def checksum(self) -> int:
         import zlib
@@ -160,8 +178,8 @@ class Chunk:
         return zlib.crc32("\0".join(self.numbers).encode("utf-8", "surrogatepass"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int) -> Iterator:
-    """``(chunk id, keys, numbers, None)`` of texts in a row, and ``(chunk id, [], [], chunk)`` at the end of each chunk."""
+def chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int, take=Chunk.add) -> Iterator:
+    """``(chunk id, keys, numbers, None)`` of texts in a row, and ``(chunk id, [], [], chunk)`` at the end of each chunk. ``take`` may be ``Chunk.learn``: no numbers."""
     import regex
     from pyspark import TaskContext
 
@@ -170,7 +188,7 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int) -> Itera
     for batch in batches:
         keys, numbers, held = [], [], 0
         for k, t in zip(batch.column(0), batch.column(1)):
-            numbers.append(now.add(t.as_py()))
+            numbers.append(take(now, t.as_py()))
             keys.append(k.as_py())
             held += len(numbers[-1])
             full = now.size >= chunk
@@ -192,7 +210,7 @@ def word_lists(texts: DataFrame, pattern: str, buckets: int, chunk: int = CHUNK)
         import zlib
         from collections import defaultdict
 
-        for at, _, _, ended in chunks(batches, pattern, chunk):
+        for at, _, _, ended in chunks(batches, pattern, chunk, Chunk.learn):
             if ended is None or not ended.numbers:
                 continue
             dealt: dict[int, list[str]] = defaultdict(list)

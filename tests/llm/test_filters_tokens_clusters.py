@@ -293,3 +293,38 @@ def test_plain_stretches_need_no_pattern():
         else:
             assert [words[n] for n in found] == cut(" " + ink)
     assert not {" 12", " a.", " A!"} & set(seen) and {" it's", " a..", " éa."} <= set(seen)
+
+
+def test_the_first_scan_looks_at_a_stretch_of_a_text_once(edge_rows):
+    """It numbers pre-tokens as the second does, without a lookup for each occurrence."""
+    import regex
+
+    from noticeframe.llm import bpe
+
+    cut = regex.compile(bpe.PRE_TOKEN).findall
+    placed, learnt = bpe.Chunk(cut, True), bpe.Chunk(cut, True)
+    for _, t in [*edge_rows, (0, "two  blanks\n and é.\u00a0x ñandú. again again"), (0, " head again")]:
+        placed.add(t or "")
+        learnt.learn(t or "")
+        assert list(placed.numbers) == list(learnt.numbers) and placed.size == learnt.size
+    looked = []
+    learnt.stretches = type("Seen", (bpe.Stretches,), {"__getitem__": lambda self, k: looked.append(k) or super(bpe.Stretches, self).__getitem__(k)})(cut, learnt.numbers)
+    learnt.learn("one two two two")
+    assert looked == ["two"]
+
+
+def test_latin_letters_need_no_pattern():
+    """Letters with accents are one pre-token, as the pattern says, and take no call of it."""
+    import regex
+
+    from noticeframe.llm import bpe
+
+    cut, seen = regex.compile(bpe.PRE_TOKEN).findall, []
+    chunk = bpe.Chunk(lambda t: seen.append(t) or cut(t), True)
+    every = [chr(c) for c in range(0x80, 0x300)]
+    for c in every:
+        for ink in (f"a{c}b", f"{c}.", c):
+            assert [list(chunk.numbers)[n] for n in chunk.add(f"x {ink}")] == cut(f"x {ink}"), ink
+    seen.clear()
+    chunk.add("x ciónció Éenèou Einßpf")
+    assert seen == ["x"]
